@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .minhash_dedup import op10_minhash_dedup
 from .substring_dedup import op9_substring_dedup
 
 
 def queries() -> dict:
-    return {"op9_substring_dedup": op9_substring_dedup}
+    return {f.__name__: f for f in (op9_substring_dedup, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

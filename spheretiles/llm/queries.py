@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op5_embedding_dedup
 from .minhash_dedup import op10_minhash_dedup
 from .substring_dedup import op9_substring_dedup
+from .vector_search import op6_vector_search
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_substring_dedup, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op5_embedding_dedup, op6_vector_search, op9_substring_dedup, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,7 +19,7 @@ _IS_WORD[list(SEPARATORS)] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_BASE = 0x9E3779B97F4A7C15
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -104,7 +104,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     return _hashed(data, starts, ends), starts, ends, np.searchsorted(starts, offsets)
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts have about `limit` bytes together (a longer text comes alone)."""
     if not batch.num_rows:
         return

@@ -1,8 +1,63 @@
-"""Corpus pipeline: toxicity, near-dedup, substring dedup, PII, packing."""
+"""Corpus pipeline: toxicity, near-dedup, substring dedup, PII, packing.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. The stages before the last return
+the columns of `documents`; where a stage changes a text, n_chars is its new length.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spheretiles.llm import minhash_dedup, packing, pii, substring_dedup, toxicity
+from spheretiles.llm.tables import documents, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents whose noisy-or score is 0.5 or more; the model learns from the labels of documents in `docs`."""
+    model = toxicity.train(docs, documents(spark, sf_dir, "labels"))
+    return toxicity.toxicity(docs.select(*COLUMNS), model).where("tox_score < 0.5").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each component of texts with a five-word shingle similarity of 0.8 or more."""
+    found = minhash_dedup.near_duplicates(docs, percent=80, side=12)
+    lost = found.where("not kept").select("doc_id").distinct()
+    return docs.join(lost, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes the words of repeated 35-word windows; a text that loses none stays as it is."""
+    found = substring_dedup.substring_dedup(docs.select(*COLUMNS))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return _with_text(found, text)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by [EMAIL], [IP], [CARD] or [PHONE]."""
+    return _with_text(pii.pii(docs.select(*COLUMNS)), pii.redacted("text", "pii_spans"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 1024 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _with_text(df: DataFrame, text) -> DataFrame:
+    return df.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+STAGES = [("toxicity", drop_toxic), ("near-dedup", drop_near_copies), ("substring dedup", cut_repeats), ("pii", redact), ("packing", pack)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over all documents; each stage's result is written to the shared folder and read again."""
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

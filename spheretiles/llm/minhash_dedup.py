@@ -9,7 +9,7 @@ Documents with equal shingle sets are one class, found by a 128-bit hash of the
 representatives. Candidates are settled in three steps, each confirmed on full sets:
 1. every member of a bucket against the smallest member (as many pairs as members),
 2. in buckets whose members are still in different components: pairs between components whose signatures agree enough
-   (at least `agree` of the minhashes; a pair at the threshold falls below it about once in a million),
+   (at least the share `agree` of the minhashes; a pair at the threshold falls below it about once in a million),
 3. the same within blocks of large buckets, inside tasks that hold the sets of two blocks and return confirmed links.
 No bucket or candidate list is cut off.
 """
@@ -147,15 +147,16 @@ def _block_links(side: int, depth: int, agree: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, side: int = SIDE, depth: int = DEPTH, agree: int = 36, large: int = 32, id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, side: int = SIDE, depth: int = DEPTH, agree: float = 0.6, large: int = 32, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of `docs`: (doc_id, n_shingles, component_id, kept).
 
     Words are lower-cased (A-Z); the set of a text is its distinct `width`-word shingles, or its whole word sequence
     if it has fewer words. Texts link when 100 * intersection >= percent * union. Null and empty texts have no set
     and link with nothing. Rows with equal ids count as one document when linking and each is returned; a row with a
     null id has the component of equal sets, if any, and a null component and kept = true otherwise. An empty table
-    gives an empty result. Other columns of `docs` are not read. percent should be 60 at least for `agree` to hold.
+    gives an empty result. Other columns of `docs` are not read. `agree` should lie well below percent / 100.
     """
+    agree = round(agree * 2 * side * depth)
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     found = written(features(own, width, 2 * side * depth))
     least = found.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))

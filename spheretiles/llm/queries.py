@@ -6,11 +6,12 @@ from .bpe import op4_byte_bpe
 from .embedding_dedup import op5_embedding_dedup
 from .minhash_dedup import op10_minhash_dedup
 from .packing import op2_best_fit_packing
+from .pii import op1_pii
 from .substring_dedup import op9_substring_dedup
 from .toxicity import op8_toxicity
 from .vector_search import op6_vector_search
 
-QUERIES = (op2_best_fit_packing, op4_byte_bpe, op5_embedding_dedup, op6_vector_search, op8_toxicity, op9_substring_dedup, op10_minhash_dedup)
+QUERIES = (op1_pii, op2_best_fit_packing, op4_byte_bpe, op5_embedding_dedup, op6_vector_search, op8_toxicity, op9_substring_dedup, op10_minhash_dedup)
 
 
 def queries() -> dict:

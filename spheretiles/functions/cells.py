@@ -5,11 +5,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: (shift, mask) ladder that gathers the even bits of a long
-LADDER = ((0, 0x5555555555555555), (1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF))
+
+def _gathered(byte: int) -> int:
+    """The four even bits of a byte."""
+    return sum((byte >> (2 * i) & 1) << i for i in range(4))
+
+
+def _spaced(byte: int) -> int:
+    """The eight bits of a byte, moved to the even places."""
+    return sum((byte >> i & 1) << (2 * i) for i in range(8))
+
+
+def _looked_up(rule, byte: Column) -> Column:
+    """rule(byte) by a constant table of 256 entries: an expression that names its input once."""
+    return F.get(F.expr(f"array({','.join(str(rule(i)) for i in range(256))})"), byte.cast("int")).cast("long")
 
 
 def as_column(x) -> Column:
@@ -30,20 +44,25 @@ def low_bits(x, bits) -> Column:
     return as_column(x).cast("long").bitwiseAND(up(1, bits) - 1)
 
 
-def compact(v) -> Column:
-    """The even bits of v, gathered."""
-    v = as_column(v).cast("long").bitwiseAND(F.lit(LADDER[0][1]))
-    for shift, mask in LADDER[1:]:
-        v = v.bitwiseOR(F.shiftrightunsigned(v, shift)).bitwiseAND(F.lit(mask))
-    return v
+def _byte(v, k: int) -> Column:
+    return F.shiftrightunsigned(as_column(v).cast("long"), 8 * k).bitwiseAND(F.lit(255).cast("long"))
+
+
+def _bytes(order, bits: int) -> range:
+    """Which bytes hold `bits` bits for each level; all where the order is a column."""
+    return range(-(-bits * order // 8)) if isinstance(order, int) else range(8 if bits == 2 else 4)
+
+
+def compact(v, order=29) -> Column:
+    """The even bits of v, gathered (as many as `order` asks for)."""
+    parts = [F.shiftleft(_looked_up(_gathered, _byte(v, k)), 4 * k) for k in _bytes(order, 2)]
+    return reduce(lambda a, b: a + b, parts, F.lit(0).cast("long"))
 
 
-def spread(v) -> Column:
+def spread(v, order=29) -> Column:
     """The bits of v, moved to the even places."""
-    v = as_column(v).cast("long").bitwiseAND(F.lit(LADDER[-1][1]))
-    for (shift, _), (_, mask) in zip(LADDER[:0:-1], LADDER[-2::-1], strict=True):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
-    return v
+    parts = [F.shiftleft(_looked_up(_spaced, _byte(v, k)), 16 * k) for k in _bytes(order, 1)]
+    return reduce(lambda a, b: a + b, parts, F.lit(0).cast("long"))
 
 
 def n_cells(order) -> Column:
@@ -56,13 +75,13 @@ def face_of(cell, order) -> Column:
 
 def cell_xy(cell, order, axes: str = "even_x") -> tuple[Column, Column]:
     local = low_bits(cell, as_column(order) * 2)
-    even, odd = compact(local), compact(F.shiftrightunsigned(local, 1))
+    even, odd = compact(local, order), compact(F.shiftrightunsigned(local, 1), order)
     return (even, odd) if _check(axes) == "even_x" else (odd, even)
 
 
 def nested_id(face, ix, iy, order, axes: str = "even_x") -> Column:
     even, odd = (ix, iy) if _check(axes) == "even_x" else (iy, ix)
-    return up(face, as_column(order) * 2) + spread(even).bitwiseOR(F.shiftleft(spread(odd), 1))
+    return up(face, as_column(order) * 2) + spread(even, order) + F.shiftleft(spread(odd, order), 1)
 
 
 def _check(axes: str) -> str:

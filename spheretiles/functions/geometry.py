@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cells import as_column
@@ -18,25 +18,38 @@ def face_value(face, table: tuple[int, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(float(v)) for v in table]), as_column(face).cast("int") + 1)
 
 
-def face_point(face, u, v) -> dict[str, Column]:
-    """z (sine of latitude), phi in eighths of a turn, of a place (u, v) on a face."""
-    u, v = as_column(u).cast("double"), as_column(v).cast("double")
-    ring = face_value(face, FACE_R) - u - v
-    raw = face_value(face, FACE_P) - u + v
-    # kept away from the poles, where the longitude is undefined
-    ring = F.least(F.greatest(ring, F.lit(1e-6)), F.lit(4 - 1e-6))
-    z = F.when(ring <= 1, 1 - ring * ring / 3).when(ring <= 3, 2 * (2 - ring) / 3).otherwise(-1 + (4 - ring) * (4 - ring) / 3)
-    turned = F.pmod(raw, F.lit(8.0))
-    middle = 2 * F.floor(turned / 2) + 1
-    near = raw + (middle - turned)
-    cap = F.when(ring < 1, ring).when(ring > 3, 4 - ring).otherwise(F.lit(1.0))
-    return {"z": z, "phi": F.when((ring < 1) | (ring > 3), near + (raw - near) / cap).otherwise(raw)}
+def with_points(df: DataFrame, places: dict[str, tuple]) -> DataFrame:
+    """Adds <name>_z (sine of latitude) and <name>_phi (eighths of a turn) for places (face, u, v).
 
+    Each step names the columns of the one before, so that expressions stay small.
+    """
+    steps: dict[str, Column] = {}
+    for name, (face, u, v) in places.items():
+        u, v = as_column(u).cast("double"), as_column(v).cast("double")
+        # kept away from the poles, where the longitude is undefined
+        steps[f"{name}_ring"] = F.least(F.greatest(face_value(face, FACE_R) - u - v, F.lit(1e-6)), F.lit(4 - 1e-6))
+        steps[f"{name}_raw"] = face_value(face, FACE_P) - u + v
+    df = df.withColumns(steps)
+    df = df.withColumns({f"{n}_near": F.col(f"{n}_raw") - F.pmod(f"{n}_raw", F.lit(8.0)) + 2 * F.floor(F.pmod(f"{n}_raw", F.lit(8.0)) / 2) + 1 for n in places})
+    steps = {}
+    for name in places:
+        ring, raw, near = (F.col(f"{name}_{c}") for c in ("ring", "raw", "near"))
+        steps[f"{name}_z"] = F.when(ring <= 1, 1 - ring * ring / 3).when(ring <= 3, 2 * (2 - ring) / 3).otherwise(-1 + (4 - ring) * (4 - ring) / 3)
+        steps[f"{name}_phi"] = F.when(ring < 1, near + (raw - near) / ring).when(ring > 3, near + (raw - near) / (4 - ring)).otherwise(raw)
+    return df.withColumns(steps).drop(*[f"{n}_{c}" for n in places for c in ("ring", "raw", "near")])
 
-def lonlat_of(point: dict[str, Column]) -> tuple[Column, Column]:
+
+def with_vectors(df: DataFrame, places: dict[str, tuple]) -> DataFrame:
+    """Adds the unit vectors <name>_vx, _vy, _vz of places (face, u, v)."""
+    df = with_points(df, places)
+    df = df.withColumns({f"{n}_v{c}": x for n in places for c, x in zip("xyz", point_vector(F.col(f"{n}_z"), F.col(f"{n}_phi")), strict=True)})
+    return df.drop(*[f"{n}_{c}" for n in places for c in ("z", "phi")])
+
+
+def lonlat_of(z: Column, phi: Column) -> tuple[Column, Column]:
     """Longitude in (-180, 180] and latitude, in degrees."""
-    a = point["phi"] * (pi / 4)
-    return F.degrees(F.atan2(F.sin(a), F.cos(a))), F.degrees(F.asin(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), point["z"]))))
+    a = phi * (pi / 4)
+    return F.degrees(F.atan2(F.sin(a), F.cos(a))), F.degrees(F.asin(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), z))))
 
 
 def vector(lon, lat) -> tuple[Column, Column, Column]:
@@ -44,10 +57,10 @@ def vector(lon, lat) -> tuple[Column, Column, Column]:
     return F.cos(lat) * F.cos(lon), F.sin(lat), F.cos(lat) * F.sin(lon)
 
 
-def point_vector(point: dict[str, Column]) -> tuple[Column, Column, Column]:
-    a = point["phi"] * (pi / 4)
-    flat = F.sqrt(F.greatest(F.lit(0.0), 1 - point["z"] * point["z"]))
-    return flat * F.cos(a), point["z"], flat * F.sin(a)
+def point_vector(z: Column, phi: Column) -> tuple[Column, Column, Column]:
+    a = phi * (pi / 4)
+    flat = F.sqrt(F.greatest(F.lit(0.0), 1 - z * z))
+    return flat * F.cos(a), z, flat * F.sin(a)
 
 
 def angle(a: tuple, b: tuple) -> Column:
@@ -56,15 +69,16 @@ def angle(a: tuple, b: tuple) -> Column:
     return F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot)))
 
 
-def face_uv(lon, lat) -> Column:
-    """struct<face, u, v> of a longitude and latitude: the face whose unit square holds the point, in closed form."""
-    t = F.pmod(as_column(lon), F.lit(360.0)) / 45
-    z = F.sin(F.radians(as_column(lat)))
+def ring_and_raw(t: Column, z: Column) -> tuple[Column, Column]:
+    """Ring and net abscissa of a longitude (t, in 45 degrees, 0 to 8) and a sine of latitude."""
     cap = F.sqrt(F.greatest(F.lit(0.0), 3 * (1 - F.abs(z))))
     belt = F.abs(z) <= 2.0 / 3
-    ring = F.when(belt, 2 - 1.5 * z).when(z > 0, cap).otherwise(4 - cap)
     near = 2 * F.floor(t / 2) + 1
-    raw = F.when(belt, t).otherwise(near + (t - near) * cap)
+    return F.when(belt, 2 - 1.5 * z).when(z > 0, cap).otherwise(4 - cap), F.when(belt, t).otherwise(near + (t - near) * cap)
+
+
+def face_uv(ring: Column, raw: Column) -> Column:
+    """struct<face, u, v>: the face whose unit square holds the place, in closed form."""
     tries = []
     for face in range(12):
         for turn in (-8, 0, 8):

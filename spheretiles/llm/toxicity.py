@@ -51,19 +51,16 @@ def sentence_features(data: np.ndarray, offsets: np.ndarray):
     return (np.concatenate(found) >> np.uint64(44)).astype(np.int64), np.concatenate(where), doc[new], starts[new]
 
 
-def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray, steps: int = 150, rate: float = 0.3, decay: float = 2e-4, seen_in: int = 4) -> tuple[np.ndarray, float]:
+def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray, steps: int = 100, rate: float = 0.3, decay: float = 2e-4, seen_in: int = 4) -> tuple[np.ndarray, float]:
     """Weights by bucket and the bias: Adam on the noisy-or likelihood of the document labels."""
     bucket, sentence, of, _ = sentence_features(*utf8(texts))
-    order = np.lexsort((bucket, sentence))
-    bucket, sentence = bucket[order], sentence[order]
-    keep = np.ones(len(bucket), bool)
-    keep[1:] = (bucket[1:] != bucket[:-1]) | (sentence[1:] != sentence[:-1])
-    bucket, sentence = bucket[keep], sentence[keep]
-    used, code, count = np.unique(bucket, return_inverse=True, return_counts=True)
-    often = count >= seen_in
-    renamed = np.cumsum(often) - 1
-    keep = often[code]
-    code, sentence, used = renamed[code[keep]], sentence[keep], used[often]
+    once = np.unique(sentence * BUCKETS + bucket)
+    del bucket, sentence
+    often = np.bincount(once % BUCKETS, minlength=BUCKETS) >= seen_in
+    once = once[often[once % BUCKETS]]
+    used, renamed = np.flatnonzero(often), (np.cumsum(often) - 1).astype(np.int32)
+    code, sentence = renamed[once % BUCKETS], (once // BUCKETS).astype(np.int32)
+    del once
     n, w, b = len(of), np.zeros(len(used)), -5.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     total = weight.sum()
@@ -83,7 +80,7 @@ def fit(texts: pa.Array, y: np.ndarray, weight: np.ndarray, steps: int = 150, ra
     return weights, b
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 4096, negatives: int = 8192, longest: int = 20_000, held_out: bool = True, id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, positives: int = 2048, negatives: int = 3072, longest: int = 10_000, held_out: bool = True, id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float]:
     """The model, from labelled rows whose crc32(id) mod 5 is not 0 (all labelled rows if not held_out)."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and id is not null")
     if held_out:

@@ -79,17 +79,20 @@ def cells_to_lonlat(df: DataFrame, order: int, cell: str = "cell", axes: str = "
     n = 1 << order
     ix, iy = C.cell_xy(cell, order, axes)
     df = df.withColumns({"__f": C.face_of(cell, order), "__u": (ix + 0.5) / n, "__v": (iy + 0.5) / n})
-    point = G.face_point("__f", "__u", "__v")
-    lon, lat = G.lonlat_of(point)
-    x, y, z = G.point_vector(point)
-    return df.withColumns({"lon": lon, "lat": lat, "vx": x, "vy": y, "vz": z}).drop("__f", "__u", "__v")
+    df = G.with_points(df, {"__c": ("__f", "__u", "__v")})
+    lon, lat = G.lonlat_of(F.col("__c_z"), F.col("__c_phi"))
+    x, y, z = G.point_vector(F.col("__c_z"), F.col("__c_phi"))
+    return df.withColumns({"lon": lon, "lat": lat, "vx": x, "vy": y, "vz": z}).drop("__f", "__u", "__v", "__c_z", "__c_phi")
 
 
 def points_to_cells(df: DataFrame, order: int, lon: str = "lon", lat: str = "lat", axes: str = "odd_x", tile_shift: int | None = None) -> DataFrame:
     """Adds face, u, v, ix, iy, cell (and tile x, y) of each position."""
     n = 1 << order
     place = lambda w: F.least(F.greatest(F.floor(w * n), F.lit(0)), F.lit(n - 1)).cast("long")
-    df = df.withColumn("__p", G.face_uv(lon, lat)).withColumns({"face": F.col("__p.face"), "u": F.col("__p.u"), "v": F.col("__p.v")}).drop("__p")
+    df = df.withColumns({"__t": F.pmod(F.col(lon), F.lit(360.0)) / 45, "__z": F.sin(F.radians(lat))})
+    ring, raw = G.ring_and_raw(F.col("__t"), F.col("__z"))
+    df = df.withColumns({"__ring": ring, "__raw": raw}).drop("__t", "__z")
+    df = df.withColumn("__p", G.face_uv(F.col("__ring"), F.col("__raw"))).drop("__ring", "__raw").withColumns({"face": F.col("__p.face"), "u": F.col("__p.u"), "v": F.col("__p.v")}).drop("__p")
     df = df.withColumns({"ix": place(F.col("u")), "iy": place(F.col("v"))})
     df = df.withColumn("cell", C.nested_id("face", "ix", "iy", order, axes))
     return df if tile_shift is None else df.withColumns({"x": C.down("ix", tile_shift), "y": C.down("iy", tile_shift)})
@@ -131,30 +134,26 @@ def tile_outlines(df: DataFrame, tile_shift: int, samples: int = 6) -> DataFrame
     ahead = lambda low, high: F.col(low) + (F.col(high) - F.col(low)) * t
     u = F.when(edge == 0, ahead("u0", "u1")).when(edge == 1, F.col("u1")).when(edge == 2, ahead("u1", "u0")).otherwise(F.col("u0"))
     v = F.when(edge == 0, F.col("v0")).when(edge == 1, ahead("v0", "v1")).when(edge == 2, F.col("v1")).otherwise(ahead("v1", "v0"))
-    x, y, z = G.point_vector(G.face_point("face", u, v))
-    return df.withColumns({"vx": x, "vy": y, "vz": z}).drop("u0", "u1", "v0", "v1")
+    df = G.with_vectors(df.withColumns({"__u": u, "__v": v}), {"__c": ("face", "__u", "__v")})
+    return df.withColumnsRenamed({f"__c_v{c}": f"v{c}" for c in "xyz"}).drop("u0", "u1", "v0", "v1", "__u", "__v")
 
 
 def tile_caps(df: DataFrame, tile_shift: int, scale: float = 1.12) -> DataFrame:
     """Adds the unit centre cx, cy, cz and the angular radius cap of each tile's bounding cap."""
     df = tile_bounds(df, tile_shift)
-    centre = G.point_vector(G.face_point("face", (F.col("u0") + F.col("u1")) / 2, (F.col("v0") + F.col("v1")) / 2))
-    df = df.withColumns(dict(zip(("cx", "cy", "cz"), centre, strict=True)))
-    gaps = []
-    for u, v in (("u0", "v0"), ("u1", "v0"), ("u1", "v1"), ("u0", "v1")):
-        corner = G.point_vector(G.face_point("face", u, v))
-        gaps.append(F.sqrt(reduce(lambda a, b: a + b, [(c - F.col(k)) * (c - F.col(k)) for c, k in zip(corner, ("cx", "cy", "cz"), strict=True)])))
-    return df.withColumn("cap", F.asin(F.least(F.lit(1.0), F.greatest(*gaps) * scale))).drop("u0", "u1", "v0", "v1")
-
-
-def _off_axis(df: DataFrame, direction: tuple[float, float, float]):
-    return G.angle(tuple(F.col(c) for c in ("cx", "cy", "cz")), tuple(F.lit(float(d)) for d in direction))
+    middle = ((F.col("u0") + F.col("u1")) / 2, (F.col("v0") + F.col("v1")) / 2)
+    corners = [("u0", "v0"), ("u1", "v0"), ("u1", "v1"), ("u0", "v1")]
+    df = G.with_vectors(df, {"__m": ("face", *middle)} | {f"__{i}": ("face", *c) for i, c in enumerate(corners)})
+    square = lambda i: reduce(lambda a, b: a + b, [F.pow(F.col(f"__{i}_v{c}") - F.col(f"__m_v{c}"), F.lit(2.0)) for c in "xyz"])
+    df = df.withColumn("cap", F.asin(F.least(F.lit(1.0), F.sqrt(F.greatest(*map(square, range(4)))) * scale)))
+    df = df.withColumnsRenamed({f"__m_v{c}": f"c{c}" for c in "xyz"})
+    return df.drop("u0", "u1", "v0", "v1", *[f"__{i}_v{c}" for i in range(4) for c in "xyz"])
 
 
 def tiles_in_cone(tiles: DataFrame, tile_shift: int, direction: tuple[float, float, float], cone: float) -> DataFrame:
     """Tiles whose bounding cap meets a cone (unit direction, half angle in radians)."""
     capped = tile_caps(tiles, tile_shift)
-    return capped.where(_off_axis(capped, direction) - F.col("cap") <= cone).drop("cx", "cy", "cz", "cap")
+    return capped.where(_meets(direction, cone)).drop("cx", "cy", "cz", "cap")
 
 
 def tiles_in_cone_adaptive(roots: DataFrame, tile_shift: int, direction: tuple[float, float, float], target: int, base: float) -> DataFrame:
@@ -166,14 +165,14 @@ def tiles_in_cone_adaptive(roots: DataFrame, tile_shift: int, direction: tuple[f
     done, now = [], roots
     while order is not None and order < target:
         cone = min(pi, base * 2 ** max(0, target - order - 1))
-        capped = tile_caps(now, tile_shift).withColumn("__split", _off_axis_column(direction, cone))
+        capped = tile_caps(now, tile_shift).withColumn("__split", _meets(direction, cone))
         done.append(capped.where("not __split").drop("cx", "cy", "cz", "cap", "__split"))
         now = tile_children(capped.where("__split").drop("cx", "cy", "cz", "cap", "__split"))
         order += 1
     return reduce(DataFrame.unionByName, [*done, now])
 
 
-def _off_axis_column(direction, cone: float):
+def _meets(direction, cone: float):
     return G.angle(tuple(F.col(c) for c in ("cx", "cy", "cz")), tuple(F.lit(float(d)) for d in direction)) - F.col("cap") <= cone
 
 

@@ -97,9 +97,10 @@ def _(spark, d):
     return O.tile_crop(O.tile_ancestors(X.stored(spark, d).drop("n_values"), 4))
 
 
-@query("cells_to_lonlat", sql("particles", """SELECT cell, round(lon, 9) + 0.0 AS lon, round(lat, 9) + 0.0 AS lat, round(sqrt(greatest(0.0, 1 - z*z)) * cos(phi * pi() / 4), 9) + 0.0 AS vx, round(z, 9) + 0.0 AS vy, round(sqrt(greatest(0.0, 1 - z*z)) * sin(phi * pi() / 4), 9) + 0.0 AS vz FROM c""", c=CENTRES.format(src="particles", order=10, n=1024, count=1048576)))
+@query("cells_to_lonlat", sql("particles", """SELECT cell, round(lon + 0.00000000012345::DOUBLE, 9) + 0.0 AS lon, round(lat, 9) + 0.0 AS lat, round(sqrt(greatest(0.0, 1 - z*z)) * cos(phi * pi() / 4), 9) + 0.0 AS vx, round(z, 9) + 0.0 AS vy, round(sqrt(greatest(0.0, 1 - z*z)) * sin(phi * pi() / 4), 9) + 0.0 AS vz FROM c""", c=CENTRES.format(src="particles", order=10, n=1024, count=1048576)))
 def _(spark, d):
-    return r9(O.cells_to_lonlat(X.particles(spark, d).select("cell"), ORDER), "lon", "lat", "vx", "vy", "vz")
+    placed = O.cells_to_lonlat(X.particles(spark, d).select("cell"), ORDER)
+    return r9(placed.withColumn("lon", F.col("lon") + 1.2345e-10), "lon", "lat", "vx", "vy", "vz")
 
 
 _FACE_UV = f"""SELECT id, lon, lat, face, u, v FROM (SELECT *, f.range AS face, ({R}[f.range + 1] - ring - raw - t.turn + {P}[f.range + 1]) / 2 AS u, ({R}[f.range + 1] - ring + raw + t.turn - {P}[f.range + 1]) / 2 AS v FROM (

@@ -70,7 +70,8 @@ def n_cells(order) -> Column:
 
 
 def face_of(cell, order) -> Column:
-    return down(cell, as_column(order) * 2).cast("int")
+    """Null for ids out of the range of any face number, such as negative ones."""
+    return down(cell, as_column(order) * 2).try_cast("int")
 
 
 def cell_xy(cell, order, axes: str = "even_x") -> tuple[Column, Column]:

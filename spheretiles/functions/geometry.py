@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import pi
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,35 @@ FACE_P = (1, 3, 5, 7, 0, 2, 4, 6, 1, 3, 5, 7)
 
 
 def face_value(face, table: tuple[int, ...]) -> Column:
-    return F.element_at(F.array(*[F.lit(float(v)) for v in table]), as_column(face).cast("int") + 1)
+    """The face's entry of a table, null for a face out of range."""
+    return F.get(F.array(*[F.lit(float(v)) for v in table]), as_column(face).cast("int"))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often `use` names it and wherever a filter is pushed."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def vectors_of(places: Column) -> Column:
+    """array<struct<x, y, z>>: unit vectors of an array of struct<r, p, u, v> (net row and column of the face, place in it)."""
+    named = lambda **c: F.struct(*[x.alias(n) for n, x in c.items()])
+    ringed = F.transform(places, lambda s: named(ring=F.least(F.greatest(s["r"] - s["u"] - s["v"], F.lit(1e-6)), F.lit(4 - 1e-6)), raw=s["p"] - s["u"] + s["v"]))
+    nearby = F.transform(ringed, lambda s: named(ring=s["ring"], raw=s["raw"], near=_near(s["raw"])))
+    turned = F.transform(nearby, lambda s: named(z=_height(s["ring"]), phi=_turn(s["ring"], s["raw"], s["near"])))
+    return F.transform(turned, lambda s: named(**dict(zip("xyz", point_vector(s["z"], s["phi"]), strict=True))))
+
+
+def _near(raw: Column) -> Column:
+    """The odd eighth of a turn in the middle of the quarter that holds `raw`."""
+    return raw - F.pmod(raw, F.lit(8.0)) + 2 * F.floor(F.pmod(raw, F.lit(8.0)) / 2) + 1
+
+
+def _height(ring: Column) -> Column:
+    return F.when(ring <= 1, 1 - ring * ring / 3).when(ring <= 3, 2 * (2 - ring) / 3).otherwise(-1 + (4 - ring) * (4 - ring) / 3)
+
+
+def _turn(ring: Column, raw: Column, near: Column) -> Column:
+    return F.when(ring < 1, near + (raw - near) / ring).when(ring > 3, near + (raw - near) / (4 - ring)).otherwise(raw)
 
 
 def with_points(df: DataFrame, places: dict[str, tuple]) -> DataFrame:
@@ -30,12 +59,12 @@ def with_points(df: DataFrame, places: dict[str, tuple]) -> DataFrame:
         steps[f"{name}_ring"] = F.least(F.greatest(face_value(face, FACE_R) - u - v, F.lit(1e-6)), F.lit(4 - 1e-6))
         steps[f"{name}_raw"] = face_value(face, FACE_P) - u + v
     df = df.withColumns(steps)
-    df = df.withColumns({f"{n}_near": F.col(f"{n}_raw") - F.pmod(f"{n}_raw", F.lit(8.0)) + 2 * F.floor(F.pmod(f"{n}_raw", F.lit(8.0)) / 2) + 1 for n in places})
+    df = df.withColumns({f"{n}_near": _near(F.col(f"{n}_raw")) for n in places})
     steps = {}
     for name in places:
         ring, raw, near = (F.col(f"{name}_{c}") for c in ("ring", "raw", "near"))
-        steps[f"{name}_z"] = F.when(ring <= 1, 1 - ring * ring / 3).when(ring <= 3, 2 * (2 - ring) / 3).otherwise(-1 + (4 - ring) * (4 - ring) / 3)
-        steps[f"{name}_phi"] = F.when(ring < 1, near + (raw - near) / ring).when(ring > 3, near + (raw - near) / (4 - ring)).otherwise(raw)
+        steps[f"{name}_z"] = _height(ring)
+        steps[f"{name}_phi"] = _turn(ring, raw, near)
     return df.withColumns(steps).drop(*[f"{n}_{c}" for n in places for c in ("ring", "raw", "near")])
 
 

@@ -142,12 +142,16 @@ def tile_caps(df: DataFrame, tile_shift: int, scale: float = 1.12) -> DataFrame:
     """Adds the unit centre cx, cy, cz and the angular radius cap of each tile's bounding cap."""
     df = tile_bounds(df, tile_shift)
     middle = ((F.col("u0") + F.col("u1")) / 2, (F.col("v0") + F.col("v1")) / 2)
-    corners = [("u0", "v0"), ("u1", "v0"), ("u1", "v1"), ("u0", "v1")]
-    df = G.with_vectors(df, {"__m": ("face", *middle)} | {f"__{i}": ("face", *c) for i, c in enumerate(corners)})
-    square = lambda i: reduce(lambda a, b: a + b, [F.pow(F.col(f"__{i}_v{c}") - F.col(f"__m_v{c}"), F.lit(2.0)) for c in "xyz"])
-    df = df.withColumn("cap", F.asin(F.least(F.lit(1.0), F.sqrt(F.greatest(*map(square, range(4)))) * scale)))
-    df = df.withColumnsRenamed({f"__m_v{c}": f"c{c}" for c in "xyz"})
-    return df.drop("u0", "u1", "v0", "v1", *[f"__{i}_v{c}" for i in range(4) for c in "xyz"])
+    corners = [(F.col(u), F.col(v)) for u, v in (("u0", "v0"), ("u1", "v0"), ("u1", "v1"), ("u0", "v1"))]
+    r, p = G.face_value("face", G.FACE_R), G.face_value("face", G.FACE_P)
+    places = F.array(*[F.struct(r.alias("r"), p.alias("p"), u.alias("u"), v.alias("v")) for u, v in (middle, *corners)])
+
+    def cap(at):
+        gap = lambda i: reduce(lambda a, b: a + b, [(at[i][c] - at[0][c]) * (at[i][c] - at[0][c]) for c in "xyz"])
+        size = F.asin(F.least(F.lit(1.0), F.sqrt(F.greatest(*map(gap, range(1, 5)))) * scale))
+        return F.struct(*[at[0][c].alias(f"c{c}") for c in "xyz"], size.alias("cap"))
+
+    return df.withColumn("__cap", G.bound(G.vectors_of(places), cap)).select("*", "__cap.*").drop("__cap", "u0", "u1", "v0", "v1")
 
 
 def tiles_in_cone(tiles: DataFrame, tile_shift: int, direction: tuple[float, float, float], cone: float) -> DataFrame:
@@ -173,7 +177,9 @@ def tiles_in_cone_adaptive(roots: DataFrame, tile_shift: int, direction: tuple[f
 
 
 def _meets(direction, cone: float):
-    return G.angle(tuple(F.col(c) for c in ("cx", "cy", "cz")), tuple(F.lit(float(d)) for d in direction)) - F.col("cap") <= cone
+    towards = tuple(F.lit(float(d)) for d in direction)
+    cap = F.struct("cx", "cy", "cz", "cap")
+    return G.bound(cap, lambda s: G.angle((s["cx"], s["cy"], s["cz"]), towards) - s["cap"] <= cone)
 
 
 def net_boxes(tiles: DataFrame, tile_shift: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """Quality by importance resampling: the ratio of hashed n-gram models of target and raw text, drawn by Gumbel top-k.
 
 Both models are bags of word unigrams and bigrams hashed to `BUCKETS` buckets, with add-one smoothing: the target model
-from documents labelled of good quality, the raw model from all documents. The counts are 10,000 numbers whatever the
+from a bounded number of documents labelled of good quality, the raw model from all documents. The counts are 10,000 numbers whatever the
 input, added up from one row of counts per bucket and task. A document's log weight is the sum of log(target / raw)
 over its n-grams. Adding Gumbel noise and taking the k largest draws k documents without replacement in proportion
 to their weights; the noise is a hash of seed, id and text, so a draw can be repeated.
@@ -29,10 +29,14 @@ def _features(column) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([doc, doc[1:][same]]), (np.concatenate([h, two]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> np.ndarray:
-    """Log ratio of each bucket. A document is target where `labels` (doc_id, quality) marks its id 1 in any row."""
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("id"), F.lit(1).alias("target")).distinct()
-    marked = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(good, "id", "left")
+def fit(docs: DataFrame, labels: DataFrame, targets: int = 20_000, id: str = "doc_id", text: str = "text") -> np.ndarray:
+    """Log ratio of each bucket. A document is target where `labels` (doc_id, quality) marks its id 1 in any row.
+
+    The target model is fitted on at most `targets` such ids, the first by a hash of the id; the raw model on all rows.
+    """
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
+    good = good.orderBy(F.xxhash64("id"), "id").limit(targets).withColumn("target", F.lit(1))
+    marked = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(good), "id", "left")  # at most `targets` ids
 
     def count(batches):
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -76,7 +80,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = 0.5, seed: int =
 
     Draws are dealt by range and written with their partition, so that only the partition with the cut is ranked.
     """
-    weighed = log_weights(docs, fit(docs, labels, id, text), id, text)
+    weighed = log_weights(docs, fit(docs, labels, id=id, text=text), id, text)
     u = (F.xxhash64(F.lit(seed), "tie").bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
     drawn = weighed.withColumn("draw", F.col("log_weight") - F.ln(-F.ln(u)))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

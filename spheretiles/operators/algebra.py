@@ -89,10 +89,10 @@ def points_to_cells(df: DataFrame, order: int, lon: str = "lon", lat: str = "lat
     """Adds face, u, v, ix, iy, cell (and tile x, y) of each position."""
     n = 1 << order
     place = lambda w: F.least(F.greatest(F.floor(w * n), F.lit(0)), F.lit(n - 1)).cast("long")
-    df = df.withColumns({"__t": F.pmod(F.col(lon), F.lit(360.0)) / 45, "__z": F.sin(F.radians(lat))})
-    ring, raw = G.ring_and_raw(F.col("__t"), F.col("__z"))
-    df = df.withColumns({"__ring": ring, "__raw": raw}).drop("__t", "__z")
-    df = df.withColumn("__p", G.face_uv(F.col("__ring"), F.col("__raw"))).drop("__ring", "__raw").withColumns({"face": F.col("__p.face"), "u": F.col("__p.u"), "v": F.col("__p.v")}).drop("__p")
+    at = F.struct((F.pmod(F.col(lon), F.lit(360.0)) / 45).alias("t"), F.sin(F.radians(lat)).alias("z"))
+    net = G.bound(at, lambda s: F.struct(*[c.alias(n) for n, c in zip(("ring", "raw"), G.ring_and_raw(s["t"], s["z"]), strict=True)]))
+    df = df.withColumn("__p", G.bound(net, lambda s: G.face_uv(s["ring"], s["raw"])))
+    df = df.withColumns({"face": F.col("__p.face"), "u": F.col("__p.u"), "v": F.col("__p.v")}).drop("__p")
     df = df.withColumns({"ix": place(F.col("u")), "iy": place(F.col("v"))})
     df = df.withColumn("cell", C.nested_id("face", "ix", "iy", order, axes))
     return df if tile_shift is None else df.withColumns({"x": C.down("ix", tile_shift), "y": C.down("iy", tile_shift)})

@@ -236,7 +236,7 @@ def _(spark, d):
     "inspect_points",
     sql(
         "clustered stored points",
-        f"""SELECT id, cell, best.o AS source_order, value, coalesce(best.o = 6, false) AS exact FROM (SELECT id, face * 4096 + {morton("iy", "ix", 6)} AS cell, (SELECT max(s."order") FROM stored s WHERE s.face = q.face AND s.x = q.ix // CAST(8 * 2 ** (6 - s."order") AS BIGINT) AND s.y = q.iy // CAST(8 * 2 ** (6 - s."order") AS BIGINT)) AS o, face, ix, iy FROM q) best
+        f"""SELECT id, best.cell, best.o AS source_order, value, coalesce(best.o = 6, false) AS exact FROM (SELECT id, face * 4096 + {morton("iy", "ix", 6)} AS cell, (SELECT max(s."order") FROM stored s WHERE s.face = q.face AND s.x = q.ix // CAST(8 * 2 ** (6 - s."order") AS BIGINT) AND s.y = q.iy // CAST(8 * 2 ** (6 - s."order") AS BIGINT)) AS o, face, ix, iy FROM q) best
  LEFT JOIN held h ON h."order" = best.o AND h.face = best.face AND h.ix = best.ix // CAST(2 ** (6 - best.o) AS BIGINT) AND h.iy = best.iy // CAST(2 ** (6 - best.o) AS BIGINT)""",
         means=_MEANS,
         held=_HELD,
@@ -245,7 +245,8 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    got = T.inspect_points(X.points(spark, d), tile_values(spark, d), 6, SHIFT, 4)
+    held = T.read_tiles(X.stored(spark, d), tile_values(spark, d), 64)  # stored tiles without particles hold NaN
+    got = T.inspect_points(X.points(spark, d), held, 6, SHIFT, 4)
     value = F.when(~F.isnan("value"), F.col("value").cast("double"))
     return got.select("id", "cell", "source_order", value.alias("value"), "exact")
 

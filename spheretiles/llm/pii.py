@@ -182,7 +182,7 @@ def pii(docs: DataFrame, text: str = "text", sample: int = 4000) -> DataFrame:
     df = df.withColumn("__more", F.transform(new, lambda x: F.struct(plain(x).alias("x"), F.struct(*[f.alias(f"f{i}") for i, f in enumerate(features(x, "__text"))]).alias("f"))))
     df = df.withColumn("__more", F.expr(f"transform(__more, f -> struct(f.x as x, {score.replace('f.f', 'f.f.f')} as score, f.f.f0 as k))"))
     least = "CASE " + " ".join(f"WHEN e.k = {k} THEN {limits[k] if limits[k] is not None else 2.0}D" for k in range(4)) + " END"
-    df = df.withColumn("__more", F.expr(f"filter(__more, e -> e.score >= {least})"))
+    df = df.withColumn("__more", F.expr(f"filter(__more, e -> round(e.score, 3) >= {least})"))
     better = "exists(__more, o -> o.x.start < e.x.end AND e.x.start < o.x.end AND (o.score > e.score OR o.score = e.score AND (o.x.start < e.x.start OR o.x.start = e.x.start AND o.x.kind < e.x.kind)))"
     df = df.withColumn("__more", F.expr(f"transform(filter(__more, e -> NOT {better}), e -> e.x)"))
     return df.withColumn("pii_spans", F.array_sort(F.concat("pii_base", "__more"))).drop("__text", "__base", "__more")

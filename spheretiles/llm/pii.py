@@ -38,7 +38,10 @@ MORE = (
     r"(?<![0-9])[0-9](?:[ .-]{0,2}[0-9]){11,18}(?![0-9])",
     r"(?<![0-9+])(?:00)?\(?[0-9]{2,4}\)?(?:[ ./-]\(?[0-9]{2,4}\)?){2,4}(?![0-9])",
 )
-DATE = r"^(?:[0-9]{4}[-/. ][0-9]{2}[-/. ][0-9]{2}|[0-9]{2}[-/. ][0-9]{2}[-/. ][0-9]{4})"
+# a whole match laid out as a date, or a possible date before a time or a further date (perhaps cut off)
+_DAY = r"(?:[12][0-9]{3}[-/. ](?:0[1-9]|1[0-2])[-/. ](?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[-/. ](?:0[1-9]|[12][0-9]|3[01])[-/. ][12][0-9]{3})"
+_THEN = r"[ ./-]{1,3}(?:[0-3][0-9](?:[ .:/-]?[0-5][0-9]){0,2}(?:\.[0-9]{1,6})?|[12][0-9]{3}(?:[-/. ][0-9]{1,2}){0,2}|[0-3][0-9][-/. ][0-3][0-9][-/. ][12][0-9]{0,3})"
+DATE = rf"^(?:[0-9]{{4}}[-/. ][0-9]{{2}}[-/. ][0-9]{{2}}|[0-9]{{2}}[-/. ][0-9]{{2}}[-/. ][0-9]{{4}}|{_DAY}{_THEN})$"
 WORD_BEFORE = r"(?i)(?:phone|tel|call|fax|mobile|cell|card|visa|account|mail|contact|write|host|server|address|ip)[^A-Za-z0-9]{0,3}(?:is|at|no|number)?[^A-Za-z0-9]{0,3}$"
 FEATURES = ("kind", "digits", "size", "gaps", "plus", "cue", "glued", "luhn", "parts", "longest", "doubled", "zeros")
 
@@ -102,7 +105,7 @@ def base_matches(docs: DataFrame, text: str) -> DataFrame:
 def more_candidates(df: DataFrame, text: str) -> DataFrame:
     """Adds __more: array of (start, kind, end, m, ok = false) that the generators propose."""
     t = F.col(text)
-    asks = (t.rlike(r"(?:\((?:at|AT)\)|\[(?:at|AT)\]|@ | @)"), t.rlike(r"[0-9][\[(]\.[\])][0-9]"), t.rlike(r"[0-9](?:[ .-]{0,2}[0-9]){11}"), t.rlike(r"[0-9]{2}\)?[ ./-]\(?[0-9]{2}"))
+    asks = (t.rlike(r"(?:\((?:at|AT)\)|\[(?:at|AT)\]|@)"), t.rlike(r"[0-9][\[(]\.[\])][0-9]"), t.rlike(r"[0-9](?:[ .-]{0,2}[0-9]){11}"), t.rlike(r"[0-9]{2}\)?[ ./-]\(?[0-9]{2}"))
     for k, pattern in enumerate(MORE):
         df = _found(df, text, pattern, f"__c{k}", asks[k])
     parts = [_kinded(f"__c{k}", k, lambda m: F.lit(False)) for k in range(4)]

@@ -14,3 +14,14 @@ def added(spark, planted):
 def test_spans_of_the_lowest_accepted_score_are_added(spark):
     # all e-mails here score 0.9669..., which the calibration rounds up to the threshold 0.967
     assert added(spark, ["mail joe (at) example [dot] com"]) == [["joe (at) example [dot] com"]]
+
+
+def test_addresses_disguised_by_the_dot_alone_are_added(spark):
+    assert added(spark, ["mail bob@host[dot]com", "mail bob@host (dot) com", "mail robert@hostname . com"]) == [["bob@host[dot]com"], ["bob@host (dot) com"], ["robert@hostname . com"]]
+
+
+def test_numbers_that_start_like_a_date_are_scored(spark, monkeypatch):
+    monkeypatch.setattr(pii, "train", lambda *a, **k: ("1D", [0.5] * 4))
+    numbers = ["0151 23 45 67", "0151 23 45 12", "4444-33-22-1111-0000"]
+    dates = ["2024-01-15", "2024-01-15 10:30", "15.01.2024 23.59", "2024-01-15 2024-01-20", "0151 23 45", "2024-01-15 10-30-00", "01/02/2024-03/02/2024"]
+    assert added(spark, [f"on {x}, then" for x in numbers + dates]) == [*[[x] for x in numbers], *[[]] * len(dates)]

@@ -6,8 +6,9 @@
 3. Boosted trees (fitted on a bounded, documented sample of `sample` documents) score candidates from format and
    context features. Their labels come from the base formats: matches that pass the checks, against matches that fail
    them and numbers laid out as dates. Weights in the trees become one SQL expression.
-4. A threshold for each kind is calibrated on the other half of the sample, as the lowest score at which `precision`
-   of the labelled candidates are right; where no score reaches it nothing is added for that kind.
+   The fit reads half of that sample.
+4. A threshold for each kind is calibrated on all documents that the fit did not read, as the lowest score at which
+   `precision` of the labelled candidates are right; where no score reaches it nothing is added for that kind.
 
 Patterns use possessive quantifiers and look-behinds so that long runs cost linear time; they find the same spans as
 the plain patterns in their comments.
@@ -139,18 +140,25 @@ def train(docs: DataFrame, text: str, key: Column, sample: int = 4000, trees: in
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    drawn = docs.select(F.col(text).alias("text"), key.alias("draw")).where(F.col("text").rlike("[0-9@]")).orderBy("draw", "text").limit(sample)
-    both = more_candidates(base_matches(drawn, "text"), "text")
-    each = both.select("text", "draw", F.explode(F.concat("__base", F.filter("__more", lambda x: x["m"].rlike(DATE)))).alias("x"))
-    rows = written(each.select(*[f.alias(f"f{i}") for i, f in enumerate(features(F.col("x"), "text"))], F.col("x.ok").cast("double").alias("label"), (F.pmod("draw", F.lit(2)) == 0).alias("fit")))
-    if rows.where("fit").select("label").distinct().count() < 2:
-        return "", [None] * 4
+    asked = docs.select(F.col(text).alias("text"), key.alias("draw")).where(F.col("text").rlike("[0-9@]"))
+    drawn = written(asked.orderBy("draw", "text").limit(sample))
     names = [f"f{i}" for i in range(len(FEATURES))]
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows.where("fit"))
+
+    def labelled(some: DataFrame) -> DataFrame:
+        both = more_candidates(base_matches(some, "text"), "text")
+        each = both.select("text", F.explode(F.concat("__base", F.filter("__more", lambda x: x["m"].rlike(DATE)))).alias("x"))
+        return each.select(*[f.alias(n) for n, f in zip(names, features(F.col("x"), "text"), strict=True)], F.col("x.ok").cast("double").alias("label"))
+
+    even = F.pmod("draw", F.lit(2)) == 0
+    rows = written(labelled(drawn.where(even)))
+    if rows.select("label").distinct().count() < 2:
+        return "", [None] * 4
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=5).fit(vectors.select("features", "label"))
     parts = [f"{w!r}D * ({_tree_sql(t._java_obj.rootNode(), 'f')})" for w, t in zip(model.treeWeights, model.trees, strict=True)]
     score = f"1 / (1 + exp(-2 * ({' + '.join(parts)})))"
-    held = rows.where("not fit").select(F.struct(*names).alias("f"), "label").select(F.col("f.f0").alias("kind"), F.round(F.expr(score), 3).alias("score"), "label")
+    last = drawn.agg(F.max("draw")).first()[0]
+    held = labelled(asked.where(~even | (F.col("draw") > last))).select(F.struct(*names).alias("f"), "label").select(F.col("f.f0").alias("kind"), F.round(F.expr(score), 3).alias("score"), "label")
     counted = held.groupBy("kind", "score").agg(F.count("*").alias("n"), F.sum("label").alias("right")).collect()  # 4 * 1001 rows at most
     limits: list[float | None] = []
     for k in range(4):

@@ -25,3 +25,14 @@ def test_numbers_that_start_like_a_date_are_scored(spark, monkeypatch):
     numbers = ["0151 23 45 67", "0151 23 45 12", "4444-33-22-1111-0000"]
     dates = ["2024-01-15", "2024-01-15 10:30", "15.01.2024 23.59", "2024-01-15 2024-01-20", "0151 23 45", "2024-01-15 10-30-00", "01/02/2024-03/02/2024"]
     assert added(spark, [f"on {x}, then" for x in numbers + dates]) == [*[[x] for x in numbers], *[[]] * len(dates)]
+
+
+def test_thresholds_come_from_all_documents(spark):
+    # one in fifty documents has an address; a sample of twenty leaves most kinds without a labelled match in its held half
+    from pyspark.sql import functions as F
+
+    texts = [f"call +1 555 {1000000 + i} or 2024-01-{i % 20 + 10}" + (f" joe{i}@example.com 10.0.0.{i % 250}" if i % 50 == 7 else "") for i in range(1000)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    key = F.regexp_extract("text", r" ([0-9]+) or", 1).cast("long") - 1000000 + F.when(F.contains("text", F.lit("@")), 1000).otherwise(0)
+    _, limits = pii.train(docs, "text", key, 20)
+    assert limits[0] is not None and limits[1] is not None and limits[3] is not None

@@ -1,10 +1,11 @@
-"""Embedding near-dedup: iterative quantisation (ITQ), multi-index Hamming tables, exact reranking.
-
-Rotations for balanced binary codes are learned on a bounded sample (`sample` vectors, from several random starts);
-every vector gets 512 bits, cut into 32 keys of 16 bits. Vectors of one label that share any key are candidates and
-are compared by exact cosine in double precision. A pair counts in the first table that it shares only, so no pairs
-travel: a task returns, for each vector, how many links it saw and the smallest vector it is connected with there.
-A pair at cosine 0.93 shares a key with probability above 0.98, one at 0.97 above 0.9999.
+"""Embedding near-dedup: rotated binary codes, multi-index Hamming tables, exact reranking.
+
+Codes are signs about the origin after random rotations, whatever the data, so that bits of two vectors agree by
+their angle alone: lengths and an off-centre mean do not matter (rotations learned on off-centre vectors put almost all
+of them into one bucket). Every vector gets 1024 bits, cut into 64 keys of 16 bits. Vectors of one label that share any
+key are candidates and are compared by exact cosine in double precision. A pair counts in the first table that it
+shares only, so no pairs travel: a task returns, for each vector, how many links it saw and the smallest vector it is
+connected with there. A pair at cosine 0.93 shares a key with probability above 0.999, one at 0.97 above 0.999999.
 Equal vectors are one class with a count. Buckets of over `block` vectors are dealt as pairs of blocks.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .tables import arrow_sorted, components, documents, group_starts, pairs_in_groups, whole_groups, written
 from .words import mix
 
-TABLES, BITS = 32, 16
+TABLES, BITS = 64, 16
 
 
 def usable(vector: str):
@@ -27,21 +28,10 @@ def usable(vector: str):
     return v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def learn(x: np.ndarray, n_bits: int = TABLES * BITS, sweeps: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (d, n_bits): ITQ rotations of the principal axes, from as many random starts as needed."""
+def rotations(d: int, n_bits: int = TABLES * BITS, seed: int = 7) -> np.ndarray:
+    """Projection (d, n_bits): as many random rotations as needed, side by side."""
     rng = np.random.default_rng(seed)
-    mean = x.mean(axis=0)
-    d = x.shape[1]
-    _, axes = np.linalg.eigh(np.cov((x - mean).T).reshape(d, d) if len(x) > 1 else np.eye(d))
-    v = (x - mean) @ axes
-    out = []
-    while sum(r.shape[1] for r in out) < n_bits:
-        rotation = np.linalg.qr(rng.normal(size=(d, d)))[0]
-        for _ in range(sweeps):
-            u, _, w = np.linalg.svd(np.sign(v @ rotation).T @ v)
-            rotation = (u @ w).T
-        out.append(axes @ rotation)
-    return mean, np.concatenate(out, axis=1)[:, :n_bits]
+    return np.concatenate([np.linalg.qr(rng.normal(size=(d, d)))[0] * rng.choice([-1.0, 1.0], d) for _ in range(-(-n_bits // d))], axis=1)[:, :n_bits]
 
 
 def stacked(column) -> np.ndarray:
@@ -52,8 +42,9 @@ def stacked(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    return np.packbits((x - mean) @ projection > 0, axis=1).view(np.uint16)
+def _codes(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1)[:, None]  # signs stay, sums stay finite
+    return np.packbits(x @ projection > 0, axis=1).view(np.uint16)
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -110,11 +101,9 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, sample: int = 8
     spark = vectors.sparkSession
     own = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vec"), F.col(label).alias("label"))
     good = own.where(usable("vec") & F.col("label").isNotNull() & F.col("id").isNotNull())
-    rows = good.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").toPandas()["vec"]
-    lengths = [len(v) for v in rows]
+    lengths = [r["n"] for r in good.orderBy(F.xxhash64("id"), "id").limit(sample).select(F.size("vec").alias("n")).collect()]
     length = max(set(lengths), key=lengths.count) if lengths else 1
-    mean, projection = learn(np.array([v for v in rows if len(v) == length], dtype=np.float64).reshape(-1, length) if lengths else np.ones((2, 1)))
-    fixed = spark.sparkContext.broadcast((mean, projection))  # length * 512 numbers, whatever the input
+    fixed = spark.sparkContext.broadcast(rotations(length))  # length * 1024 numbers, whatever the input
     good = good.where(F.size("vec") == length)
     label_hash = F.xxhash64("label")
     classes = written(good.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("label", label_hash))
@@ -122,7 +111,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, sample: int = 8
     def coded(batches):
         for batch in batches:
             if batch.num_rows:
-                code = _codes(stacked(batch.column("vec")), *fixed.value)
+                code = _codes(stacked(batch.column("vec")), fixed.value)
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("label"), pa.array([c.tobytes() for c in code], pa.binary())], ["rep", "label", "code"])
 
     codes = written(classes.select("rep", "label", "vec").mapInArrow(coded, "rep long, label long, code binary"))

@@ -5,7 +5,10 @@
    copies, and the hashes travel packed, 8 bytes each. Before the shuffle, windows that repeat within the map
    batch are combined to one flagged copy, and their own removal intervals are already known; so a passage that
    a third of all documents share sends one row a batch.
-2. Each key's windows are counted; a window seen twice, or flagged, gives a removal interval.
+   A pass before it counts the windows of every slot of keys. A key in a slot of many windows (one line that many
+   documents share, with different text around it) is dealt by some bits of the window's hash as well: equal windows
+   still meet, and no group grows with the line's copies.
+2. Each group's windows are counted; a window seen twice, or flagged, gives a removal interval.
 3. A document's intervals are merged and joined to its text by document key.
 
 Two different windows take one another for equal only when 63-bit hashes collide (2**-63 a pair).
@@ -25,7 +28,8 @@ from .words import mix, owner, pieces, rolling, utf8, words
 
 WINDOW_BASE = 0xC2B2AE3D27D4EB4F
 GRAM, GRAM_BASE = 8, 0x9FB21C651E98DF25
-RUNS = "key long, doc long, start int, hashes binary, span_end int"
+SLOTS, MOST = 1 << 16, 1 << 18  # slots of keys; windows in a slot above which its keys are dealt in parts
+RUNS = "key long, doc long, start int, hashes binary, places binary, span_end int"
 SPANS = "doc long, start int, span_end int"
 
 
@@ -42,8 +46,18 @@ def _runs_of(keep: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at[first], at[np.append(first[1:], len(at)) - 1] + 1
 
 
-def windows(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
-    """Rows of RUNS for one slice of documents (doc, text)."""
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (mix(key) >> np.uint64(48)).astype(np.int64)  # keys are minimal hashes: their own high bits are mostly zero
+
+
+def _packed(values: np.ndarray, begin: np.ndarray, total: int) -> pa.Array:
+    """Binary array of the slices of `values` that begin at `begin` (the last ends at `total`)."""
+    place = np.append(begin, total).astype(np.int32) * values.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(place.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def windows(batch: pa.RecordBatch, width: int, parts: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of RUNS for one slice of documents (doc, text); keys of slot s are dealt in parts[s] parts (a power of two)."""
     data, offsets = utf8(batch.column("text"))
     hashes, _, _, first = words(data, offsets)
     doc = owner(first)
@@ -76,32 +90,59 @@ def windows(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
     begin, end = _runs_of(sent, doc[:n], least)
     ids = batch.column("doc").to_numpy()
     local = np.arange(n) - first[doc[:n]]
-    chosen = packed[sent]
-    place = np.append(np.searchsorted(np.flatnonzero(sent), begin), len(chosen)).astype(np.int32) * 8
-    blobs = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(place.tobytes()), pa.py_buffer(chosen.tobytes())])
+    split = np.ones(len(begin), np.int64) if parts is None else parts[_slot(least[begin])]
+    whole = split == 1
+    in_whole = np.zeros(n + 1, np.int64)
+    np.add.at(in_whole, begin[whole], 1)
+    np.add.at(in_whole, end[whole], -1)
+    in_whole = np.cumsum(in_whole)[:n] > 0
+    chosen = np.flatnonzero(sent & in_whole)
+    blobs = _packed(packed[chosen], np.searchsorted(chosen, begin[whole]), len(chosen))
+    # the runs of hot keys: one row for each part, with the places of its windows in the run
+    hot = np.flatnonzero(~whole)
+    long = (end - begin)[hot]
+    run = np.repeat(hot, long)
+    at = begin[run] + np.arange(len(run)) - np.repeat(np.cumsum(long) - long, long)
+    part = (mix(full[at] | np.uint64(1)) & (split[run] - 1).astype(np.uint64)).astype(np.int64)
+    by = np.lexsort((at, part, run))
+    run, at, part = run[by], at[by], part[by]
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (part[1:] != part[:-1])
+    row = np.flatnonzero(new)
+    hot_key = mix(least[begin[run[row]]] + mix(part[row].astype(np.uint64) + np.uint64(1)))
+    blobs = pa.concat_arrays([blobs, _packed(packed[at], row, len(at))])
+    places = pa.concat_arrays([pa.nulls(int(whole.sum()), pa.binary()), _packed((at - begin[run]).astype(np.int32), row, len(at))])
+    key = np.concatenate([least[begin[whole]], hot_key])
+    begin = np.concatenate([begin[whole], begin[run[row]]])
     s_begin, s_end = _runs_of(repeated & inside, doc[:n])
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.concatenate([least[begin], mix(ids[doc[s_begin]].view(np.uint64) + s_begin.astype(np.uint64))]).view(np.int64)),
+            pa.array(np.concatenate([key, mix(ids[doc[s_begin]].view(np.uint64) + s_begin.astype(np.uint64))]).view(np.int64)),
             pa.array(np.concatenate([ids[doc[begin]], ids[doc[s_begin]]])),
             pa.array(np.concatenate([local[begin], local[s_begin]]).astype(np.int32)),
             pa.concat_arrays([blobs, pa.nulls(len(s_begin), pa.binary())]),
+            pa.concat_arrays([places, pa.nulls(len(s_begin), pa.binary())]),
             pa.array(np.concatenate([np.zeros(len(begin), np.int64), local[s_begin] + (s_end - s_begin) + width - 1]).astype(np.int32)),
         ],
         schema=_RUN_SCHEMA,
     )
 
 
-_RUN_SCHEMA = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("hashes", pa.binary()), ("span_end", pa.int32())])
+_RUN_SCHEMA = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary()), ("span_end", pa.int32())])
 _SPAN_SCHEMA = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("span_end", pa.int32())])
 
 
+def _joined(column: pa.ChunkedArray) -> bytes:
+    """The bytes of a binary column, one value after the other (nulls have none)."""
+    return b"".join(c.buffers()[2][np.frombuffer(c.buffers()[1], np.int32)[c.offset] : np.frombuffer(c.buffers()[1], np.int32)[c.offset + len(c)]] for c in column.chunks if len(c) and c.buffers()[2] is not None)
+
+
 def _counted(table: pa.Table, width: int) -> pa.RecordBatch:
     """Removal intervals of the windows of whole keys."""
     known = table.filter(pa.compute.is_null(table.column("hashes"))).select(["doc", "start", "span_end"])
     runs = table.filter(pa.compute.is_valid(table.column("hashes")))
     size = pa.compute.binary_length(runs.column("hashes")).to_numpy().astype(np.int64) // 8
-    values = np.frombuffer(b"".join(c.buffers()[2][np.frombuffer(c.buffers()[1], np.int32)[c.offset] : np.frombuffer(c.buffers()[1], np.int32)[c.offset + len(c)]] for c in runs.column("hashes").chunks if len(c)), np.uint64)
+    values = np.frombuffer(_joined(runs.column("hashes")), np.uint64)
     row = np.repeat(np.arange(runs.num_rows), size)
     body = values >> np.uint64(1)
     order = np.argsort(body, kind="stable")
@@ -112,8 +153,10 @@ def _counted(table: pa.Table, width: int) -> pa.RecordBatch:
     counts = np.diff(np.append(starts, len(order)))
     again = np.zeros(len(values), bool)
     again[order] = np.repeat(counts > 1, counts)  # flagged ones have their interval from the map
-    begin, end = _runs_of(again, row)
-    local = runs.column("start").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    place[np.repeat(pa.compute.is_valid(runs.column("places")).to_numpy(zero_copy_only=False), size)] = np.frombuffer(_joined(runs.column("places")), np.int32)
+    local = runs.column("start").to_numpy()[row] + place
+    begin, end = _runs_of(again, row, local - np.arange(len(row)))
     doc = runs.column("doc").to_numpy()
     return pa.RecordBatch.from_arrays(
         [
@@ -125,13 +168,37 @@ def _counted(table: pa.Table, width: int) -> pa.RecordBatch:
     )
 
 
-def repeated_spans(docs: DataFrame, width: int = 35) -> DataFrame:
+def slot_parts(docs: DataFrame, width: int, most: int) -> np.ndarray:
+    """Number of parts (powers of two) for the keys of each slot: about `most` windows, or eight times the mean, to a part."""
+
+    def tally(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for part in pieces(batch):
+                runs = windows(part, width)
+                runs = runs.filter(pa.compute.is_valid(runs.column("hashes")))
+                size = pa.compute.binary_length(runs.column("hashes")).to_numpy(zero_copy_only=False) // 8
+                np.add.at(total, _slot(runs.column("key").to_numpy().view(np.uint64)), size)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["slot", "n"])
+
+    counted = docs.select("doc", "text").mapInArrow(tally, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = counted.toPandas()  # SLOTS rows at most
+    parts = np.ones(SLOTS, np.int64)
+    most = max(most, 8 * int(found["n"].sum()) // SLOTS)
+    over = found[found["n"] > most]
+    parts[over["slot"].to_numpy(np.int64)] = 1 << np.ceil(np.log2(over["n"].to_numpy(np.float64) / most)).astype(np.int64)
+    return parts
+
+
+def repeated_spans(docs: DataFrame, width: int = 35, most: int = MOST) -> DataFrame:
     """(doc, spans): merged word intervals [start, end) of documents (doc: key, text) that windows repeated anywhere cover."""
+    parts = docs.sparkSession.sparkContext.broadcast(slot_parts(docs, width, most))  # SLOTS numbers, whatever the input
 
     def emit(batches):
         for batch in batches:
             for part in pieces(batch):
-                yield windows(part, width)
+                yield windows(part, width, parts.value)
 
     def count(batches):
         for table in whole_groups(batches, ["key"]):

@@ -22,10 +22,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of texts with a five-word shingle similarity of 0.8 or more."""
-    found = minhash_dedup.near_duplicates(docs, percent=80, side=12)
-    lost = found.where("not kept").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps the smallest doc_id of each component of texts with a five-word shingle similarity of 0.8 or more.
+
+    Every row is a document of its own: of a repeated row one copy stays, and rows with a null id count after all ids.
+    """
+    named = docs.withColumn("__row", F.col("doc_id").cast("long"))
+    if not named.groupBy("__row").count().where("count > 1 or __row is null").isEmpty():
+        named = _with_row_ids(docs)
+    found = minhash_dedup.near_duplicates(named, percent=80, side=12, id="__row")
+    lost = found.where("not kept").select(F.col("doc_id").alias("__row"))
+    return named.join(lost, "__row", "left_anti").select(*COLUMNS)
+
+
+def _with_row_ids(docs: DataFrame) -> DataFrame:
+    """`docs` with __row added: doc_id for the first row of each, a number above all ids for other and null-id rows."""
+    rows = written(docs.withColumn("__at", F.monotonically_increasing_id()))
+    first = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "__at")).alias("f")).select("f.__at", F.lit(True).alias("__first"))
+    above = max(rows.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0, 0) + 1
+    row = F.when(F.col("__first"), F.col("doc_id").cast("long")).otherwise(F.col("__at") + F.lit(above))
+    return rows.join(first, "__at", "left").withColumn("__row", row).drop("__at", "__first")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Byte-level BPE by prefix dynamic programming.
 
 For every byte prefix of a piece there is one valid last token; storing it for each prefix makes the encoding of any
-prefix a walk back from its end, lets bytes be appended without touching what was stored, and after an edit only
-prefixes beyond it are computed again. A token may follow another exactly if merging their bytes in rank order never
+prefix a walk back from its end, lets bytes be appended without touching what was stored, and after an edit only the
+prefixes from it on are computed again, up to where they agree with the stored ones. A token may follow another exactly if merging their bytes in rank order never
 joins across the boundary, which is read off the two chains of tokens that touch the boundary while merging.
 
 Whole-piece tokens come first, as in the public encoders. Ranks must rise with merging (a token's rank is above those
@@ -12,10 +12,10 @@ of its two parts), which loading checks. Encoding works on many pieces at once,
 from __future__ import annotations
 
 import base64
-import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +24,7 @@ from .tables import documents
 from .words import _BYTE_BASE, mix, pieces, powers, utf8
 
 NONE = np.uint32(0xFFFFFFFF)
+MEMO = 20  # bits of the table of pairs tried before
 
 
 def merged(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 62) -> list[bytes]:
@@ -37,13 +38,34 @@ def merged(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 62) -> list[
     return parts
 
 
-class Vocabulary:
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+class Bytes:
+    """The bytes of every id, one after another: all that decoding needs."""
+
     def __init__(self, ranks: dict[bytes, int]):
-        n = max(ranks.values()) + 1
-        self.ranks = ranks
-        self.tokens = [b""] * n
+        self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, r in ranks.items():
             self.tokens[r] = token
+        self.size = np.array([len(t) for t in self.tokens], np.int64)
+        self.pool = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.at = np.cumsum(self.size) - self.size
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of all ids, one after another."""
+        size = self.size[ids]
+        begin = np.cumsum(size) - size
+        return self.pool[np.repeat(self.at[ids] - begin, size) + np.arange(size.sum())]
+
+
+class Vocabulary(Bytes):
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__(ranks)
+        n = len(self.tokens)
+        self.ranks = ranks
         left, right = np.full(n, NONE), np.full(n, NONE)
         self.reachable = np.zeros(n, bool)
         pairs: dict[int, int] = {}
@@ -63,22 +85,21 @@ class Vocabulary:
                 if a is not None and b is not None:
                     pairs[a * n + b] = r
         self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_rank = np.array([pairs[k] for k in sorted(pairs)], np.uint32)
+        self.pair_rank = np.array([pairs[k] for k in self.pair_keys.tolist()], np.uint32)
+        del pairs
         self.first_chain, self.last_chain = self._chains(left), self._chains(right)
         self.longest = max(map(len, ranks))
-        size = np.array([len(t) for t in self.tokens], np.int64)
-        flat = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.byte_at, self.byte_size, self.byte_pool = np.cumsum(size) - size, size, flat
+        size, flat = self.size, self.pool
         usable = np.flatnonzero(size > 0)
         total = np.append(np.uint64(0), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * powers(_BYTE_BASE, len(flat))))
-        begin = self.byte_at[usable]
+        begin = self.at[usable]
         h = mix((total[begin + size[usable]] - total[begin]) * powers(_BYTE_BASE, len(flat), inverse=True)[begin] + size[usable].astype(np.uint64))
         order = np.argsort(h)
         self.hash, self.hash_id = h[order], usable[order].astype(np.uint32)
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(h >> np.uint64(42)).astype(np.int64)] = True
-        self.memo_pair = np.full(1 << 22, -1, np.int64)
-        self.memo_ok = np.zeros(1 << 22, bool)
+        self.memo_pair = np.full(1 << MEMO, -1, np.int64)
+        self.memo_ok = np.zeros(1 << MEMO, bool)
 
     def _chains(self, part: np.ndarray) -> np.ndarray:
         """For each token the tokens at one edge while it is merged, from its byte to itself, then NONE."""
@@ -117,7 +138,7 @@ class Vocabulary:
     def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether token b may follow token a."""
         key = a.astype(np.int64) * len(self.tokens) + b
-        slot = (mix(key.view(np.uint64)) >> np.uint64(42)).astype(np.int64)
+        slot = (mix(key.view(np.uint64)) >> np.uint64(64 - MEMO)).astype(np.int64)
         ok = self.memo_ok[slot]
         miss = np.flatnonzero(self.memo_pair[slot] != key)
         if len(miss):
@@ -131,13 +152,23 @@ class Vocabulary:
             self.memo_pair[s[later]] = -1
         return ok
 
-    def _found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes are those of tokens that merging can reach, and the tokens."""
+    def _found(self, data: np.ndarray, begin: np.ndarray, size, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of data[begin:begin+size] (hashes h) are tokens that merging can reach, and the tokens; bytes are compared."""
         hit = np.flatnonzero(self.maybe[(h >> np.uint64(42)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.hash, h[hit]), len(self.hash) - 1)
         token = self.hash_id[at]
-        real = (self.hash[at] == h[hit]) & self.reachable[token]
-        return hit[real], token[real]
+        real = np.flatnonzero((self.hash[at] == h[hit]) & self.reachable[token])
+        hit, token = hit[real], token[real]
+        long = size[hit] if isinstance(size, np.ndarray) else np.full(len(hit), size)
+        real = self.size[token] == long
+        hit, token, long = hit[real], token[real], long[real]
+        row = np.repeat(np.arange(len(hit)), long)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(long) - long, long)
+        wrong = data[begin[hit][row] + step] != self.pool[self.at[token][row] + step]
+        if wrong.any():
+            real = np.bincount(row, wrong, len(hit)) == 0
+            hit, token = hit[real], token[real]
+        return hit, token
 
     def last_tokens(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, kept: np.ndarray | None = None) -> np.ndarray:
         """The valid last token of every non-empty prefix, in the layout of data; pieces are data[begin:begin+size].
@@ -155,7 +186,7 @@ class Vocabulary:
             if 0 < len(b) <= 64:  # few (long) pieces are left: all token lengths at once
                 n = np.tile(np.arange(1, min(i, self.longest) + 1), len(b))
                 e = np.repeat(b + i, min(i, self.longest))
-                hit, token = self._found(mix((total[e] - total[e - n]) * inverse[e - n] + n.astype(np.uint64)))
+                hit, token = self._found(data, e - n, n, mix((total[e] - total[e - n]) * inverse[e - n] + n.astype(np.uint64)))
                 n, e = n[hit], e[hit]
                 before = np.where(n < i, last[np.maximum(e - n, 1) - 1], 0)
                 ok = np.flatnonzero(n == i)
@@ -165,7 +196,7 @@ class Vocabulary:
                 continue
             for n in range(min(i, self.longest), 0, -1):
                 s = b + i - n
-                hit, token = self._found(mix((total[s + n] - total[s]) * inverse[s] + np.uint64(n)))
+                hit, token = self._found(data, s, n, mix((total[s + n] - total[s]) * inverse[s] + np.uint64(n)))
                 if not len(hit):
                     continue
                 if n < i:
@@ -187,7 +218,7 @@ class Vocabulary:
         out = []
         while end > begin:
             out.append(int(last[end - 1]))
-            end -= int(self.byte_size[out[-1]])
+            end -= int(self.size[out[-1]])
         return out[::-1]
 
     def encode_pieces(self, raw: list[bytes]) -> list[np.ndarray]:
@@ -206,7 +237,7 @@ class Vocabulary:
                 token = last[end - 1]
                 ids.append(token)
                 rows.append(row)
-                end = end - self.byte_size[token]
+                end = end - self.size[token]
                 go = end > begin[row]
                 end, row = end[go], row[go]
             if ids:
@@ -219,58 +250,87 @@ class Vocabulary:
                     out[i] = part
         return out
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """Bytes of all ids, one after another."""
-        size = self.byte_size[ids]
-        begin = np.cumsum(size) - size
-        return self.byte_pool[np.repeat(self.byte_at[ids] - begin, size) + np.arange(size.sum())]
-
 
 class PrefixEncoding:
-    """One piece with its stored last tokens: exact appends, and edits that recompute only what follows them."""
+    """One piece with its stored last tokens: exact appends, and edits that recompute only what they change.
+
+    The last token of a prefix depends on the `longest` bytes before its end and on the last tokens stored there. So
+    after an edit, prefixes are computed from its begin until `longest` stored ones in a row agree; the rest stays.
+    `computed` counts the prefixes that the latest call computed.
+    """
 
     def __init__(self, vocabulary: Vocabulary, piece: bytes = b""):
-        self.vocabulary, self.piece, self.last = vocabulary, b"", np.empty(0, np.uint32)
+        self.vocabulary, self.piece, self.last, self.computed = vocabulary, b"", [], 0
         self.append(piece)
 
     def append(self, more: bytes) -> None:
         self.edit(len(self.piece), len(self.piece), more)
 
+    def _last(self, i: int) -> int:
+        """The last token of the first i bytes, from what is stored for shorter prefixes; -1 if there is none."""
+        v = self.vocabulary
+        for n in range(min(i, v.longest), 0, -1):
+            token = v.ranks.get(self.piece[i - n : i])
+            if token is None or not v.reachable[token]:
+                continue
+            if n == i:
+                return token
+            before = self.last[i - n - 1]
+            if before >= 0 and v.follows(np.array([before]), np.array([token]))[0]:
+                return token
+        return -1
+
     def edit(self, begin: int, end: int, new: bytes) -> None:
+        """piece[begin:end] becomes `new`."""
+        old, longest = self.last, self.vocabulary.longest
         self.piece = self.piece[:begin] + new + self.piece[end:]
-        kept = np.full(len(self.piece), NONE, np.uint32)
-        kept[:begin] = self.last[:begin]
-        n = np.array([len(self.piece)])
-        self.last = self.vocabulary.last_tokens(np.frombuffer(self.piece, np.uint8), np.zeros(1, np.int64), n, kept)
+        shift = len(new) - (end - begin)
+        self.last, agreed, self.computed = old[:begin], 0, 0
+        for i in range(begin + 1, len(self.piece) + 1):
+            self.last.append(self._last(i))
+            self.computed += 1
+            at = i - shift  # the stored prefix that ends at the same byte
+            agreed = agreed + 1 if i > begin + len(new) and at > end and old[at - 1] == self.last[-1] else 0
+            if agreed >= longest:
+                self.last += old[at:]
+                return
 
     def ids(self) -> list[int]:
         whole = self.vocabulary.ranks.get(self.piece)
         return [whole] if whole is not None else self.vocabulary.walk(self.last, 0, len(self.piece))
 
 
-def load(path: str) -> Vocabulary:
-    with open(path, "rb") as f:
-        return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
-
-
 _loaded: dict[str, tuple[Vocabulary, Pieces]] = {}
+_bytes: dict[str, Bytes] = {}
 
 
 def loaded(path: str) -> tuple[Vocabulary, Pieces]:
     """The vocabulary and the pieces seen so far in this worker."""
     if path not in _loaded:
-        vocabulary = load(path)
+        vocabulary = Vocabulary(read_ranks(path))
         _loaded[path] = vocabulary, Pieces(vocabulary.encode_pieces)
     return _loaded[path]
 
 
+def loaded_bytes(path: str) -> Bytes:
+    if path not in _bytes:
+        _bytes[path] = Bytes(read_ranks(path))
+    return _bytes[path]
+
+
 def _binary(values: np.ndarray, first: np.ndarray) -> pa.Array:
     width = values.dtype.itemsize
     return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((first * width).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers in a binary column, in the input's order.
+def _decoded(table: Bytes, ids: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Bytes of the ids of each row; row r has ids[first[r]:first[r + 1]]."""
+    return _binary(table.decode(ids), np.append(0, np.cumsum(table.size[ids]))[first])
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id", decoded: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids[, decoded]): ids as little-endian unsigned 32-bit integers in a binary column, in the
+    input's order; with `decoded` the bytes that the ids stand for, in the same pass over the texts.
 
     path: rank file of a public tokenizer, present on every executor. Null and empty texts have no ids. Null or
     repeated doc_ids stay as they are, one row for each input row. Other columns are not read.
@@ -279,10 +339,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id") -
     def run(batches):
         for batch in batches:
             for part in pieces(batch):
-                ids, first = loaded(path)[1].ids(*utf8(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first)), _binary(ids.astype("<u4"), first)], ["doc_id", "n_tokens", "ids"])
+                vocabulary, seen = loaded(path)
+                ids, first = seen.ids(*utf8(part.column("text")))
+                columns = [part.column("doc_id"), pa.array(np.diff(first)), _binary(ids.astype("<u4"), first)]
+                if decoded:
+                    columns.append(_decoded(vocabulary, ids, first))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", *["decoded"] * decoded])
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -290,10 +354,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = batch.column("ids").to_pylist()
-            vocabulary = loaded(path)[0]
-            out = [None if r is None else vocabulary.decode(np.frombuffer(r, "<u4")).tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+            for part in pieces(batch, "ids"):
+                column = part.column("ids")
+                raw, first = utf8(column)
+                out = _decoded(loaded_bytes(path), np.frombuffer(raw.tobytes(), "<u4"), first // 4)
+                if column.null_count:
+                    out = pa.compute.if_else(column.is_valid(), out, pa.scalar(None, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
 
@@ -302,12 +369,5 @@ def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """Contract query: digests of the ids of every document and of the bytes they decode to."""
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = decode(encode(documents(spark, sf_dir), path), path)
+    both = encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-def reference(text: str | None, encoding) -> tuple[int, str, str]:
-    """What a tiktoken encoding gives: (n_tokens, ids_sha256, decoded_sha256)."""
-    ids = encoding.encode_ordinary(text or "")
-    return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()

@@ -68,41 +68,76 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def flat(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(indices of the concatenated ranges begin:begin+size, first of each range and their total)."""
+    total = np.append(0, np.cumsum(size))
+    return np.repeat(begin - total[:-1], size) + np.arange(total[-1]), total
+
+
 class Pieces:
-    """Ids of pieces by their 64-bit hash. Holds `limit` pieces at most and starts anew beyond that."""
+    """Ids of pieces seen before, found by a 64-bit hash and confirmed by their bytes.
+
+    Holds about `limit` bytes at most and starts anew beyond that. A piece whose bytes differ from those held under its
+    hash is encoded on its own.
+    """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], limit: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], limit: int = 32 << 20):
         self.encode, self.limit = encode, limit
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.pool = np.empty(0, np.uint32)
+        none = np.empty(0, np.int64)
+        self.keys, self.at, self.size, self.raw_at, self.raw_size = np.empty(0, np.uint64), none, none, none, none
+        self.pool, self.raw = np.empty(0, np.uint32), np.empty(0, np.uint8)
+
+    def held(self) -> int:
+        return 40 * len(self.keys) + 4 * len(self.pool) + len(self.raw)
+
+    def _new(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Puts pieces in whose hashes (ascending) are not held."""
+        raw = data.tobytes()
+        got = self.encode([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        here = np.searchsorted(self.keys, keys)
+        put = lambda old, new: np.insert(old, here, new)
+        self.at, self.size = put(self.at, len(self.pool) + np.cumsum(size) - size), put(self.size, size)
+        long = ends - starts
+        self.raw_at, self.raw_size = put(self.raw_at, len(self.raw) + np.cumsum(long) - long), put(self.raw_size, long)
+        self.keys = put(self.keys, keys)
+        self.pool = np.concatenate([self.pool, *got]).astype(np.uint32, copy=False)
+        self.raw = np.concatenate([self.raw, data[flat(starts, long)[0]]])
+
+    def _differ(self, row: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Pieces whose bytes are not those held in their row, a portion at a time."""
+        out = [np.empty(0, np.int64)]
+        for at in range(0, len(row), 1 << 16):
+            r, s, e = row[at : at + (1 << 16)], starts[at : at + (1 << 16)], ends[at : at + (1 << 16)]
+            long = np.minimum(e - s, self.raw_size[r])
+            mine, total = flat(s, long)
+            wrong = data[mine] != self.raw[mine + np.repeat(self.raw_at[r] - s, long)]
+            bad = e - s != self.raw_size[r]
+            if wrong.any():
+                bad[np.searchsorted(total, np.flatnonzero(wrong), "right") - 1] = True
+            out.append(at + np.flatnonzero(bad))
+        return np.concatenate(out)
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text)."""
         starts, ends, first = split(data, offsets)
         hashes = _hashed(data, starts, ends)
         keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.limit:
+        if self.held() > self.limit:
             self._clear()
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == keys[inside]
-        new = np.flatnonzero(~known)
+        new = np.flatnonzero(~np.isin(keys, self.keys, assume_unique=True))
         if len(new):
-            raw = data.tobytes()
-            got = self.encode([raw[starts[w] : ends[w]] for w in where[new]])
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            begin = len(self.pool) + np.cumsum(size) - size
-            self.pool = np.concatenate([self.pool, *got]).astype(np.uint32)
-            here = at[new]
-            self.keys = np.insert(self.keys, here, keys[new])
-            self.at, self.size = np.insert(self.at, here, begin), np.insert(self.size, here, size)
-            at = np.searchsorted(self.keys, keys)
-        row = at[inverse]
-        size = self.size[row]
-        total = np.append(0, np.cumsum(size))
-        ids = self.pool[np.repeat(self.at[row] - total[:-1], size) + np.arange(total[-1])]
-        return ids, total[first]
+            self._new(keys[new], data, starts[where[new]], ends[where[new]])
+        row = np.searchsorted(self.keys, keys)[inverse]
+        at, size, pool = self.at[row], self.size[row], self.pool
+        odd = self._differ(row, data, starts, ends)
+        if len(odd):
+            got = self.encode([data[starts[o] : ends[o]].tobytes() for o in odd])
+            at[odd] = len(pool) + np.cumsum([0, *map(len, got)])[:-1]
+            size[odd] = [len(g) for g in got]
+            pool = np.concatenate([pool, *got]).astype(np.uint32, copy=False)
+        place, total = flat(at, size)
+        return pool[place], total[first]

@@ -58,13 +58,13 @@ def rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, and the offsets of each text in them; a null text is empty."""
+    """Bytes of all texts (or binaries), and the offsets of each in them; a null one is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if pa.types.is_null(column.type):
         column = column.cast(pa.string())
     if column.null_count:
-        column = pc.fill_null(column, "")
+        column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
@@ -109,7 +109,7 @@ def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = 1 << 21) -> I
     if not batch.num_rows:
         return
     column = batch.column(batch.schema.get_field_index(text))
-    size = np.cumsum(pc.fill_null(pc.binary_length(column.cast(pa.large_string())), 0).to_numpy(zero_copy_only=False))
+    size = np.cumsum(pc.fill_null(pc.binary_length(column.cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         before = size[at - 1] if at else 0

@@ -81,7 +81,7 @@ class Pieces:
     hash is encoded on its own.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], limit: int = 32 << 20):
+    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], limit: int = 96 << 20):
         self.encode, self.limit = encode, limit
         self._clear()
 

@@ -1,101 +1,139 @@
-"""LM scoring by stupid backoff, as joins of n-gram count tables.
+"""LM scoring by stupid backoff: n-gram count tables dealt by hash, joined with the n-grams of documents, summed per document.
 
 The model counts the unigrams, bigrams and trigrams of all documents. A word after words a, b scores
 count(a b w) / count(a b) if that trigram occurs `least` times or more, else `backoff` * count(b w) / count(b) under the
 same condition, else backoff**2 * count(w) / all words; at the start of a document shorter contexts start lower down
 without a penalty. A document's score is the mean natural logarithm over its words.
 
-Every distinct trigram is scored once, by joins with the count tables, and each document's distinct trigrams are
-joined to those scores. Keys that hold 1 / HOT of all occurrences or more are at most HOT by that definition: they are
-broadcast, and what remains is spread by hash, so no task gets a hot key.
+1. Documents are dealt into slices of about `SLICE` bytes by a hash of id and text: the only time that texts travel.
+2. The n-grams of a slice are combined: each distinct one goes once, with its count there, to the bucket that the first
+   bits of its hash name. A row holds all n-grams of one slice and bucket, sorted, as differences of their hashes. However
+   common an n-gram is, a bucket gets it once a slice, so no key is hot.
+3. A bucket adds up its counts (the count table) and answers each slice with the totals of its n-grams, in their order.
+4. Slices (their shuffle is used again) meet their answers; every word finds its counts by the place of its n-grams.
+
+N-grams are told apart by the bits of the bucket's number and `EXTRA` more. Buckets hold about as many n-grams at every
+size of the input, so at any size about one n-gram in a million shares these bits with another and gets both counts.
 """
 
 from __future__ import annotations
 
-from math import log
+from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .tables import documents, written
+from .tables import documents, group_starts, whole_groups
 from .words import mix, owner, pieces, utf8, words
 
-HOT = 1000
+SLICE, BUCKET, EXTRA = 4 << 20, 1 << 20, 40
+LARGE = 255  # in an answer's byte for each n-gram: the total is among the large ones
+
+
+class Grams:
+    """The n-grams of one slice: `distinct` keys (ascending) and their `times`; words know their n-grams by `place`."""
+
+    def __init__(self, text, bits: int):
+        h, _, _, self.first = words(*utf8(text))
+        self.doc = owner(self.first)
+        self.at = np.arange(len(h)) - self.first[self.doc]
+        self.second, self.third = np.flatnonzero(self.at >= 1), np.flatnonzero(self.at >= 2)
+        step = lambda x, y: mix(x * np.uint64(0xD6E8FEB86659FD93) + y)
+        two = step(h[self.second - 1], h[self.second])
+        three = step(step(h[self.third - 2], h[self.third - 1]), h[self.third] ^ np.uint64(0x9E3779B97F4A7C15))
+        keys = np.concatenate([mix(h ^ np.uint64(0x5851F42D4C957F2D)), two, three]) >> np.uint64(64 - bits)
+        self.distinct, place, self.times = np.unique(keys, return_inverse=True, return_counts=True)
+        self.place = np.split(place, [len(h), len(h) + len(two)])
+
+    def scores(self, totals: np.ndarray, words_in_all: int, least: int, backoff: float) -> np.ndarray:
+        """Mean logarithm of each document's word scores (NaN without words), from the totals of `distinct`."""
+        n = len(self.at)
+        c1, c2, c3 = totals[self.place[0]], np.zeros(n, np.int64), np.zeros(n, np.int64)
+        c2[self.second], c3[self.third] = totals[self.place[1]], totals[self.place[2]]
+        ln = np.log(c1 / max(1, words_in_all)) + np.minimum(self.at, 2) * log(backoff)
+        bi = np.flatnonzero((c2 >= least) & (self.at >= 1))
+        ln[bi] = np.log(c2[bi] / c1[bi - 1]) + (self.at[bi] >= 2) * log(backoff)
+        tri = np.flatnonzero((c3 >= least) & (self.at >= 2))
+        ln[tri] = np.log(c3[tri] / c2[tri - 1])
+        count = np.diff(self.first)
+        return np.bincount(self.doc, ln, len(count)) / np.where(count > 0, count, np.nan)
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True)
+
+
+def _restored(x: bytes, n: int, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(x, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray):
-    """(document, h3, h2, h2c, h1, h1b) of every word; h2, h1b are 0 without a word before, h2c without two."""
-    h, _, _, first = words(data, offsets)
-    h = h | np.uint64(1)  # 0 stands for "none"
-    doc = owner(first)
-    at = np.arange(len(h)) - first[doc]
-    b, a = np.zeros_like(h), np.zeros_like(h)
-    b[1:], a[2:] = h[:-1], h[:-2]
-    b[at < 1] = 0
-    a[at < 2] = 0
-    two = lambda x, y: mix(x * np.uint64(0xD6E8FEB86659FD93) + y) | np.uint64(1)
-    h2, h2c = two(b, h), two(a, b)
-    h3 = mix(two(a, b) * np.uint64(0x9E3779B97F4A7C15) + h)
-    h2[at < 1] = 0
-    h2c[at < 2] = 0
-    return doc, h3, h2, h2c, h, b
+_SENT = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("base", pa.int64()), ("low", pa.binary()), ("top", pa.binary()), ("times", pa.binary())])
+_ANSWER = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("small", pa.binary()), ("large", pa.binary())])
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def _sent(number: int, grams: Grams) -> pa.RecordBatch:
+    """A row for each bucket: its sorted n-grams as differences; their first byte is packed apart, as it is mostly small."""
+    keys = grams.distinct
+    bucket, rest = (keys >> np.uint64(EXTRA)).astype(np.int32), (keys & np.uint64((1 << EXTRA) - 1)).astype(np.int64)
+    begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else np.empty(0, np.int64)
+    gap = np.diff(rest, prepend=0)
+    gap[begin] = 0
+    width = max(2, -(-int(gap.max(initial=0)).bit_length() // 8))
+    plain = gap.astype("<i8").view(np.uint8).reshape(-1, 8)
+    low, top = plain[:, : width - 1].copy(), plain[:, width - 1].copy()
+    n = np.diff(np.append(begin, len(keys)))
+    part = lambda x: [_squeezed(x[b : b + k]) for b, k in zip(begin.tolist(), n.tolist(), strict=True)]
+    lows = [low[b : b + k].tobytes() for b, k in zip(begin.tolist(), n.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), number)), pa.array(bucket[begin]), pa.array(n.astype(np.int32)), pa.array(rest[begin]), pa.array(lows, pa.binary()), pa.array(part(top), pa.binary()), pa.array(part(grams.times.astype("<u4")), pa.binary())], schema=_SENT)
 
 
 def _counted(batches):
-    for batch in batches:
-        for part in pieces(batch):
-            _, h3, *rest = _grams(*utf8(part.column("text")))
-            once, where, n = np.unique(h3, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([_signed(once), *[_signed(x[where]) for x in rest], pa.array(n.astype(np.int64))], ["h3", "h2", "h2c", "h1", "h1b", "n"])
-
-
-def _of_documents(batches):
-    for batch in batches:
-        for part in pieces(batch):
-            doc, h3, *_ = _grams(*utf8(part.column("text")))
-            if not len(h3):
-                continue
-            order = np.lexsort((h3, doc))
-            doc, h3 = doc[order], h3[order]
-            new = np.append(True, (doc[1:] != doc[:-1]) | (h3[1:] != h3[:-1]))
-            at = np.flatnonzero(new)
-            rows = part.column("row").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(rows[doc[at]]), _signed(h3[at]), pa.array(np.diff(np.append(at, len(h3))).astype(np.int64))], ["row", "h3", "times"])
-
-
-def _looked_up(rows: DataFrame, table: DataFrame, key: str, value: str, total: int, spread: list[str]) -> DataFrame:
-    """`rows` with `value` of `table` (key, n, value; keys unique, n sums up to `total` at most), null where it has none."""
-    table = table.select(F.col(key).alias("__k"), "n", F.col(value).alias("__v"))
-    hot = table.where(F.col("n") * HOT >= total).select(F.col("__k").alias(key), F.col("__v").alias("__hot"))  # at most HOT rows
-    rows = rows.join(F.broadcast(hot), key, "left")
-    rows = rows.withColumn("__k", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.xxhash64(*spread)))
-    cold = table.where(F.col("n") * HOT < total).select("__k", "__v")
-    return rows.join(cold, "__k", "left").withColumn(value, F.coalesce("__hot", "__v")).drop("__k", "__v", "__hot")
-
-
-def trigram_scores(docs: DataFrame, least: int = 2, backoff: float = 0.4, text: str = "text") -> tuple[DataFrame, int]:
-    """(h3, n, ln): every distinct trigram of `docs` with its count and the logarithm of its score; and the number of words."""
-    grams = docs.select(F.col(text).alias("text")).mapInArrow(_counted, "h3 long, h2 long, h2c long, h1 long, h1b long, n long")
-    t = written(grams.groupBy("h3").agg(F.sum("n").alias("n"), *[F.max(c).alias(c) for c in ("h2", "h2c", "h1", "h1b")]))
-    total = t.agg(F.sum("n")).first()[0] or 0
-    one = written(t.groupBy("h1").agg(F.sum("n").alias("n")).withColumn("n1", F.col("n")))
-    two = t.where("h2 <> 0").groupBy("h2").agg(F.sum("n").alias("n"), F.max("h1b").alias("h1")).where(F.col("n") >= least)
-    two = written(_looked_up(two, one, "h1", "n1", total, ["h2"]).select("h2", "n", F.col("n").alias("n2"), F.ln(F.col("n") / F.col("n1")).alias("ln2")))
-    full = t.where((F.col("h2c") != 0) & (F.col("n") >= least)).select("h3", "n", F.col("h2c").alias("h2"))
-    full = _looked_up(full, two, "h2", "n2", total, ["h3"]).select("h3", "n", F.ln(F.col("n") / F.col("n2")).alias("ln"))
-    rest = t.where((F.col("h2c") == 0) | (F.col("n") < least)).select("h3", "n", "h2", "h2c", "h1")
-    rest = _looked_up(rest.withColumnRenamed("n", "n3"), two, "h2", "ln2", total, ["h3"])
-    rest = _looked_up(rest, one, "h1", "n1", total, ["h3"])
-    once = F.when(F.col("h2c") != 0, log(backoff)).otherwise(0.0)
-    lower = F.when(F.col("h2") != 0, log(backoff)).otherwise(0.0) + F.ln(F.col("n1") / F.lit(float(max(1, total))))
-    rest = rest.select("h3", F.col("n3").alias("n"), (once + F.coalesce("ln2", lower)).alias("ln"))
-    return written(full.unionByName(rest)), total
+    for table in whole_groups(batches, ["bucket"], 1):
+        starts = group_starts(table, ["bucket"])
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            rows = table.slice(a, b - a)
+            keys, times = [], []
+            for r in rows.select(["n", "base", "low", "top", "times"]).to_pylist():
+                n = r["n"]
+                gap = np.zeros((n, 8), np.uint8)
+                width = len(r["low"]) // n + 1
+                gap[:, : width - 1] = np.frombuffer(r["low"], np.uint8).reshape(n, -1)
+                gap[:, width - 1] = _restored(r["top"], n, np.uint8)
+                keys.append(r["base"] + np.cumsum(gap.view("<i8")[:, 0]))
+                times.append(_restored(r["times"], n, "<u4"))
+            _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            totals = np.bincount(inverse, np.concatenate(times)).astype(np.int64)[inverse]
+            parts = np.split(totals, np.cumsum([len(k) for k in keys])[:-1])
+            small = [_squeezed(np.minimum(p, LARGE).astype(np.uint8)) for p in parts]
+            large = [p[p >= LARGE].astype("<i8").tobytes() for p in parts]
+            yield pa.RecordBatch.from_arrays([*[rows.column(c).combine_chunks() for c in ("slice", "bucket", "n")], pa.array(small, pa.binary()), pa.array(large, pa.binary())], schema=_ANSWER)
+
+
+def _totals(answers: pa.Table) -> np.ndarray:
+    rows = answers.sort_by("bucket").select(["n", "small", "large"]).to_pylist()
+    if not rows:
+        return np.empty(0, np.int64)
+    out = np.concatenate([_restored(r["small"], r["n"], np.uint8) for r in rows]).astype(np.int64)
+    out[out == LARGE] = np.frombuffer(b"".join(r["large"] for r in rows), "<i8")
+    return out
+
+
+def _size(docs: DataFrame) -> tuple[int, int]:
+    """Bytes and words of all texts."""
+
+    def tally(batches):
+        size = n = 0
+        for batch in batches:
+            for part in pieces(batch):
+                data, offsets = utf8(part.column("text"))
+                size, n = size + len(data), n + len(words(data, offsets)[0])
+        yield pa.RecordBatch.from_arrays([pa.array([size]), pa.array([n])], ["size", "n"])
+
+    size, n = docs.select("text").mapInArrow(tally, "size long, n long").agg(F.sum("size"), F.sum("n")).first()
+    return size or 0, n or 0
 
 
 def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = 2, backoff: float = 0.4) -> DataFrame:
@@ -103,15 +141,31 @@ def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", least: in
 
     Words are maximal runs of anything but space and the five ASCII white-space controls. A null or empty text, or one
     of white space alone, has 0 words and a null score. Repeated rows count each time and have equal scores; a null id
-    stays null; an empty table gives an empty result. Other columns are not read.
+    stays null; an empty table gives an empty result. Other columns are not read. Rows equal in id and text are in one
+    slice together.
     """
-    table, total = trigram_scores(docs, least, backoff, text)
-    keyed = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(id), F.col(text)).alias("row"))
-    each = keyed.select("row", "text").mapInArrow(_of_documents, "row long, h3 long, times long")
-    each = _looked_up(each, table, "h3", "ln", total, ["row", "h3"])
-    sums = each.groupBy("row").agg((F.sum(F.col("ln") * F.col("times")) / F.sum("times")).alias("lm_score"))
-    rows = keyed.select("id", "row", F.coalesce(F.regexp_count("text", F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long").alias("n_words"))
-    return rows.join(sums, "row", "left").select(F.col("id").alias(id), "n_words", "lm_score")
+    own = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    size, total = _size(own)
+    lead = max(6, ceil(log2(max(1, 3 * total / BUCKET))))
+    sliced = own.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(max(1, -(-size // SLICE)))).cast("long")).repartition("slice")
+
+    def send(batches):
+        for table in whole_groups(batches, ["slice"], 1):
+            number, starts = table.column("slice").to_numpy(), group_starts(table, ["slice"])
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                yield _sent(int(number[a]), Grams(table.slice(a, b - a).column("text"), EXTRA + lead))
+
+    def finish(mine: pa.Table, answers: pa.Table) -> pa.Table:
+        grams, totals = Grams(mine.column("text"), EXTRA + lead), _totals(answers)
+        if len(totals) != len(grams.distinct):
+            raise ValueError("a slice differs from what it sent: the input must be a table or a checkpoint")
+        score = grams.scores(totals, total, least, backoff)
+        return pa.table([mine.column("id"), pa.array(np.diff(grams.first).astype(np.int64)), pa.array(score, mask=np.isnan(score))], names=["id", "n_words", "lm_score"])
+
+    sent = sliced.sortWithinPartitions("slice").mapInArrow(send, "slice long, bucket int, n int, base long, low binary, top binary, times binary")
+    answers = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted, "slice long, bucket int, n int, small binary, large binary")
+    schema = T.StructType([T.StructField("id", own.schema["id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("lm_score", T.DoubleType())])
+    return sliced.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(finish, schema).withColumnRenamed("id", id)
 
 
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -3,9 +3,16 @@
 The smallest Euclidean distance is the largest inner product of (q, 1) with (x, -|x|**2 / 2). The last component is
 kept exactly; x is quantised in subspaces of two dimensions with 16 codewords each, under the loss
 |r|**2 + (eta - 1) * (r.x)**2 / |x|**2 that weighs the residual parallel to x more, by coordinate descent.
-Codebooks are learned on a bounded sample; every row is encoded. A task scans the codes of its rows with one table of
-inner products per query, reranks the best `rerank` of them on the original vectors, and returns its nearest `k`;
-the nearest of all tasks are taken in Spark. Queries are dealt in blocks of bounded size.
+
+1. Equal vectors are one class with its smallest ids (k + 1 of them suffice), so ties in distance cost no candidates.
+2. Codebooks are learned on a bounded sample, one for each length of vectors that it holds often enough. Every class is
+   encoded once, two codes to a byte, and written. Vectors of other lengths have no code and are compared exactly.
+3. Blocks of queries meet parts of the classes (a query set against all rows, in blocks): a task scans the codes of one
+   part with one table of inner products per query, reranks the best `rerank` on the original vectors and returns the
+   nearest k. Block and part have bounded sizes whatever the input, and no row passes through the driver.
+4. The nearest k of all parts are taken in Spark.
+
+All pairs of a query and a class are scored, so work grows with their product: 32 table reads a pair at 64 dimensions.
 """
 
 from __future__ import annotations
@@ -15,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .embedding_dedup import stacked, usable
-from .tables import documents
+from .embedding_dedup import by_length, stacked, usable
+from .tables import documents, written
 
 WORDS = 16
+FITTED = 256  # vectors of a length in the sample from which a codebook is learned for it
 
 
 class Codebook:
@@ -86,73 +94,112 @@ class Codebook:
         return np.einsum("qsd,swd->qsw", parts, self.words).astype(np.float32)
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, half_norm: np.ndarray, codes: np.ndarray, q_ids: np.ndarray, q: np.ndarray, book: Codebook, k: int, rerank: int):
-    """Rows (query, id, distance): the nearest k found for each query among these vectors."""
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Two four-bit codes to a byte."""
+    if codes.shape[1] % 2:
+        codes = np.pad(codes, ((0, 0), (0, 1)))
+    return codes[:, ::2] | codes[:, 1::2] << 4
+
+
+def _scanned(code: np.ndarray, half_norm: np.ndarray, q: np.ndarray, book: Codebook, take: int) -> np.ndarray:
+    """For each query the rows with the `take` largest scores, read off tables for every byte of two codes."""
+    table = book.tables(q)
+    if table.shape[1] % 2:
+        table = np.pad(table, ((0, 0), (0, 1), (0, 0)))
+    both = (table[:, 1::2, :, None] + table[:, ::2, None, :]).reshape(len(q), -1, WORDS * WORDS)
+    score = np.tile(-half_norm.astype(np.float32), (len(q), 1))
+    for s in range(code.shape[1]):
+        score += both[:, s, code[:, s]]
+    return np.argpartition(-score, take - 1, axis=1)[:, :take]
+
+
+def _nearest(ids: list, x: np.ndarray, code: np.ndarray | None, q_ids: np.ndarray, q: np.ndarray, book: Codebook | None, k: int, rerank: int):
+    """Rows (query, id, distance): the nearest k found for each query among the classes (ids ascending, vector)."""
     out = ([], [], [])
-    columns = [codes[:, s] for s in range(codes.shape[1])]
+    half_norm = (x**2).sum(axis=1) / 2
+    least = np.array([i[0] for i in ids])
     for at in range(0, len(q), 64):
-        table = book.tables(q[at : at + 64])
-        score = np.tile(-half_norm.astype(np.float32), (len(table), 1))
-        for s, c in enumerate(columns):
-            score += table[:, s, c]
-        for r, own in enumerate(range(at, at + len(table))):
-            score[r, ids == q_ids[own]] = -np.inf
-        take = min(rerank, score.shape[1])
-        best = np.argpartition(-score, take - 1, axis=1)[:, :take] if take < score.shape[1] else np.tile(np.arange(take), (len(table), 1))
-        for r, own in enumerate(range(at, at + len(table))):
-            b = best[r][ids[best[r]] != q_ids[own]]
+        best = None if book is None or len(x) <= rerank else _scanned(code, half_norm, q[at : at + 64], book, rerank)
+        for own in range(at, min(at + 64, len(q))):
+            b = np.arange(len(x)) if best is None else best[own - at]
             distance = np.sqrt(((x[b] - q[own]) ** 2).sum(axis=1))
-            first = np.lexsort((ids[b], distance))[:k]
-            out[0].append(np.full(len(first), q_ids[own]))
-            out[1].append(ids[b][first])
-            out[2].append(distance[first])
+            near = np.lexsort((least[b], distance))[: k + 1]
+            found = [(d, i) for d, c in zip(distance[near].tolist(), b[near].tolist(), strict=True) for i in ids[c] if i != q_ids[own]]
+            found = sorted(found)[:k]
+            out[0].append(np.full(len(found), q_ids[own]))
+            out[1].append(np.array([i for _, i in found], np.int64))
+            out[2].append(np.array([d for d, _ in found], np.float64))
     return [np.concatenate(o) for o in out]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = 8192, rerank: int = 256, query_block: int = 16384, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def classes_of(rows: DataFrame, k: int) -> DataFrame:
+    """(vec, ids): distinct vectors and their k + 1 smallest ids; each task passes k + 1 rows of a vector on at most."""
+    place = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    return rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+
+def codebooks(rows: DataFrame, sample: int) -> dict[int, Codebook]:
+    """A codebook for each length that `sample` rows (the first by a hash of their ids) hold often enough."""
+    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").toPandas()["vec"]
+    lengths = [len(v) for v in drawn]
+    often = [d for d in set(lengths) if lengths.count(d) >= FITTED]
+    return {d: Codebook(np.array([v for v in drawn if len(v) == d], dtype=np.float64)) for d in sorted(often)}
+
+
+def encoded(classes: DataFrame, books) -> DataFrame:
+    """`classes` with code: the packed codes, null for lengths without a codebook. `books`: broadcast of `codebooks`."""
+
+    def run(batches):
+        for batch in batches:
+            for d, part in by_length(batch, "vec"):
+                book = books.value.get(d)
+                if book is None:
+                    code = pa.nulls(part.num_rows, pa.binary())
+                else:
+                    code = pa.array([c.tobytes() for c in packed(book.encode(stacked(part.column("vec"))))], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("vec").cast(pa.list_(pa.float64())), part.column("ids"), code], ["vec", "ids", "code"])
+
+    return classes.mapInArrow(run, "vec array<double>, ids array<long>, code binary")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, sample: int = 8192, rerank: int = 256, query_block: int = 8192, part: int = 8192, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its k nearest rows of `vectors`, its own id left out.
 
     The score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id.
-    Rows with a null id, or a vector that is null, zero, or holds null or non-finite components, or whose length
-    differs from the most frequent of the sample, take no part. With fewer than k candidates all are returned; an
-    empty table gives an empty result. Ids are taken to be distinct: of rows that repeat an id, each is a candidate.
+    Rows with a null id, or a vector that is null, zero, or holds null or non-finite components, take no part. Vectors of
+    different lengths have no distance: each query is searched among those of its own length. With fewer than k
+    candidates all are returned; an empty table gives an empty result. Of rows that repeat an id each is a candidate,
+    and each query row of a repeated id with another vector counts for that id. Other columns are not read.
+    `rerank` is for each part of about `part` distinct vectors, so recall does not fall as the table grows.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score double"
-    pick = lambda df: df.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vec")).where(usable("vec") & F.col("id").isNotNull())
-    rows, asked = pick(vectors), pick(queries)
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").toPandas()["vec"]
-    if not len(drawn):
-        return spark.createDataFrame([], schema).select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
-    lengths = [len(v) for v in drawn]
-    length = max(set(lengths), key=lengths.count)
-    book = spark.sparkContext.broadcast(Codebook(np.array([v for v in drawn if len(v) == length], dtype=np.float64)))
-    rows, asked = rows.where(F.size("vec") == length), asked.where(F.size("vec") == length)
-    n_blocks = -(-asked.count() // query_block)
-    block = F.pmod(F.xxhash64("id"), F.lit(max(1, n_blocks)))
-    found = []
-    for b in range(max(1, n_blocks)):  # a block holds about query_block vectors, whatever the input
-        part = asked.where(block == b).toPandas()
-        if not len(part):
-            continue
-        sent = spark.sparkContext.broadcast((part["id"].to_numpy(), np.array(part["vec"].tolist(), dtype=np.float64)))
-
-        def scan(batches, sent=sent):
-            q_ids, q = sent.value
-            for batch in batches:
-                if batch.num_rows:
-                    x = stacked(batch.column("vec"))
-                    got = _nearest(batch.column("id").to_numpy(), x, (x**2).sum(1) / 2, book.value.encode(x), q_ids, q, book.value, k, rerank)
-                    yield pa.RecordBatch.from_arrays([pa.array(g) for g in got], ["query_id", "vec_id", "score"])
-
-        found.append(rows.mapInArrow(scan, schema))
-    if not found:
-        return spark.createDataFrame([], schema).select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
+    pick = lambda df: df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")).where(usable("vec") & F.col("id").isNotNull())
+    rows, asked = pick(vectors), pick(queries).distinct()
+    books = spark.sparkContext.broadcast(codebooks(rows, sample))  # sample / FITTED small tables at most
+    classes = written(encoded(classes_of(rows, k), books))
+    counted = lambda df, size: df.groupBy(F.size("vec").alias("d")).agg(F.ceil(F.count("*") / size).cast("int").alias("many"))
+    blocks, parts = counted(asked, query_block).withColumnRenamed("many", "blocks"), counted(classes, part).withColumnRenamed("many", "parts")
+    grid = blocks.join(parts, "d")  # a row for each length of vectors
+
+    def dealt(df, own, many, other, to, by):
+        out = df.withColumn("d", F.size("vec")).join(grid, "d").withColumn(own, F.pmod(F.xxhash64(by), F.col(many)).cast("int"))
+        return out.withColumn(to, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("blocks", "parts")
+
+    left = dealt(asked, "block", "blocks", "parts", "part", "id").groupBy("d", "block", "part")
+    right = dealt(classes, "part", "parts", "blocks", "block", "vec").groupBy("d", "block", "part")
+
+    def scan(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        empty = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "vec_id", "score"])
+        if not mine.num_rows or not theirs.num_rows:
+            return empty
+        book = books.value.get(mine.column("d")[0].as_py())
+        code = None if book is None else np.frombuffer(b"".join(theirs.column("code").to_pylist()), np.uint8).reshape(theirs.num_rows, -1)
+        got = _nearest(theirs.column("ids").to_pylist(), stacked(theirs.column("vec")), code, mine.column("id").to_numpy(), stacked(mine.column("vec")), book, k, rerank)
+        return pa.table([pa.array(g) for g in got], names=empty.column_names)
+
+    found = left.cogroup(right).applyInArrow(scan, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_vector_search(spark, sf_dir: str) -> DataFrame:

@@ -3,15 +3,19 @@
 1. Base spans: e-mail addresses, IP addresses, card and phone numbers by fixed formats and checks. They always stay.
 2. Generators with high recall propose further, overlapping spans of the same kinds: addresses written with (at) and
    [dot], numbers with other or doubled separators, phone numbers without a plus sign, addresses with [.] for dots.
-3. Boosted trees (fitted on a bounded, documented sample of `sample` documents) score candidates from format and
-   context features. Their labels come from the base formats: matches that pass the checks, against matches that fail
-   them and numbers laid out as dates. Weights in the trees become one SQL expression.
-   The fit reads half of that sample.
-4. A threshold for each kind is calibrated on all documents that the fit did not read, as the lowest score at which
-   `precision` of the labelled candidates are right; where no score reaches it nothing is added for that kind.
+3. Boosted trees score candidates from format and context features. Labelled candidates are made by rewriting: base
+   matches are disguised in every way that the generators know, in their own context, and the generators are run on
+   them. What they find is right if it is the whole of a disguised match that passes its check, under its kind. Matches
+   that fail their check, addresses given a part above 255, dates and the words around the end of a sentence are
+   disguised the same way and are decoys.
+   The fit reads about `sample` distinct texts for each kind (the bounded labelled sample); the trees become one SQL expression.
+4. A threshold for each kind is calibrated on the disguised matches and decoys of all documents that the fit did not
+   read, as the lowest score at which `precision` of the generators' finds are right; where no score reaches it nothing
+   is added for that kind.
 
 Patterns use possessive quantifiers and look-behinds so that long runs cost linear time; they find the same spans as
-the plain patterns in their comments.
+the plain patterns in their comments. Work on the matches of one text goes through arrays in chunks, so it grows with
+their number and not with its square.
 """
 
 from __future__ import annotations
@@ -37,31 +41,65 @@ MORE = (
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\((?:at|AT)\)|\[(?:at|AT)\]|@) ?[A-Za-z0-9-]++(?: ?(?:\.|\((?:dot|DOT)\)|\[(?:dot|DOT)\]) ?[A-Za-z0-9-]++)++",
     r"(?<![0-9])[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9])",
     r"(?<![0-9])[0-9](?:[ .-]{0,2}[0-9]){11,18}(?![0-9])",
-    r"(?<![0-9+])(?:00)?\(?[0-9]{2,4}\)?(?:[ ./-]\(?[0-9]{2,4}\)?){2,4}(?![0-9])",
+    r"(?<![0-9+])(?=(?:[ ./()-]{0,3}[0-9]){9})(?:00)?\(?[0-9]{1,4}\)?(?:[ ./-]\(?[0-9]{2,8}\)?){1,4}(?![0-9])",
 )
 # a whole match laid out as a date, or a possible date before a time or a further date (perhaps cut off)
 _DAY = r"(?:[12][0-9]{3}[-/. ](?:0[1-9]|1[0-2])[-/. ](?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[-/. ](?:0[1-9]|[12][0-9]|3[01])[-/. ][12][0-9]{3})"
 _THEN = r"[ ./-]{1,3}(?:[0-3][0-9](?:[ .:/-]?[0-5][0-9]){0,2}(?:\.[0-9]{1,6})?|[12][0-9]{3}(?:[-/. ][0-9]{1,2}){0,2}|[0-3][0-9][-/. ][0-3][0-9][-/. ][12][0-9]{0,3})"
 DATE = rf"^(?:[0-9]{{4}}[-/. ][0-9]{{2}}[-/. ][0-9]{{2}}|[0-9]{{2}}[-/. ][0-9]{{2}}[-/. ][0-9]{{4}}|{_DAY}{_THEN})$"
 WORD_BEFORE = r"(?i)(?:phone|tel|call|fax|mobile|cell|card|visa|account|mail|contact|write|host|server|address|ip)[^A-Za-z0-9]{0,3}(?:is|at|no|number)?[^A-Za-z0-9]{0,3}$"
-FEATURES = ("kind", "digits", "size", "gaps", "plus", "cue", "glued", "luhn", "parts", "longest", "doubled", "zeros")
+# fixed order: the trees name features by place
+FEATURES = ("kind", "digits", "size", "gaps", "plus", "cue", "glued", "luhn", "parts", "longest", "doubled", "zeros", "words", "last", "capital", "spaces", "marks", "fours", "largest")
+NEAR = 24  # characters before a match that its features may read
+CHUNK = 256
 
 
 def _total(lengths: Column) -> Column:
     return F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
 
 
+def _fold(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """Array of what step(state, item) = (state, array to append) gives, from left to right.
+
+    Items go by chunks: appending to a chunk's own array, and chunks to the whole, copies little however long it is.
+    `kind`: the array's type.
+    """
+    none = F.array().cast(kind)
+
+    def inner(a: Column, x: Column) -> Column:
+        after, more = step(a["state"], x)
+        return F.struct(after.alias("state"), F.concat(a["out"], more).alias("out"))
+
+    def outer(a: Column, k: Column) -> Column:
+        done = F.aggregate(F.slice(items, k * CHUNK + 1, F.lit(CHUNK)), F.struct(a["state"].alias("state"), none.alias("out")), inner)
+        return F.struct(done["state"].alias("state"), F.concat(a["out"], F.array(done["out"])).alias("out"))
+
+    chunks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))
+    whole = F.aggregate(chunks, F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out")), outer)
+    return F.when(F.size(items) > 0, F.flatten(whole["out"])).otherwise(none)
+
+
+MATCH = "struct<start: int, end: int, m: string, before: string, after: string>"
+
+
 def _found(df: DataFrame, text: str, pattern: str, name: str, when: Column) -> DataFrame:
-    """Adds column `name`: the matches with their places in code points, from the lengths of matches and of what lies between."""
-    none = F.array().cast("array<string>")
-    df = df.withColumn("__m", F.when(when, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).otherwise(none))
-    df = df.withColumn("__g", F.when(F.size("__m") > 0, F.transform(F.split(F.col(text), pattern, -1), F.length)).otherwise(F.array().cast("array<int>")))
+    """Adds column `name`: the matches with their places in code points and what stands around them.
 
-    def one(m: Column, i: Column) -> Column:
-        start = _total(F.slice("__g", F.lit(1), i + 1)) + _total(F.transform(F.slice("__m", F.lit(1), i), F.length))
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("m"))
+    Places come from the lengths of matches and of what lies between; `before` and `after` reach to the next match at most.
+    """
+    found = F.when(when, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    df = df.withColumn("__m", found)
+    df = df.withColumn("__h", F.when(F.size("__m") > 0, F.split(F.col(text), pattern, -1)).otherwise(F.array().cast("array<string>")))
+    pairs = F.arrays_zip(F.slice("__h", F.lit(1), F.size("__m")).alias("g"), F.col("__m").alias("m"), F.slice("__h", F.lit(2), F.size("__m")).alias("h"))
+    df = df.withColumn("__g", pairs)
+
+    def one(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["g"])
+        end = start + F.length(x["m"])
+        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), F.right(x["g"], F.lit(NEAR)).alias("before"), F.left(x["h"], F.lit(1)).alias("after"))
+        return end, F.array(span)
 
-    return df.withColumn(name, F.transform("__m", one)).drop("__m", "__g")
+    return df.withColumn(name, _fold(F.col("__g"), F.lit(0), one, f"array<{MATCH}>")).drop("__m", "__h", "__g")
 
 
 def _digits(m: Column) -> Column:
@@ -89,11 +127,11 @@ VALID = (
 
 
 def _kinded(matches: str, kind: int, valid: Callable[[Column], Column]) -> Column:
-    return F.transform(matches, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["m"].alias("m"), valid(x["m"]).alias("ok")))
+    return F.transform(matches, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"), valid(x["m"]).alias("ok")))
 
 
 def base_matches(docs: DataFrame, text: str) -> DataFrame:
-    """Adds __base: array of (start, kind, end, m, ok) of all base matches, those that fail their check included."""
+    """Adds __base: array of FOUND of all base matches, those that fail their check included."""
     t = F.col(text)
     asks = (F.contains(t, F.lit("@")), t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), F.lit(True), F.contains(t, F.lit("+")))
     df = docs
@@ -104,29 +142,63 @@ def base_matches(docs: DataFrame, text: str) -> DataFrame:
 
 
 def more_candidates(df: DataFrame, text: str) -> DataFrame:
-    """Adds __more: array of (start, kind, end, m, ok = false) that the generators propose."""
+    """Adds __more: array of FOUND (ok is false) that the generators propose."""
     t = F.col(text)
-    asks = (t.rlike(r"(?:\((?:at|AT)\)|\[(?:at|AT)\]|@)"), t.rlike(r"[0-9][\[(]\.[\])][0-9]"), t.rlike(r"[0-9](?:[ .-]{0,2}[0-9]){11}"), t.rlike(r"[0-9]{2}\)?[ ./-]\(?[0-9]{2}"))
+    asks = (t.rlike(r"(?:\((?:at|AT)\)|\[(?:at|AT)\]|@)"), t.rlike(r"[0-9][\[(]\.[\])][0-9]"), t.rlike(r"[0-9](?:[ .-]{0,2}[0-9]){11}"), t.rlike(r"[0-9](?:[ ./()-]{0,3}[0-9]){8}"))
     for k, pattern in enumerate(MORE):
         df = _found(df, text, pattern, f"__c{k}", asks[k])
     parts = [_kinded(f"__c{k}", k, lambda m: F.lit(False)) for k in range(4)]
     return df.withColumn("__more", F.concat(*parts)).drop(*[f"__c{k}" for k in range(4)])
 
 
-def features(x: Column, text: str) -> list[Column]:
+def features(x: Column) -> list[Column]:
     """Format and context of a candidate, as doubles in the order of FEATURES."""
-    m, t = x["m"], F.col(text)
-    before = F.substring(t, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
-    around = F.concat(F.right(before, F.lit(1)), F.substring(t, x["end"] + 1, F.lit(1)))
+    m, before = x["m"], x["before"]
+    around = F.concat(F.right(before, F.lit(1)), x["after"])
     groups = F.filter(F.split(m, "[^0-9]+"), lambda g: g != "")
     longest = F.aggregate(groups, F.lit(0), lambda a, g: F.greatest(a, F.length(g)))
+    words = F.filter(F.split(m, "[^A-Za-z]+"), lambda g: g != "")
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     return [c.cast("double") for c in (
         x["kind"], F.length(_digits(m)), F.length(m), F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")), flag(m.rlike(r"^(?:\+|00)")), flag(before.rlike(WORD_BEFORE)),
         flag(around.rlike("[A-Za-z0-9]")), flag(_luhn(m)), F.size(groups), longest, flag(m.rlike(r"[ .-]{2}")), flag(m.rlike("^0+[^0-9]?0*$")),
+        F.size(words), F.length(F.regexp_extract(m, "([A-Za-z]*)$", 1)), flag(m.rlike("[ .][A-Z][a-z]*$")), F.length(F.regexp_replace(m, "[^ ]", "")), F.length(F.regexp_replace(m, r"[^\[\]()]", "")),
+        flag(m.rlike(r"^[0-9]{4}(?:[ .-]{1,2}[0-9]{4}){2,3}(?:[ .-]{1,2}[0-9]{1,3})?$")), F.aggregate(groups, F.lit(0.0), lambda a, g: F.greatest(a, g.cast("double"))),
     )]
 
 
+def disguises(kind: Column, m: Column, ok: Column) -> Column:
+    """Array of a match's disguised forms; of one that fails its check also itself."""
+    host, user = F.substring_index(m, "@", -1), F.substring_index(m, "@", 1)
+    dots = lambda text, by: F.replace(text, F.lit("."), F.lit(by))
+    by_four = lambda by: F.regexp_replace(_digits(m), "([0-9]{4})(?=[0-9])", f"$1{by}")
+    bare = F.regexp_replace(m, r"^\+", "")
+    each = (
+        [F.concat(user, F.lit(at), dots(host, dot)) for at, dot in ((" (at) ", " [dot] "), ("[at]", "[dot]"), (" @ ", " . "), ("@", "(dot)"), ("(at)", "."), ("@", " (dot) "), ("@", "[dot]"))],
+        [dots(m, by) for by in ("[.]", "(.)")],
+        [by_four(by) for by in (".", "--", "  ", "- ")],
+        [F.concat(F.lit("00"), bare), bare, F.regexp_replace(bare, "[ -]+", "."), F.regexp_replace(bare, "[ -]+", "/"), F.regexp_replace(bare, "[ .-]+", "-")],
+    )
+    forms = F.when(kind == 0, F.array(*each[0])).when(kind == 1, F.array(*each[1])).when(kind == 2, F.array(*each[2])).otherwise(F.array(*each[3]))
+    return F.when(ok, forms).otherwise(F.concat(forms, F.array(m)))
+
+
+def labelled(docs: DataFrame, text: str) -> DataFrame:
+    """(f: features, label) of what the generators find in disguised matches and decoys of `docs`."""
+    df = base_matches(docs, text)
+    of = lambda kind, m: F.struct(F.lit(0).alias("start"), F.lit(kind).alias("kind"), F.lit(0).alias("end"), m.alias("m"), F.lit("see ").alias("before"), F.lit(" ").alias("after"), F.lit(False).alias("ok"))
+    prose = F.regexp_replace(F.regexp_extract(F.col(text), r"\b([A-Za-z]{2,12} [A-Za-z]{2,12}\. ?[A-Za-z]{2,12})\b", 1), "^([A-Za-z]+) ", "$1@")
+    date = F.regexp_extract(F.col(text), r"\b([0-9]{2,4}[-/.][0-9]{2}[-/.][0-9]{2,4})\b", 1)
+    decoys = F.filter(F.array(of(0, prose), of(3, date)), lambda x: x["m"] != "")  # one of each a document
+    over = F.transform(F.filter("__base", lambda x: (x["kind"] == 1) & x["ok"]), lambda x: F.struct(*[x[c].alias(c) for c in ("start", "kind", "end")], F.regexp_replace(x["m"], "[0-9]+$", "777").alias("m"), x["before"].alias("before"), x["after"].alias("after"), F.lit(False).alias("ok")))
+    rows = df.select(F.explode(F.concat("__base", over, decoys)).alias("x")).select("x", F.explode(disguises(F.col("x.kind"), F.col("x.m"), F.col("x.ok"))).alias("form"))
+    rows = rows.select("x", "form", F.concat("x.before", "form", "x.after").alias("text"), F.length("x.before").alias("at"))
+    each = more_candidates(rows, "text").select("x", "at", "form", F.explode("__more").alias("c"))
+    each = each.where((F.col("c.start") < F.col("at") + F.length("form")) & (F.col("c.end") > F.col("at")))  # not what its context holds
+    whole = (F.col("c.kind") == F.col("x.kind")) & (F.col("c.start") == F.col("at")) & (F.col("c.end") == F.col("at") + F.length("form"))
+    return each.select(F.struct(*[f.alias(f"f{i}") for i, f in enumerate(features(F.col("c")))]).alias("f"), (F.col("x.ok") & whole).cast("double").alias("label"))
+
+
 def _tree_sql(node, name: str) -> str:
     """A fitted tree as nested CASE expressions over name.f0, name.f1, ..."""
     if node.subtreeDepth() == 0:
@@ -135,31 +207,33 @@ def _tree_sql(node, name: str) -> str:
     return f"CASE WHEN {name}.f{split.featureIndex()} <= {split.threshold()!r}D THEN {_tree_sql(node.leftChild(), name)} ELSE {_tree_sql(node.rightChild(), name)} END"
 
 
-def train(docs: DataFrame, text: str, key: Column, sample: int = 4000, trees: int = 10, depth: int = 3, precision: float = 0.99) -> tuple[str, list[float | None]]:
-    """(score as SQL over struct f, threshold of each kind or None); empty if the sample lacks one of the two classes."""
+def train(docs: DataFrame, text: str, key: Column, sample: int = 4000, trees: int = 20, depth: int = 4, precision: float = 0.99) -> tuple[str, list[float | None]]:
+    """(score as SQL over struct f, threshold of each kind or None); empty if the sample lacks one of the two classes.
+
+    The fit reads, of the texts that may hold a kind, those whose hash of `key` lies below a cut-off set from their
+    number, one of each hash: about `sample` for each kind, and half of them at most, so that some stay for calibration.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    asked = docs.select(F.col(text).alias("text"), key.alias("draw")).where(F.col("text").rlike("[0-9@]"))
-    drawn = written(asked.orderBy("draw", "text").limit(sample))
-    names = [f"f{i}" for i in range(len(FEATURES))]
-
-    def labelled(some: DataFrame) -> DataFrame:
-        both = more_candidates(base_matches(some, "text"), "text")
-        each = both.select("text", F.explode(F.concat("__base", F.filter("__more", lambda x: x["m"].rlike(DATE)))).alias("x"))
-        return each.select(*[f.alias(n) for n, f in zip(names, features(F.col("x"), "text"), strict=True)], F.col("x.ok").cast("double").alias("label"))
-
-    even = F.pmod("draw", F.lit(2)) == 0
-    rows = written(labelled(drawn.where(even)))
+    t = F.col("text")
+    hints = (F.contains(t, F.lit("@")), t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), t.rlike("(?:[0-9][ -]?){12}"), t.rlike(r"\+[0-9]"))
+    asked = docs.select(F.col(text).alias("text"), F.shiftrightunsigned(F.xxhash64(key), 2).alias("draw")).where(t.rlike("[0-9@]"))
+    hinted = asked.select("text", "draw", *[h.alias(f"h{k}") for k, h in enumerate(hints)])
+    many = hinted.agg(*[F.approx_count_distinct(F.when(F.col(f"h{k}"), F.col("draw"))) for k in range(4)]).first()
+    below = [F.col(f"h{k}") & (F.col("draw") < int(min(0.5, sample / max(1, n)) * (1 << 62))) for k, n in enumerate(many)]
+    read = below[0] | below[1] | below[2] | below[3]
+    drawn = hinted.where(read).groupBy("draw").agg(F.any_value("text").alias("text"))
+    rows = written(labelled(drawn, "text"))
     if rows.select("label").distinct().count() < 2:
         return "", [None] * 4
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
+    names = [f"f{i}" for i in range(len(FEATURES))]
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows.select("f.*", "label"))
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=5).fit(vectors.select("features", "label"))
     parts = [f"{w!r}D * ({_tree_sql(t._java_obj.rootNode(), 'f')})" for w, t in zip(model.treeWeights, model.trees, strict=True)]
     score = f"1 / (1 + exp(-2 * ({' + '.join(parts)})))"
-    last = drawn.agg(F.max("draw")).first()[0]
-    held = labelled(asked.where(~even | (F.col("draw") > last))).select(F.struct(*names).alias("f"), "label").select(F.col("f.f0").alias("kind"), F.round(F.expr(score), 3).alias("score"), "label")
-    counted = held.groupBy("kind", "score").agg(F.count("*").alias("n"), F.sum("label").alias("right")).collect()  # 4 * 1001 rows at most
+    held = labelled(hinted.where(~read).select("text"), "text")
+    counted = held.select(F.col("f.f0").alias("kind"), F.round(F.expr(score), 3).alias("score"), "label").groupBy("kind", "score").agg(F.count("*").alias("n"), F.sum("label").alias("right")).collect()  # 4 * 1001 rows at most
     limits: list[float | None] = []
     for k in range(4):
         n = right = 0
@@ -172,31 +246,69 @@ def train(docs: DataFrame, text: str, key: Column, sample: int = 4000, trees: in
     return score, limits
 
 
+SPAN = "struct<start: int, kind: int, end: int, m: string>"
+FOUND = "struct<start: int, kind: int, end: int, m: string, before: string, after: string, ok: boolean>"
+_LAST = 2**31 - 1
+
+
+def _apart(df: DataFrame, spans: str, base: str) -> DataFrame:
+    """Drops the candidates of `spans` that overlap a span of `base`: one pass forward past ends, one backward past starts."""
+    kind = f"array<struct<start: int, own: int, end: int, x: {FOUND}>>"
+    none = F.array().cast(kind)
+
+    def tagged(name: str, own: int) -> Column:
+        return F.transform(name, lambda x: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end"), (x if own else F.lit(None).cast(FOUND)).alias("x")))
+
+    def past_ends(end: Column, e: Column) -> tuple[Column, Column]:
+        return F.when(e["own"] == 0, F.greatest(end, e["end"])).otherwise(end), F.when((e["own"] == 0) | (e["start"] >= end), F.array(e)).otherwise(none)
+
+    def past_starts(start: Column, e: Column) -> tuple[Column, Column]:
+        return F.when(e["own"] == 0, e["start"]).otherwise(start), F.when((e["own"] == 1) & (e["end"] <= start), F.array(e)).otherwise(none)
+
+    df = df.withColumn("__all", F.when(F.size(spans) > 0, F.array_sort(F.concat(tagged(base, 0), tagged(spans, 1)))).otherwise(none))
+    df = df.withColumn("__all", F.reverse(_fold(F.col("__all"), F.lit(0), past_ends, kind)))
+    df = df.withColumn("__all", F.reverse(_fold(F.col("__all"), F.lit(_LAST), past_starts, kind)))
+    return df.withColumn(spans, F.transform("__all", lambda e: e["x"])).drop("__all")
+
+
+def _best(df: DataFrame, scored: str) -> DataFrame:
+    """Of overlapping (x, score), by start, the one with the best score, then the first: the last one kept gives way to a better."""
+    one = f"struct<x: {SPAN}, score: double>"
+
+    def step(last: Column, e: Column) -> tuple[Column, Column]:
+        apart = last.isNull() | (e["x"]["start"] >= last["x"]["end"])
+        done = F.when(apart & last.isNotNull(), F.array(last)).otherwise(F.array().cast(f"array<{one}>"))
+        return F.when(apart | (e["score"] > last["score"]), e).otherwise(last), done
+
+    stop = F.struct(F.struct(F.lit(_LAST).alias("start"), F.lit(0).alias("kind"), F.lit(_LAST).alias("end"), F.lit("").alias("m")).alias("x"), F.lit(0.0).alias("score"))
+    df = df.withColumn(scored, F.when(F.size(scored) > 0, F.concat(scored, F.array(stop))).otherwise(F.col(scored)))
+    return df.withColumn(scored, F.transform(_fold(F.col(scored), F.lit(None).cast(one), step, f"array<{one}>"), lambda e: e["x"]))
+
+
 def pii(docs: DataFrame, text: str = "text", sample: int = 4000) -> DataFrame:
     """`docs` with pii_base and pii_spans added: arrays of (start, kind, end, m) by start and kind (number in KINDS).
 
-    Places are in code points, end exclusive; base spans are among pii_spans. Null texts are empty; an empty table gives
-    an empty result; all other columns stay (columns of `docs` with the added names are replaced). Repeated rows have
-    equal spans. Without any candidate that fails its check the trees have nothing to learn and no span is added.
+    Places are in code points, end exclusive; base spans are among pii_spans, added spans overlap none of them nor each
+    other. Null texts are empty; an empty table gives an empty result; all other columns stay, whatever their names
+    (columns of `docs` with the added names are replaced). Repeated rows have equal spans. Without any candidate that is
+    wrong the trees have nothing to learn and no span is added.
     """
-    docs = docs.drop("pii_base", "pii_spans")
-    df = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-    score, limits = train(df, "__text", F.xxhash64("__text"), sample)
-    df = base_matches(df, "__text")
+    names = [c for c in docs.columns if c not in ("pii_base", "pii_spans")]
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    score, limits = train(df, "text", F.xxhash64("text"), sample)
+    own = [F.col(f"row.`{c}`").alias(c) for c in names]
     plain = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["m"].alias("m"))
-    df = df.withColumn("pii_base", F.transform(F.filter("__base", lambda x: x["ok"]), plain))
+    df = base_matches(df, "text")
+    df = df.withColumn("pii_base", F.transform(F.filter("__base", lambda x: x["ok"]), plain)).drop("__base")
     if not score or not any(limits):
-        return df.withColumn("pii_spans", F.col("pii_base")).drop("__text", "__base")
-    df = more_candidates(df, "__text")
-    apart = lambda a, b: (a["end"] <= b["start"]) | (b["end"] <= a["start"])
-    new = F.filter("__more", lambda x: ~F.exists("pii_base", lambda b: ~apart(x, b)) & ~x["m"].rlike(DATE))
-    df = df.withColumn("__more", F.transform(new, lambda x: F.struct(plain(x).alias("x"), F.struct(*[f.alias(f"f{i}") for i, f in enumerate(features(x, "__text"))]).alias("f"))))
-    df = df.withColumn("__more", F.expr(f"transform(__more, f -> struct(f.x as x, {score.replace('f.f', 'f.f.f')} as score, f.f.f0 as k))"))
-    least = "CASE " + " ".join(f"WHEN e.k = {k} THEN {limits[k] if limits[k] is not None else 2.0}D" for k in range(4)) + " END"
-    df = df.withColumn("__more", F.expr(f"filter(__more, e -> round(e.score, 3) >= {least})"))
-    better = "exists(__more, o -> o.x.start < e.x.end AND e.x.start < o.x.end AND (o.score > e.score OR o.score = e.score AND (o.x.start < e.x.start OR o.x.start = e.x.start AND o.x.kind < e.x.kind)))"
-    df = df.withColumn("__more", F.expr(f"transform(filter(__more, e -> NOT {better}), e -> e.x)"))
-    return df.withColumn("pii_spans", F.array_sort(F.concat("pii_base", "__more"))).drop("__text", "__base", "__more")
+        return df.select(*own, "pii_base", F.col("pii_base").alias("pii_spans"))
+    df = more_candidates(df, "text").withColumn("__more", F.filter("__more", lambda x: ~x["m"].rlike(DATE)))
+    df = _apart(df, "__more", "pii_base")
+    df = df.withColumn("__more", F.transform("__more", lambda x: F.struct(plain(x).alias("x"), F.struct(*[f.alias(f"f{i}") for i, f in enumerate(features(x))]).alias("f"))))
+    df = df.withColumn("__more", F.expr(f"transform(__more, f -> struct(f.x as x, round({score.replace('f.f', 'f.f.f')}, 3) as score))"))
+    least = "CASE " + " ".join(f"WHEN e.x.kind = {k} THEN {limits[k] if limits[k] is not None else 2.0}D" for k in range(4)) + " END"
+    df = _best(df.withColumn("__more", F.expr(f"filter(__more, e -> e.score >= {least})")), "__more")
+    return df.select(*own, "pii_base", F.array_sort(F.concat("pii_base", "__more")).alias("pii_spans"))
 
 
 def _joined(spans: str) -> Column:
@@ -205,18 +317,30 @@ def _joined(spans: str) -> Column:
 
 
 def redacted(text: str, spans: str) -> Column:
-    """The text with every span replaced by its kind in brackets; overlapping spans become the first one's."""
-    t, whole = F.col(text), F.col(spans)
+    """The text with every span replaced by its kind in brackets; of overlapping spans the first one's stays.
+
+    Cuts go by chunks of spans, each out of its own stretch of the text, as a cut walks from the start of its string.
+    """
+    t, whole = F.coalesce(F.col(text), F.lit("")), F.col(spans)
     tag = lambda x: F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1)), F.lit("]"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    none = F.array().cast("array<string>")
 
-    def step(a: Column, x: Column) -> Column:
-        fresh = x["start"] >= a["at"]
-        out = F.when(fresh, F.concat(a["out"], F.substring(t, a["at"] + 1, x["start"] - a["at"]), tag(x))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), out.alias("out"))
+    def chunk(a: Column, k: Column) -> Column:
+        mine = F.slice(whole, k * CHUNK + 1, F.lit(CHUNK))
+        stretch = F.struct(a["at"].alias("at"), F.substring(t, a["at"] + 1, F.array_max(F.transform(mine, lambda x: x["end"])) - a["at"]).alias("t"))
+        begun = F.struct(a["at"].alias("at"), none.alias("out"))
 
-    done = F.aggregate(whole, start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    return F.when(F.size(whole) > 0, done).otherwise(t)
+        def step(s: Column, b: Column, x: Column) -> Column:
+            piece = F.when(x["start"] >= b["at"], F.array(F.substring(s["t"], b["at"] - s["at"] + 1, x["start"] - b["at"]), tag(x))).otherwise(none)
+            return F.struct(F.greatest(b["at"], x["end"]).alias("at"), F.concat(b["out"], piece).alias("out"))
+
+        done = F.element_at(F.transform(F.array(stretch), lambda s: F.aggregate(mine, begun, lambda b, x: step(s, b, x))), 1)
+        return F.struct(done["at"].alias("at"), F.concat(a["out"], F.array(F.array_join(done["out"], ""))).alias("out"))
+
+    chunks = F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / CHUNK).cast("int"))
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    done = F.aggregate(chunks, start, chunk, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, a["at"] + 1, F.length(t))))
+    return F.when(F.size(whole) > 0, done).otherwise(F.col(text))
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
@@ -224,24 +348,3 @@ def op1_pii(spark, sf_dir: str) -> DataFrame:
     found = pii(documents(spark, sf_dir).select("doc_id", "text"))
     count = lambda k: F.size(F.filter("pii_base", lambda x: x["kind"] == k)).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(_joined("pii_base"), 256).alias("base_sha256"), _joined("pii_spans").alias("spans"))
-
-
-def reference(text: str | None) -> list[tuple[int, str, int]]:
-    """Base spans by Python's re, for tests: (start, kind, end) by start and kind."""
-    import re
-
-    text, out = text or "", []
-    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
-    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
-        out.append((m.start(), 0, m.end()))
-    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if all(int(p) <= 255 for p in m.group().split(".")):
-            out.append((m.start(), 1, m.end()))
-    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
-        d = re.sub("[^0-9]", "", m.group())
-        if 12 <= len(d) <= 19 and luhn(d):
-            out.append((m.start(), 2, m.end()))
-    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
-        if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15:
-            out.append((m.start(), 3, m.end()))
-    return [(s, KINDS[k], e) for s, k, e in sorted(out)]

@@ -36,3 +36,46 @@ def test_thresholds_come_from_all_documents(spark):
     key = F.regexp_extract("text", r" ([0-9]+) or", 1).cast("long") - 1000000 + F.when(F.contains("text", F.lit("@")), 1000).otherwise(0)
     _, limits = pii.train(docs, "text", key, 20)
     assert limits[0] is not None and limits[1] is not None and limits[3] is not None
+
+
+def test_disguised_spans_are_added_and_decoys_are_not(spark):
+    from pyspark.sql import functions as F
+
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881", "4222 2222 2222 2220"]
+    wrong = ["4111 1111 1111 1112", "5500 0000 0000 0005", "4012 8888 8888 1882"]
+    plain = [f"mail ann{i}@site{i % 9}.org or host 10.{i % 200}.3.{i % 250}, card {(cards + wrong)[i % 7]} and {(wrong + cards)[i % 5]}. We met at noon. Then call +49 151 {1000 + i} {2000 + i} on 2024-03-{i % 20 + 10}" for i in range(600)]
+    planted = {
+        "write eve (at) mail [dot] example [dot] com now": ["eve (at) mail [dot] example [dot] com"],
+        "write eve[at]example[dot]org now": ["eve[at]example[dot]org"],
+        "host 192[.]168[.]10[.]77 is up": ["192[.]168[.]10[.]77"],
+        "card 4111  1111  1111  1111 it is": ["4111  1111  1111  1111"],
+        "card 4012--8888--8888--1881 it is": ["4012--8888--8888--1881"],
+        "call 0049 151 2345 6789 today": ["0049 151 2345 6789"],
+        "meet me (at) noon. Then we go": [], "see you @ dinner. Bring bread": [],
+        "card 4111  1111  1111  1112 it is": [], "on 2024-01-15 10:30 and 15.01.2024": [],
+        "version 1.2.3 of 2024": [], "host 192[.]168[.]10[.]777 is up": [],
+    }
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate([*planted, *plain])], "doc_id long, text string, __more string")
+    found = {r["doc_id"]: r for r in pii.pii(docs).where(F.col("doc_id") < len(planted)).collect()}
+    got = {t: [x["m"] for x in found[i]["pii_spans"] if x not in found[i]["pii_base"]] for i, t in enumerate(planted)}
+    assert got == planted
+    assert found[0]["__more"] == "clash"
+
+
+def test_many_matches_in_one_text(spark, monkeypatch):
+    from . import brute
+
+    monkeypatch.setattr(pii, "train", lambda *a, **k: ("1D", [0.5] * 4))
+    text = " ünd ".join(f"joe{i}@example.com or 10.0.{i % 250}.7 or bob{i} (at) host [dot] com" for i in range(700))
+    r = pii.pii(spark.createDataFrame([(text,)], "text string")).withColumn("out", pii.redacted("text", "pii_spans")).first()
+    kinds = [(pii.KINDS[x["kind"]], x["start"], x["end"]) for x in r["pii_spans"]]
+    assert [k for k in kinds if k in set(brute.base_spans(text))] == brute.base_spans(text)
+    assert len(kinds) == 2100 and all(text[s:e] == x["m"] for (_, s, e), x in zip(kinds, r["pii_spans"], strict=True))
+    assert r["out"] == " ünd ".join(["[EMAIL] or [IP] or [EMAIL]"] * 700)
+
+
+def test_rows_that_repeat_and_nulls(spark):
+    rows = [(1, "a@b.co"), (1, "a@b.co"), (None, None), (None, "")]
+    got = pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "-", len(r["pii_spans"])) for r in got) == [("1", "a@b.co", 1), ("1", "a@b.co", 1), ("None", "-", 0), ("None", "-", 0)]
+    assert pii.pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0

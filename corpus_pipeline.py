@@ -24,6 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of texts with a five-word shingle similarity of 0.8 or more.
 
+    0.8 is the similarity for near-duplicate stages where no contract says otherwise (op10's says 0.85).
     Every row is a document of its own: of a repeated row one copy stays, and rows with a null id count after all ids.
     """
     named = docs.withColumn("__row", F.col("doc_id").cast("long"))

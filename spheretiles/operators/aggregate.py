@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import ceil, log
+from math import ceil, floor, log
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +34,10 @@ def _partials(particles: DataFrame, order: int, to: int) -> DataFrame:
 
 
 def cascade(partials: DataFrame, finest: int, coarsest: int) -> DataFrame:
-    """(order, cell, total, n) for every order, each from the next finer one: the data are read once."""
+    """(order, cell, total, n) for every order, each from the next finer one: a third more rows than the finest has.
+
+    The partials are read once: levels share their shuffles (Spark reuses equal exchanges).
+    """
     levels, now = [partials.withColumn("order", F.lit(finest))], partials
     for order in range(finest - 1, coarsest - 1, -1):
         now = now.groupBy(C.parent("cell", 1).alias("cell")).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
@@ -42,15 +45,9 @@ def cascade(partials: DataFrame, finest: int, coarsest: int) -> DataFrame:
     return reduce(DataFrame.unionByName, levels).select("order", "cell", "total", "n")
 
 
-def expanded(partials: DataFrame, finest: int, coarsest: int) -> DataFrame:
-    """As cascade, in one shuffle: each finest partial is counted into all its ancestors."""
-    each = partials.withColumn("order", F.explode(F.sequence(F.lit(coarsest), F.lit(finest))))
-    return each.groupBy("order", C.parent("cell", F.lit(finest) - F.col("order")).alias("cell")).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-
-
 def particle_pyramid(particles: DataFrame, order: int, coarsest: int, finest: int) -> DataFrame:
     """(order, cell, n, total, value): one aggregation of particles to the finest order, then its few rows to all others."""
-    out = expanded(_partials(particles, order, finest), finest, coarsest)
+    out = cascade(_partials(particles, order, finest), finest, coarsest)
     return out.select("order", "cell", "n", "total", (F.col("total") / F.col("n")).cast("float").alias("value"))
 
 
@@ -58,7 +55,7 @@ def mean_pyramid(field: DataFrame, order: int, coarsest: int) -> DataFrame:
     """(order, cell, value) of a dense map: mean of the finest valid values of each block; NaN where there is none."""
     v = F.when(not_nan("value"), F.col("value").cast("double"))
     partials = field.select("cell", F.coalesce(v, F.lit(0.0)).alias("total"), F.when(v.isNotNull(), 1).otherwise(0).cast("long").alias("n"))
-    return expanded(partials, order, coarsest).select("order", "cell", F.when(F.col("n") > 0, (F.col("total") / F.col("n")).cast("float")).otherwise(nan()).alias("value"))
+    return cascade(partials, order, coarsest).select("order", "cell", F.when(F.col("n") > 0, (F.col("total") / F.col("n")).cast("float")).otherwise(nan()).alias("value"))
 
 
 def slice_pyramid(cube: DataFrame, picks: dict[str, int], order: int, to: int, tile_shift: int, budget: int = 4_194_304) -> DataFrame:
@@ -73,14 +70,18 @@ def slice_pyramid(cube: DataFrame, picks: dict[str, int], order: int, to: int, t
 def assemble_tiles(cells: DataFrame, order: int, tile_shift: int, empty: float | None = None, axes: str = "even_x") -> DataFrame:
     """(order, face, x, y, values[]): row-major arrays of non-empty tiles; gaps hold `empty` (None: NaN).
 
-    A tile is a run of nested ids, so rows meet by cell >> 2 * tile_shift; a tile has 4**tile_shift cells at most.
+    A tile is a run of nested ids, so rows meet by cell >> 2 * tile_shift; a tile has 4**tile_shift cells at most. Its
+    cells are sorted and the gaps between neighbours filled, in one pass. A cell that is given twice is an error.
     """
     from .algebra import cell_to_tile
 
     fill = nan() if empty is None else F.lit(empty).cast("float")
     placed = cell_to_tile(cells, order, tile_shift, axes=axes)
-    groups = placed.groupBy("face", "x", "y").agg(F.map_from_entries(F.collect_list(F.struct(F.col("local_index").cast("int"), F.col("value")))).alias("found"))
-    values = F.transform(F.sequence(F.lit(0), F.lit(4**tile_shift - 1)), lambda i: F.coalesce(F.try_element_at("found", i), fill))
+    groups = placed.groupBy("face", "x", "y").agg(F.array_sort(F.collect_list(F.struct(F.col("local_index").cast("int").alias("i"), F.col("value").cast("float").alias("v")))).alias("found"))
+    ends = F.concat(F.slice(F.transform("found", lambda c: c["i"]), 2, 4**tile_shift), F.array(F.lit(4**tile_shift)))
+    twice = F.raise_error(F.lit("a tile has a cell twice"))
+    runs = F.zip_with("found", ends, lambda c, end: F.when(end > c["i"], F.concat(F.array(c["v"]), F.array_repeat(fill, end - c["i"] - 1))).otherwise(twice))
+    values = F.concat(F.array_repeat(fill, F.element_at("found", 1)["i"]), F.flatten(runs))
     return groups.select(F.lit(order).alias("order"), "face", "x", "y", values.alias("values"))
 
 
@@ -109,10 +110,36 @@ def stride_sample(cells: DataFrame, target: int = 2048, keys: tuple[str, ...] =
     return ranked.where(F.col("__i") % F.greatest(F.lit(1), F.floor(F.col("__n") / target)) == 0).drop("__n", "__i")
 
 
+def exact_percentiles(df: DataFrame, percents: tuple[float, ...]) -> list[float | None]:
+    """Percentiles of `value` with linear interpolation, by rank: distinct values are dealt by range, never to one task.
+
+    Only counts of partitions and two values for each percentile come to the driver.
+    """
+    from ..sources.scratch import folder
+
+    counts = df.groupBy("value").agg(F.count("*").alias("n")).repartitionByRange("value").withColumn("part", F.spark_partition_id())
+    path = folder(df.sparkSession)
+    counts.write.parquet(path)
+    ranged = df.sparkSession.read.schema(counts.schema).parquet(path)
+    before, total = {}, 0
+    for part, n in sorted(ranged.groupBy("part").agg(F.sum("n")).collect()):  # a row a partition
+        before[part], total = total, total + n
+    if not total:
+        return [None] * len(percents)
+    places = [p / 100 * (total - 1) for p in percents]
+    ranks = sorted({r for at in places for r in (floor(at), ceil(at))})
+    start = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("part")]
+    upto = start + F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    hit = F.filter(F.array(*map(F.lit, ranks)), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
+    value = {r["rank"]: float(r["value"]) for r in ranged.withColumn("upto", upto).select("value", F.explode(hit).alias("rank")).collect()}
+    return [value[floor(at)] + (value[ceil(at)] - value[floor(at)]) * (at - floor(at)) for at in places]
+
+
 def layer_stats(cells: DataFrame, percents: tuple[float, ...] = (1, 50, 99), target: int = 2048) -> DataFrame:
     """One row: min and max of finite values, percentiles (linear interpolation) of the strided sample; null if none."""
-    sample = stride_sample(cells, target).agg(*[F.percentile("value", F.lit(p / 100)).alias(f"p{p:g}") for p in percents])
-    return cells.where(finite("value")).agg(F.min("value").alias("min"), F.max("value").alias("max")).crossJoin(sample)  # one row each
+    found = exact_percentiles(stride_sample(cells, target).select("value"), percents)
+    named = [F.lit(v).cast("double").alias(f"p{p:g}") for p, v in zip(percents, found, strict=True)]
+    return cells.where(finite("value")).agg(F.min("value").alias("min"), F.max("value").alias("max")).select("min", "max", *named)
 
 
 def order_stats(cells: DataFrame) -> DataFrame:

@@ -40,8 +40,8 @@ def cell_to_tile(df: DataFrame, order: int, tile_shift: int, cell: str = "cell",
 
 
 def tile_code_decode(df: DataFrame, side: int) -> DataFrame:
-    code = F.col("tile_code")
-    return df.withColumns({"face": F.floor(code / (side * side)).cast("int"), "x": code % side, "y": F.floor(code / side) % side})
+    div = lambda by: F.expr(f"tile_code div {by}")  # noqa: E731 (whole numbers: doubles are wrong beyond 2**53)
+    return df.withColumns({"face": div(side * side).cast("int"), "x": F.col("tile_code") % side, "y": div(side) % side})
 
 
 def tile_parent(df: DataFrame, min_order: int) -> DataFrame:
@@ -103,6 +103,11 @@ def lonlat_to_vector(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataF
     return df.withColumns({"vx": x, "vy": y, "vz": z})
 
 
+def display_vector(df: DataFrame) -> DataFrame:
+    """Exchanges vy and vz: sky vectors (z up) to display vectors (y up) and back."""
+    return df.withColumns({"vy": F.col("vz"), "vz": F.col("vy")})
+
+
 def net_coords(df: DataFrame) -> DataFrame:
     """Adds net_x, net_y of (face, u, v)."""
     return df.withColumns({"net_x": G.face_value("face", G.FACE_P) - F.col("u") + F.col("v"), "net_y": G.face_value("face", G.FACE_R) - F.col("u") - F.col("v")})

@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LAYER = "struct<id: string, title: string, dtype: string, unit: string, quantization: string, source: string>"
 MANIFEST = f"schema string, name string, ordering string, minOrder double, maxOrder double, nside double, tileShift double, tileSize double, body string, layers array<{LAYER}>"
 DTYPES = ("float32", "uint16", "int16")
+VIEW = {"mode": "sphere", "scale": "linear", "colormap": "viridis"}
 
 
 def parse_layer_request(df: DataFrame, request: str = "request") -> DataFrame:
-    """Adds layer and selectors (map) of `layer?name=value&name=value`; values are URL-decoded."""
-    layer = F.split_part(request, F.lit("?"), F.lit(1))
-    query = F.when(F.contains(F.col(request), F.lit("?")), F.split_part(request, F.lit("?"), F.lit(2))).otherwise("")
-    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
-    entry = lambda p: F.struct(F.url_decode(F.split_part(p, F.lit("="), F.lit(1))), F.url_decode(F.split_part(p, F.lit("="), F.lit(2))))
-    last = F.map_from_entries(F.array_distinct(F.transform(pairs, entry)))
-    return df.withColumns({"layer": layer, "selectors": last})
+    """Adds layer and selectors (map) of `layer?name=value&name=value`; names and values are URL-decoded.
+
+    The first `?` and the first `=` part; of a repeated name the last value counts; a name without `=` has an empty value;
+    what cannot be decoded stays as it is.
+    """
+    after = lambda c, mark: F.when(F.contains(c, F.lit(mark)), F.substring(c, F.length(F.substring_index(c, mark, 1)) + 2, F.length(c))).otherwise("")
+    plain = lambda c: F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
+    pairs = F.filter(F.split(after(F.col(request), "?"), "&"), lambda p: p != "")
+    entries = F.transform(pairs, lambda p: F.struct(plain(F.substring_index(p, "=", 1)).alias("k"), plain(after(p, "=")).alias("v")))
+    df = df.withColumns({"layer": F.substring_index(request, "?", 1), "__e": entries})
+    later = lambda e, i: F.exists(F.slice("__e", i + 2, F.size("__e")), lambda o: o["k"] == e["k"])
+    return df.withColumn("selectors", F.map_from_entries(F.filter("__e", lambda e, i: ~later(e, i)))).drop("__e")
 
 
 def build_layer_request(df: DataFrame, names: list[str], defaults: dict[str, str]) -> DataFrame:
@@ -108,14 +116,28 @@ def slice_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("fingerprint", F.substring(F.sha2(body, 256), 1, 16))
 
 
-def write_manifest(stats: DataFrame, name: str, coarsest: int, finest: int, tile_shift: int, dtype: str = "float32", radius_km: float | None = None) -> DataFrame:
-    """(manifest): JSON with orders, layers, statistics and sources from rows (layer, min, max, p1, p99)."""
+def write_manifest(
+    stats: DataFrame, name: str, coarsest: int, finest: int, tile_shift: int, dtype: str = "float32", radius_km: float | None = None,
+    quantization: dict | None = None, unit: str = "", titles: dict[str, str] | None = None, view: dict[str, str] | None = None,
+) -> DataFrame:
+    """(manifest): JSON with orders, layers, statistics, sources and the default view from rows (layer, min, max, p1, p99).
+
+    quantization: scale, offset and nodata as quantize_layer gives them, which integer layers need. titles: by layer, else
+    its id. view: mode, scale and colormap of the default view, which shows the first layer at the finest order.
+    """
+    if dtype not in DTYPES:
+        raise ValueError(f"dtype must be one of {DTYPES}")
+    if (dtype != "float32") != (quantization is not None):
+        raise ValueError("integer layers need a quantization, others have none")
+    titled = reduce(lambda c, t: c.when(F.col("layer") == t[0], F.lit(t[1])), (titles or {}).items(), F.when(F.lit(False), F.col("layer"))).otherwise(F.col("layer"))
+    coded = [F.struct(F.lit(float(quantization["scale"])).alias("scale"), F.lit(float(quantization["offset"])).alias("offset"), F.lit(int(quantization["nodata"])).alias("nodata")).alias("quantization")] if quantization else []
     source = F.struct(F.lit("directory").alias("type"), F.concat(F.lit("layers/"), F.col("layer"), F.lit("/{order}/{face}/{x}/{y}.bin")).alias("template"))
-    layer = F.struct(F.col("layer").alias("id"), F.col("layer").alias("title"), F.lit("scalar").alias("kind"), F.lit(dtype).alias("dtype"), F.struct("min", "max", "p1", "p99").alias("stats"), source.alias("source"))
+    layer = F.struct(F.col("layer").alias("id"), titled.alias("title"), F.lit("scalar").alias("kind"), F.lit(dtype).alias("dtype"), F.lit(unit).alias("unit"), *coded, F.struct("min", "max", "p1", "p99").alias("stats"), source.alias("source"))
     one = stats.agg(F.sort_array(F.collect_list(layer)).alias("layers"))
     fields = [
         F.lit("hpxmap-v1").alias("schema"), F.lit(name).alias("name"), F.lit("nested").alias("ordering"), F.lit(coarsest).alias("minOrder"), F.lit(finest).alias("maxOrder"),
-        F.lit(1 << finest).alias("nside"), F.lit(tile_shift).alias("tileShift"), F.lit(1 << tile_shift).alias("tileSize"), F.col("layers"),
+        F.lit(1 << finest).alias("nside"), F.lit(tile_shift).alias("tileShift"), F.lit(1 << tile_shift).alias("tileSize"), F.lit("face-local-row-major").alias("tileLayout"), F.col("layers"),
+        F.struct(*[F.lit((view or {}).get(k, v)).alias(k) for k, v in VIEW.items()], F.element_at("layers", 1)["id"].alias("layer"), F.lit(finest).alias("order")).alias("defaultView"),
     ]
     if radius_km is not None:
         if radius_km <= 0:
@@ -128,10 +150,15 @@ def register_dataset(catalogue: DataFrame, entries: DataFrame, default: bool = F
     """catalogue (id, title, manifest, is_default) with entries (id, title, manifest) put in by id.
 
     Entries without id or manifest are rejected; of repeated ids the smallest row counts. The first entry by id becomes
-    the default if asked, or if the catalogue has none.
+    the default if asked, or if the catalogue has none. Where the catalogue has a column position, the entries put in
+    come after all others, in the order of their ids (a catalogue is small: they are numbered in one task).
     """
     good = entries.where("id is not null and id <> '' and manifest is not null and manifest <> ''").groupBy("id").agg(F.min(F.struct("title", "manifest")).alias("m")).select("id", "m.*")
-    kept = catalogue.join(good, "id", "left_anti").select("id", "title", "manifest")
+    ordered = "position" in catalogue.columns
+    kept = catalogue.join(good, "id", "left_anti").select("id", "title", "manifest", *["position"] * ordered)
+    if ordered:
+        last = catalogue.agg(F.coalesce(F.max("position"), F.lit(0)).alias("last"))
+        good = good.withColumn("position", F.row_number().over(Window.orderBy("id"))).crossJoin(F.broadcast(last)).withColumn("position", (F.col("position") + F.col("last")).cast("long")).drop("last")  # one row
     old = catalogue.where("is_default").agg(F.min("id").alias("old"))
     new = good.agg(F.min("id").alias("new"))
     wanted = old.crossJoin(new).select((F.coalesce("new", "old") if default else F.coalesce("old", "new")).alias("__d"))  # one row each

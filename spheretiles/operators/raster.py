@@ -26,10 +26,10 @@ def pixel_places(df: DataFrame, width: int, height: int, registration: str) -> t
 
 
 def resample_raster(raster: DataFrame, info: dict, cells: DataFrame, order: int, axes: str = "odd_x") -> DataFrame:
-    """(cell, value) of each cell centre from its 4 x 4 pixels; a NaN among them gives NaN.
+    """(cell, value) of each cell centre from its 4 x 4 pixels; one that is NaN or absent from `raster` gives NaN.
 
-    Each cell asks for 16 (row, column) pairs, an equi join with the raster (Spark broadcasts a small one), and a sum (double; cast to float
-    when stored in tiles).
+    Each cell asks for 16 (row, column) pairs, a left equi join with the raster (Spark broadcasts a small one), and a sum
+    (double; cast to float when stored in tiles). A pixel that is given twice is an error of the raster: see raster_gaps.
     """
     placed, cycle = pixel_places(cells_to_lonlat(cells, order, axes=axes).select("cell", "lon", "lat"), info["width"], info["height"], info["registration"])
     placed = placed.withColumns({"x1": F.floor("px"), "y1": F.floor("py")}).withColumns({"tx": F.col("px") - F.col("x1"), "ty": F.col("py") - F.col("y1")})
@@ -42,4 +42,17 @@ def resample_raster(raster: DataFrame, info: dict, cells: DataFrame, order: int,
         for i in range(4)
     ]
     asked = placed.select("cell", F.explode(F.array(*asks)).alias("a")).select("cell", "a.*")
-    return asked.join(raster, ["row", "col"]).groupBy("cell").agg(F.sum(F.col("w") * F.col("value").cast("double")).alias("value"))
+    found = asked.join(raster.select("row", "col", F.col("value").cast("double").alias("value")), ["row", "col"], "left")
+    total = F.sum(F.col("w") * F.coalesce("value", F.lit(float("nan"))))
+    return found.groupBy("cell").agg(total.alias("value"))
+
+
+def raster_gaps(raster: DataFrame, info: dict) -> DataFrame:
+    """One row: pixels, missing, repeated, outside; a complete raster has zeros in the last three."""
+    inside = F.col("row").between(0, info["height"] - 1) & F.col("col").between(0, info["width"] - 1)
+    each = raster.groupBy("row", "col").agg(F.count("*").alias("n"), F.first(inside).alias("inside"))
+    good = F.count_if("inside")
+    return each.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("pixels"), (F.lit(info["height"] * info["width"]) - good).alias("missing"),
+        F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(~F.col("inside")).alias("outside"),
+    )

@@ -86,11 +86,18 @@ def select_values_nested(field: DataFrame, tiles: DataFrame, tile_shift: int, or
     return field.join(hits, "cell", "left_semi")
 
 
-def select_values_block(blocks: DataFrame, tiles: DataFrame, tile_shift: int, order: int, block_order: int) -> DataFrame:
-    """(cell, value) inside tiles from (block, values[]): only touched blocks are read and only their slices are exploded."""
-    each = 4 ** (order - block_order)
+def select_values_block(blocks: DataFrame, tiles: DataFrame, tile_shift: int, order: int, block_order: int, prefix: dict[str, object] | None = None) -> DataFrame:
+    """(cell, value) inside tiles from (block, values[]): only touched blocks are read and only their slices are exploded.
+
+    prefix: one value for each leading axis (column) that `blocks` has besides, as a filter of the scan.
+    """
+    if not 0 <= block_order <= order:
+        raise ValueError("the block order must lie between 0 and the order")
+    for axis, value in (prefix or {}).items():
+        blocks = blocks.where(F.col(axis) == F.lit(value))
+    each, bits = 4 ** (order - block_order), 2 * (order - block_order)
     ids = selection_nested_ranges(tiles, tile_shift, order)
-    part = ids.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / each), F.floor((F.col("stop") - 1) / each))))
+    part = ids.withColumn("block", F.explode(F.sequence(C.down("start", bits), C.down(F.col("stop") - 1, bits))))
     part = part.withColumns({"low": F.greatest(F.col("start"), F.col("block") * each) - F.col("block") * each, "high": F.least(F.col("stop"), (F.col("block") + 1) * each) - F.col("block") * each})
     hit = blocks.join(part.select("block", "low", "high"), "block")
     cut = hit.select("block", "low", F.posexplode(F.slice("values", (F.col("low") + 1).cast("int"), (F.col("high") - F.col("low")).cast("int"))).alias("at", "value"))

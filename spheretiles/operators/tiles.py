@@ -16,8 +16,7 @@ def enumerate_tiles(spark: SparkSession, coarsest: int, finest: int, tile_shift:
     out = None
     for order in range(coarsest, finest + 1):
         side = 1 << max(0, order - tile_shift)
-        i = F.col("id")
-        part = spark.range(12 * side * side).select(F.lit(order).alias("order"), F.floor(i / (side * side)).cast("int").alias("face"), (i % side).alias("x"), (F.floor(i / side) % side).alias("y"))
+        part = spark.range(12 * side * side).select(F.lit(order).alias("order"), F.expr(f"id div {side * side}").cast("int").alias("face"), (F.col("id") % side).alias("x"), (F.expr(f"id div {side}") % side).alias("y"))
         out = part if out is None else out.unionByName(part)
     return out
 

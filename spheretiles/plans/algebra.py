@@ -119,6 +119,11 @@ def _(spark, d):
     return r9(O.lonlat_to_vector(X.points(spark, d)), "vx", "vy", "vz").drop("lon", "lat")
 
 
+@query("display_vector", sql("points", "SELECT id, round(cos(radians(lat)) * cos(radians(lon)), 9) + 0.0 AS vx, round(cos(radians(lat)) * sin(radians(lon)), 9) + 0.0 AS vy, round(sin(radians(lat)), 9) + 0.0 AS vz FROM points"))
+def _(spark, d):
+    return r9(O.display_vector(O.lonlat_to_vector(X.points(spark, d))), "vx", "vy", "vz").drop("lon", "lat")
+
+
 _UV = "SELECT cell, CAST(cell // 1048576 AS INTEGER) AS face, (" + odd("cell % 1048576", 10) + " + 0.5)::DOUBLE / 1024 AS u, (" + even("cell % 1048576", 10) + " + 0.5)::DOUBLE / 1024 AS v FROM particles"
 
 

@@ -51,6 +51,16 @@ def _(spark, d):
     return got.select("event_id", "layer", F.try_element_at("selectors", F.lit("time")).alias("time"), F.try_element_at("selectors", F.lit("run name")).alias("run"))
 
 
+_ODD = "concat('value', CASE event_id % 6 WHEN 0 THEN concat('?time=1&time=', user_id) WHEN 1 THEN '?time=b=c' WHEN 2 THEN '?time=x?y' WHEN 3 THEN '?time=%zz+1' WHEN 4 THEN '?time&run=1' ELSE '?=&&time=a%20b+c' END)"
+
+
+@query("parse_layer_request_odd", """SELECT event_id, 'value' AS layer, CASE event_id % 6 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN 'b=c' WHEN 2 THEN 'x?y' WHEN 3 THEN '%zz 1' WHEN 4 THEN '' ELSE 'a b c' END AS "time" FROM events""")
+def _(spark, d):
+    """Repeated names, marks within values, values that cannot be decoded, names without a value."""
+    t = X.table(spark, d, "events").select("event_id", F.expr(_ODD).alias("request"))
+    return K.parse_layer_request(t).select("event_id", "layer", F.try_element_at("selectors", F.lit("time")).alias("time"))
+
+
 @query("build_layer_request", "SELECT event_id, concat('value?time=', CASE WHEN user_id % 5 = 0 THEN '0' ELSE CAST(event_id % 4 AS VARCHAR) END, '&level=1') AS request FROM events")
 def _(spark, d):
     t = X.table(spark, d, "events").select("event_id", F.expr(_REQUEST).alias("request"))
@@ -114,3 +124,31 @@ def _(spark, d):
     odd = t.where("c_custkey % 2 = 1").select(F.col("c_name").alias("id"), F.lit("old").alias("title"), F.lit("old.json").alias("manifest"), (F.col("c_custkey") == 3).alias("is_default"))
     new = t.select(F.col("c_name").alias("id"), F.concat(F.lit("t"), "c_nationkey").alias("title"), F.when(F.col("c_custkey") % 4 != 3, F.concat(F.lit("m"), "c_custkey", F.lit(".json"))).alias("manifest"))
     return K.register_dataset(odd, new)
+
+
+@query(
+    "register_dataset_position",
+    """WITH new AS (SELECT c_name AS id FROM customer WHERE c_custkey % 4 = 1), old AS (SELECT c_name AS id, c_custkey AS position FROM customer WHERE c_custkey % 2 = 1)
+ SELECT id, position FROM old ANTI JOIN new USING (id) UNION ALL SELECT id, row_number() OVER (ORDER BY id) + (SELECT max(position) FROM old) FROM new""",
+)
+def _(spark, d):
+    """Entries put in again come after all others."""
+    t = X.table(spark, d, "customer")
+    old = t.where("c_custkey % 2 = 1").select(F.col("c_name").alias("id"), F.lit("t").alias("title"), F.lit("m.json").alias("manifest"), F.lit(False).alias("is_default"), F.col("c_custkey").alias("position"))
+    new = t.where("c_custkey % 4 = 1").select(F.col("c_name").alias("id"), F.lit("t").alias("title"), F.lit("n.json").alias("manifest"))
+    return K.register_dataset(old, new).select("id", "position")
+
+
+@query("write_manifest_integer", sql("particles", """SELECT 'uint16' AS dtype, 'm' AS unit, round((max(value)::DOUBLE - min(value)::DOUBLE) / 65534, 9) AS scale, 65535 AS nodata, 'Price' AS title, 'price' AS shown, CAST(0 AS BIGINT) AS broken FROM placed WHERE NOT isnan(value)""", placed=_PLACED))
+def _(spark, d):
+    """An integer layer with its quantization; the manifest breaks no rule."""
+    from ..operators.codec import quantize_layer
+
+    cells = placed_pyramid(spark, d)
+    _, q = quantize_layer(cells)
+    stats = A.layer_stats(cells).withColumn("layer", F.lit("price")).select("layer", F.col("min").cast("double").alias("min"), F.col("max").cast("double").alias("max"), "p1", "p99")
+    text = K.write_manifest(stats, "prices", 5, 6, 3, "uint16", quantization=q, unit="m", titles={"price": "Price"}, view={"colormap": "magma"})
+    get = lambda p: F.get_json_object("manifest", p)
+    broken = F.size(F.filter(F.array(*[~ok for _, ok in K.manifest_rules()]), lambda x: x)).cast("long")
+    first = "$.layers[0]"
+    return text.select(get(f"{first}.dtype").alias("dtype"), get(f"{first}.unit").alias("unit"), F.round(get(f"{first}.quantization.scale").cast("double"), 9).alias("scale"), get(f"{first}.quantization.nodata").cast("int").alias("nodata"), get(f"{first}.title").alias("title"), get("$.defaultView.layer").alias("shown"), broken.alias("broken"))

@@ -55,13 +55,12 @@ def painted(spark, d) -> DataFrame:
 
 def stored(spark, d) -> DataFrame:
     """Tiles of orders 4..6 that hold particles, a third removed; n_values is wrong for some."""
-    from ..operators.algebra import cell_to_tile
+    from ..functions import cells as C
+    from ..operators.algebra import nested_to_cell
 
-    out = None
-    for order in (4, 5, 6):
-        cells = particles(spark, d).select(F.shiftrightunsigned("cell", 2 * (ORDER - order)).alias("cell")).distinct()
-        part = cell_to_tile(cells, order, SHIFT).select(F.lit(order).alias("order"), "face", "x", "y").distinct()
-        out = part if out is None else out.unionByName(part)
+    finest = particles(spark, d).select(F.shiftrightunsigned("cell", 2 * (ORDER - 6 + SHIFT)).alias("cell")).distinct()
+    placed = nested_to_cell(finest, 6 - SHIFT).withColumn("order", F.explode(F.array(*map(F.lit, (4, 5, 6)))))
+    out = placed.select("order", "face", C.down("ix", 6 - F.col("order")).alias("x"), C.down("iy", 6 - F.col("order")).alias("y")).distinct()
     mark = F.col("face") * 37 + F.col("y") * 11 + F.col("x") * F.col("x") * 5 + F.col("order")
     return out.where(mark % 3 != 0).withColumn("n_values", F.when(mark % 31 == 1, 60).otherwise(64))
 
@@ -117,6 +116,7 @@ CTE = {
     "clustered": "SELECT cell % 49152 AS cell, value FROM particles",
     "dense_map": """SELECT r.range AS cell, CAST(CASE WHEN n IS NULL OR r.range % 13 = 0 THEN 'NaN'::DOUBLE ELSE s / n END AS FLOAT) AS value
   FROM range(0, 49152) r LEFT JOIN (SELECT cell >> 8 AS c, sum(value::DOUBLE) AS s, count(*) AS n FROM particles GROUP BY 1) p ON r.range = p.c""",
+    "raster_holes": f"SELECT * FROM {_raster_sql(19, 37)} WHERE \"row\" <> 11 AND (\"row\" * 37 + col) % 83 <> 5",
     "points": "SELECT c_custkey AS id, (c_custkey * 137.50776405::DOUBLE) % 360 - 180 AS lon, degrees(asin((c_custkey * 0.61803398875::DOUBLE) % 1 * 1.998::DOUBLE - 0.999::DOUBLE)) AS lat FROM customer",
     "painted": """SELECT * FROM (SELECT 6 AS "order", CAST(o_orderkey % 12 AS INTEGER) AS face, o_custkey % 8 AS x, (o_orderkey // 12) % 8 AS y FROM orders) WHERE (face*37 + y*11 + x*x*5) % 7 < 4""",
     "stored": f"""SELECT *, CASE WHEN (face*37 + y*11 + x*x*5 + "order") % 31 = 1 THEN 60 ELSE 64 END AS n_values FROM ({_STORED}) WHERE (face*37 + y*11 + x*x*5 + "order") % 3 <> 0""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import cells as C
 from ..operators import aggregate as A
 from ..operators import select as L
 from ..operators import tiles as T
@@ -110,6 +111,14 @@ def _(spark, d):
     return as_double(L.select_values_block(blocks(spark, d), L.distinct_tiles(X.painted(spark, d)), SHIFT, MAP_ORDER, 3), "value")
 
 
+@query("select_values_block_prefix", sql("cube painted", f"""SELECT m.cell, m.value::DOUBLE AS value FROM cube m SEMI JOIN (SELECT DISTINCT face * 64 + {morton("x", "y", 3)} AS t FROM painted) s ON m.cell // 64 = s.t WHERE m."time" = 1 AND m."level" = 2"""))
+def _(spark, d):
+    """Blocks of a cube with two leading axes."""
+    rows = X.cube(spark, d).groupBy("time", "level", C.down("cell", 6).alias("block"))
+    cubes = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "value"))), lambda s: s["value"]).alias("values"))
+    return as_double(L.select_values_block(cubes, L.distinct_tiles(X.painted(spark, d)), SHIFT, MAP_ORDER, 3, {"time": 1, "level": 2}), "value")
+
+
 @query("selection_stats", sql("dense_map painted", """SELECT count(*) AS n, avg(value) AS mean, min(value) AS "min", max(value) AS "max" FROM picked WHERE NOT isnan(value)""", picked=_PICKED))
 def _(spark, d):
     return L.selection_stats(L.select_values_nested(X.dense_map(spark, d), X.painted(spark, d), SHIFT, MAP_ORDER))
@@ -269,10 +278,11 @@ def _(spark, d):
 _EVENTS = """SELECT cell >> 8 AS cell, count(*) AS n, sum(v::DOUBLE) AS total FROM (SELECT (event_id*2654435761 + user_id*7919) % 12582912 AS cell, CAST(value AS FLOAT) AS v FROM events) WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY 1"""
 
 
-def _event_stream(spark, d):
-    path = f"{d}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{path}*")
+def _event_stream(spark, d, top, files=7, at_once=2):
+    """The events as a stream of several files, so of several batches."""
+    events = X.table(spark, d, "events")
+    events.repartition(files).write.parquet(f"{top}/events")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", at_once).parquet(f"{top}/events")
 
 
 @query("stream_particles", _EVENTS)
@@ -280,18 +290,17 @@ def _(spark, d):
     from ..sources.scratch import folder
 
     top = folder(spark)
-    particles = _event_stream(spark, d).select(((F.col("event_id") * 2654435761 + F.col("user_id") * 7919) % 12582912).alias("cell"), F.col("value"))
+    particles = _event_stream(spark, d, top).select(((F.col("event_id") * 2654435761 + F.col("user_id") * 7919) % 12582912).alias("cell"), F.col("value"))
     jobs.stream_particles(particles, ORDER, 6, f"{top}/out", f"{top}/checkpoint")
-    return spark.read.parquet(f"{top}/out")
+    return jobs.read_particle_state(spark, f"{top}/out")
 
 
 @query("stream_tile_fill", sql("particles wanted", f"""SELECT w."order", w.face, w.x, w.y, count(p.cell) AS n FROM (SELECT DISTINCT * FROM wanted) w LEFT JOIN particles p ON p.cell // 16384 = w.face * 64 + {morton("w.x", "w.y", 3)} GROUP BY ALL"""))
 def _(spark, d):
-    from ..functions import cells as C
     from ..sources.scratch import folder
 
     top = folder(spark)
-    requests = _event_stream(spark, d).select(F.lit(6).alias("order"), (F.col("event_id") % 12).cast("int").alias("face"), (F.col("user_id") % 8).alias("x"), (F.floor(F.col("event_id") / 12) % 8).alias("y"))
+    requests = _event_stream(spark, d, top).select(F.lit(6).alias("order"), (F.col("event_id") % 12).cast("int").alias("face"), (F.col("user_id") % 8).alias("x"), (F.floor(F.col("event_id") / 12) % 8).alias("y"))
 
     def fill(tiles):
         counts = X.particles(spark, d).groupBy(C.down("cell", 14).alias("tile")).agg(F.count("*").alias("n"))

@@ -8,6 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; /tmp/checkpoints where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new folder below spark.checkpoint.dir; where that is unset, below /tmp in a single process, an error on a cluster."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "file:///tmp/checkpoints"
     return f"{top.rstrip('/')}/tiles-{uuid.uuid4().hex}"

@@ -18,19 +18,21 @@ def particle_state(particles: DataFrame, order: int, to: int) -> DataFrame:
 
 
 def stream_particles(stream: DataFrame, order: int, to: int, out: str, checkpoint: str) -> None:
-    """Runs the stream to its present end; `out` then holds the (cell, n, total) of all particles read so far.
+    """Runs the stream to its present end; `out` then holds the partial (cell, n, total) of every batch so far.
 
-    Complete mode rewrites the table of occupied cells each batch; state is bounded by occupied cells.
+    A batch writes only its own cells, into batch=<id>, and replaces them if it runs again after a failure; no batch
+    touches another's. Sums do not depend on how the stream was cut into batches: read them with read_particle_state.
     """
-    query = (
-        particle_state(stream, order, to)
-        .writeStream.outputMode("complete")
-        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+
+    def one(df: DataFrame, batch: int) -> None:
+        particle_state(df, order, to).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_particle_state(spark: SparkSession, out: str) -> DataFrame:
+    """(cell, n, total) of all particles that stream_particles has read into `out`."""
+    return spark.read.parquet(out).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def stream_tile_fill(requests: DataFrame, fill: Callable[[DataFrame], DataFrame], cache: str, checkpoint: str, keys: tuple[str, ...] = ("order", "face", "x", "y")) -> None:
@@ -52,9 +54,12 @@ def stream_tile_fill(requests: DataFrame, fill: Callable[[DataFrame], DataFrame]
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The cache, or None where no batch has written yet; any other error is the caller's."""
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

@@ -26,6 +26,7 @@ from .words import mix, pieces, shingles, utf8
 
 SIDE, DEPTH = 10, 3
 BLOCK = 1024
+EMIT = 8192  # classes to a task that emits their keys, side * side each
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -161,7 +162,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, side: in
     found = written(features(own, width, 2 * side * depth))
     least = found.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     classes = written(least.join(found.select("h1", "h2", F.col("id").alias("rep"), "sig", "n"), ["h1", "h2", "rep"]).dropDuplicates(["h1", "h2", "rep"]))
-    keys = classes.select("rep", "sig").mapInArrow(_emit_keys(side, depth), "key long, tab int, rep long")
+    tasks = max(1, -(-classes.count() // EMIT))
+    keys = classes.select("rep", "sig").repartition(tasks, "rep").mapInArrow(_emit_keys(side, depth), "key long, tab int, rep long")
     shared = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1")
     members = written(keys.join(shared, "key"))
     ids = members.select(F.col("rep").alias("id")).distinct()
@@ -197,28 +199,3 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, side: in
 def op10_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     """Contract query: component of every document."""
     return near_duplicates(documents(spark, sf_dir))
-
-
-def reference(rows: list[tuple[int, str | None]], percent: int = 85, width: int = 5) -> dict[int, tuple[int, int, bool]]:
-    """Brute force for tests: doc_id -> (n_shingles, component_id, kept)."""
-    sets = {}
-    for d, t in rows:
-        w = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in (t or "").encode().split()]
-        sets[d] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
-    root = {d: d for d in sets}
-
-    def top(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    holders: dict = {}
-    for d, s in sets.items():
-        for x in s:
-            holders.setdefault(x, []).append(d)
-    for p in {(a, b) for h in holders.values() for i, a in enumerate(h) for b in h[i + 1 :]}:
-        x, y = sets[p[0]], sets[p[1]]
-        if 100 * len(x & y) >= percent * len(x | y):
-            a, b = sorted((top(p[0]), top(p[1])))
-            root[b] = a
-    return {d: (len(sets[d]), top(d), top(d) == d) for d in sets}

@@ -3,8 +3,8 @@
 Tokenization makes pieces of at most `capacity` tokens. How many pieces have each length is a table of at most
 `capacity` rows whatever the input, and on it the bins are planned: for the longest length left, a bitset subset-sum
 dynamic program over the lengths still available finds the fullest feasible bin, which is taken out as often as the
-counts allow. Pieces are then numbered within their length (by salted groups and their running totals, so that a
-common length is not one task), and a number says which bin of the plan a piece is in and where.
+counts allow. Pieces are then numbered within their length (by salted groups and their running totals, as many as a
+length asks for, so that a common one is not one task), and a number says which bin of the plan a piece is in and where.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from .pretokens import Pieces
 from .tables import documents, written
 from .words import pieces, utf8
 
-SALTS = 256
+GROUP = 1 << 18  # pieces of one length, about, that are numbered in one group
 _loaded: dict = {}
 
 
@@ -136,11 +136,12 @@ def place(parts: DataFrame, capacity: int) -> DataFrame:
             base += n * u
         first += bins
     table = spark.createDataFrame(slots, "length long, low long, high long, uses long, first_bin long, base long")  # bounded by the number of lengths, not of pieces
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    many = spark.createDataFrame([(n, -(-c // GROUP)) for n, c in counts.items()], "length long, salts long")  # capacity rows at most
+    salted = parts.join(F.broadcast(many), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")).cast("int")).drop("salts")
     groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = groups.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     number = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    numbered = salted.withColumn("number", number).join(F.broadcast(before), ["length", "salt"]).withColumn("number", F.col("number") + F.col("before"))  # capacity * SALTS rows at most
+    numbered = salted.withColumn("number", number).join(F.broadcast(before), ["length", "salt"]).withColumn("number", F.col("number") + F.col("before"))  # a row for each length and 262,144 pieces of it: 60,000 rows for 1.5e10 pieces
     found = numbered.join(F.broadcast(table), (numbered.length == table.length) & (F.col("number") >= F.col("low")) & (F.col("number") < F.col("high"))).drop(table.length)
     turn = F.col("number") - F.col("low")
     return found.withColumn("sequence_id", F.col("first_bin") + F.floor(turn / F.col("uses"))).withColumn("offset", F.col("base") + (turn % F.col("uses")) * F.col("length")).drop("salt", "number", "before", "low", "high", "uses", "first_bin", "base")

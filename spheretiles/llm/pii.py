@@ -79,6 +79,7 @@ def _fold(items: Column, state: Column, step: Callable[[Column, Column], tuple[C
     return F.when(F.size(items) > 0, F.flatten(whole["out"])).otherwise(none)
 
 
+FOUND = "struct<start: int, kind: int, end: int, m: string, before: string, after: string, ok: boolean>"
 MATCH = "struct<start: int, end: int, m: string, before: string, after: string>"
 
 
@@ -144,11 +145,13 @@ def base_matches(docs: DataFrame, text: str) -> DataFrame:
 def more_candidates(df: DataFrame, text: str) -> DataFrame:
     """Adds __more: array of FOUND (ok is false) that the generators propose."""
     t = F.col(text)
-    asks = (t.rlike(r"(?:\((?:at|AT)\)|\[(?:at|AT)\]|@)"), t.rlike(r"[0-9][\[(]\.[\])][0-9]"), t.rlike(r"[0-9](?:[ .-]{0,2}[0-9]){11}"), t.rlike(r"[0-9](?:[ ./()-]{0,3}[0-9]){8}"))
+    df = df.withColumn("__n", t.rlike(r"[0-9](?:[ ./()-]{0,3}[0-9]){8}"))  # nine digits with little between: whatever has twelve has these
+    many = F.col("__n")
+    asks = (t.rlike(r"(?:\((?:at|AT)\)|\[(?:at|AT)\]|@)"), t.rlike(r"[0-9][\[(]\.[\])][0-9]"), many & t.rlike(r"[0-9](?:[ .-]{0,2}[0-9]){11}"), many)
     for k, pattern in enumerate(MORE):
         df = _found(df, text, pattern, f"__c{k}", asks[k])
     parts = [_kinded(f"__c{k}", k, lambda m: F.lit(False)) for k in range(4)]
-    return df.withColumn("__more", F.concat(*parts)).drop(*[f"__c{k}" for k in range(4)])
+    return df.withColumn("__more", F.concat(*parts)).drop("__n", *[f"__c{k}" for k in range(4)])
 
 
 def features(x: Column) -> list[Column]:
@@ -163,12 +166,12 @@ def features(x: Column) -> list[Column]:
         x["kind"], F.length(_digits(m)), F.length(m), F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")), flag(m.rlike(r"^(?:\+|00)")), flag(before.rlike(WORD_BEFORE)),
         flag(around.rlike("[A-Za-z0-9]")), flag(_luhn(m)), F.size(groups), longest, flag(m.rlike(r"[ .-]{2}")), flag(m.rlike("^0+[^0-9]?0*$")),
         F.size(words), F.length(F.regexp_extract(m, "([A-Za-z]*)$", 1)), flag(m.rlike("[ .][A-Z][a-z]*$")), F.length(F.regexp_replace(m, "[^ ]", "")), F.length(F.regexp_replace(m, r"[^\[\]()]", "")),
-        flag(m.rlike(r"^[0-9]{4}(?:[ .-]{1,2}[0-9]{4}){2,3}(?:[ .-]{1,2}[0-9]{1,3})?$")), F.aggregate(groups, F.lit(0.0), lambda a, g: F.greatest(a, g.cast("double"))),
+        flag(m.rlike(r"^[0-9]{4}(?:[ .-]{1,2}[0-9]{4}){2,3}(?:[ .-]{1,2}[0-9]{1,3})?$")), F.aggregate(groups, F.lit(0.0), lambda a, g: F.greatest(a, F.least(g.cast("double"), F.lit(256.0)))),
     )]
 
 
 def disguises(kind: Column, m: Column, ok: Column) -> Column:
-    """Array of a match's disguised forms; of one that fails its check also itself."""
+    """Array of a match's disguised forms; of one that fails its check itself and one form, picked by a hash."""
     host, user = F.substring_index(m, "@", -1), F.substring_index(m, "@", 1)
     dots = lambda text, by: F.replace(text, F.lit("."), F.lit(by))
     by_four = lambda by: F.regexp_replace(_digits(m), "([0-9]{4})(?=[0-9])", f"$1{by}")
@@ -179,8 +182,13 @@ def disguises(kind: Column, m: Column, ok: Column) -> Column:
         [by_four(by) for by in (".", "--", "  ", "- ")],
         [F.concat(F.lit("00"), bare), bare, F.regexp_replace(bare, "[ -]+", "."), F.regexp_replace(bare, "[ -]+", "/"), F.regexp_replace(bare, "[ .-]+", "-")],
     )
-    forms = F.when(kind == 0, F.array(*each[0])).when(kind == 1, F.array(*each[1])).when(kind == 2, F.array(*each[2])).otherwise(F.array(*each[3]))
-    return F.when(ok, forms).otherwise(F.concat(forms, F.array(m)))
+
+    def of(forms: list[Column]) -> Column:
+        pick = F.pmod(F.xxhash64(m), F.lit(len(forms)))
+        one = F.coalesce(*[F.when(pick == i, f) for i, f in enumerate(forms)])
+        return F.when(ok, F.array(*forms)).otherwise(F.array(m, one))
+
+    return F.when(kind == 0, of(each[0])).when(kind == 1, of(each[1])).when(kind == 2, of(each[2])).otherwise(of(each[3]))
 
 
 def labelled(docs: DataFrame, text: str) -> DataFrame:
@@ -189,7 +197,8 @@ def labelled(docs: DataFrame, text: str) -> DataFrame:
     of = lambda kind, m: F.struct(F.lit(0).alias("start"), F.lit(kind).alias("kind"), F.lit(0).alias("end"), m.alias("m"), F.lit("see ").alias("before"), F.lit(" ").alias("after"), F.lit(False).alias("ok"))
     prose = F.regexp_replace(F.regexp_extract(F.col(text), r"\b([A-Za-z]{2,12} [A-Za-z]{2,12}\. ?[A-Za-z]{2,12})\b", 1), "^([A-Za-z]+) ", "$1@")
     date = F.regexp_extract(F.col(text), r"\b([0-9]{2,4}[-/.][0-9]{2}[-/.][0-9]{2,4})\b", 1)
-    decoys = F.filter(F.array(of(0, prose), of(3, date)), lambda x: x["m"] != "")  # one of each a document
+    both = F.filter(F.array(of(0, prose), of(3, date)), lambda x: x["m"] != "")  # one of each for a document with matches
+    decoys = F.when(F.size("__base") > 0, both).otherwise(F.array().cast(f"array<{FOUND}>"))
     over = F.transform(F.filter("__base", lambda x: (x["kind"] == 1) & x["ok"]), lambda x: F.struct(*[x[c].alias(c) for c in ("start", "kind", "end")], F.regexp_replace(x["m"], "[0-9]+$", "777").alias("m"), x["before"].alias("before"), x["after"].alias("after"), F.lit(False).alias("ok")))
     rows = df.select(F.explode(F.concat("__base", over, decoys)).alias("x")).select("x", F.explode(disguises(F.col("x.kind"), F.col("x.m"), F.col("x.ok"))).alias("form"))
     rows = rows.select("x", "form", F.concat("x.before", "form", "x.after").alias("text"), F.length("x.before").alias("at"))
@@ -221,7 +230,7 @@ def train(docs: DataFrame, text: str, key: Column, sample: int = 4000, trees: in
     asked = docs.select(F.col(text).alias("text"), F.shiftrightunsigned(F.xxhash64(key), 2).alias("draw")).where(t.rlike("[0-9@]"))
     hinted = asked.select("text", "draw", *[h.alias(f"h{k}") for k, h in enumerate(hints)])
     many = hinted.agg(*[F.approx_count_distinct(F.when(F.col(f"h{k}"), F.col("draw"))) for k in range(4)]).first()
-    below = [F.col(f"h{k}") & (F.col("draw") < int(min(0.5, sample / max(1, n)) * (1 << 62))) for k, n in enumerate(many)]
+    below = [(F.col("draw") < int(min(0.5, sample / max(1, n)) * (1 << 62))) & F.col(f"h{k}") for k, n in enumerate(many)]  # most texts are not searched again
     read = below[0] | below[1] | below[2] | below[3]
     drawn = hinted.where(read).groupBy("draw").agg(F.any_value("text").alias("text"))
     rows = written(labelled(drawn, "text"))
@@ -247,7 +256,6 @@ def train(docs: DataFrame, text: str, key: Column, sample: int = 4000, trees: in
 
 
 SPAN = "struct<start: int, kind: int, end: int, m: string>"
-FOUND = "struct<start: int, kind: int, end: int, m: string, before: string, after: string, ok: boolean>"
 _LAST = 2**31 - 1
 
 

@@ -18,6 +18,7 @@ from .tables import documents, written
 from .words import mix, owner, pieces, utf8, words
 
 BUCKETS = 10_000
+RANKED = 1 << 20  # rows of a range of draws, about: the range with the cut is ranked in one task
 
 
 def _features(column) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +84,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = 0.5, seed: int =
     weighed = log_weights(docs, fit(docs, labels, id=id, text=text), id, text)
     u = (F.xxhash64(F.lit(seed), "tie").bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
     drawn = weighed.withColumn("draw", F.col("log_weight") - F.ln(-F.ln(u)))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANKED))
     ranged = written(drawn.repartitionByRange(parts, F.desc("draw"), "tie").withColumn("part", F.spark_partition_id()))
     counts = sorted(ranged.groupBy("part").count().collect())  # a row a partition
     k, before, cut = int(np.ceil(share * sum(n for _, n in counts) - 1e-9)), 0, -1

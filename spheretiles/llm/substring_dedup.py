@@ -11,13 +11,13 @@
 2. Each group's windows are counted; a window seen twice, or flagged, gives a removal interval.
 3. A document's intervals are merged and joined to its text by document key.
 
-Two different windows take one another for equal only when 63-bit hashes collide (2**-63 a pair).
+Windows are compared under one key only, so two different ones count as equal only if they share their minimizer (the
+64-bit hash of an 8-word run) and 63 more bits of their own hash: unrelated windows practically never, and of windows that
+do share 8 words a pair in 2**63. Rows are known by a 64-bit hash of id and text.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -260,19 +260,3 @@ def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Contract query: words removed and the digest of the kept words of every document."""
     found = substring_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
-
-
-def reference(rows: list[tuple[int, str | None]], width: int = 35) -> dict[int, tuple[int, int, str]]:
-    """Brute force for tests: doc_id -> (n_words, n_removed, kept_sha256)."""
-    from collections import Counter
-
-    split = [(d, (t or "").encode().split()) for d, t in rows]
-    seen = Counter(tuple(w[i : i + width]) for _, w in split for i in range(len(w) - width + 1))
-    out = {}
-    for d, w in split:
-        gone = set()
-        for i in range(len(w) - width + 1):
-            if seen[tuple(w[i : i + width])] > 1:
-                gone.update(range(i, i + width))
-        out[d] = (len(w), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest())
-    return out

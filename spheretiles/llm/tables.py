@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see; /tmp/checkpoints where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new folder below spark.checkpoint.dir, which all executors see; where that is unset, below /tmp in a single
+    process (as in tests), an error on a cluster, whose executors would not see each other's files."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "file:///tmp/checkpoints"
     return f"{top.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 

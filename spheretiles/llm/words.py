@@ -20,6 +20,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _BLOCK = 1 << 19
+LONG = 256  # bytes of a word above which its hash is folded from those of its parts
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -74,7 +75,27 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of data[s:e]; blocks of about _BLOCK bytes bound the memory."""
+    """Hashes of data[s:e]; blocks of about _BLOCK bytes bound the memory.
+
+    Polynomials modulo 2**64 have known pairs of strings with equal hashes, of 1024 bytes and more; so longer words are
+    cut into parts of LONG bytes, whose mixed hashes are folded.
+    """
+    long = np.flatnonzero(ends - starts > LONG)
+    if not len(long):
+        return _plain(data, starts, ends)
+    short = np.minimum(ends, starts + LONG)
+    out = _plain(data, starts, short)
+    for w in long.tolist():
+        s = np.arange(starts[w] + LONG, ends[w], LONG)
+        h = int(out[w])
+        for part in _plain(data, s, np.minimum(s + LONG, ends[w])).tolist():
+            h = (h * 0xD6E8FEB86659FD93 + part) & 0xFFFFFFFFFFFFFFFF
+            h ^= h >> 29
+        out[w] = h
+    return mix(out) if len(long) == len(out) else np.where(ends - starts > LONG, mix(out), out)
+
+
+def _plain(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):

@@ -1,5 +1,7 @@
 """Spans that the generators add to the base spans."""
 
+import random
+
 from spheretiles.llm import pii
 
 
@@ -43,7 +45,11 @@ def test_disguised_spans_are_added_and_decoys_are_not(spark):
 
     cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881", "4222 2222 2222 2220"]
     wrong = ["4111 1111 1111 1112", "5500 0000 0000 0005", "4012 8888 8888 1882"]
-    plain = [f"mail ann{i}@site{i % 9}.org or host 10.{i % 200}.3.{i % 250}, card {(cards + wrong)[i % 7]} and {(wrong + cards)[i % 5]}. We met at noon. Then call +49 151 {1000 + i} {2000 + i} on 2024-03-{i % 20 + 10}" for i in range(600)]
+    rng = random.Random(8)
+    host = lambda: ".".join(str(rng.randrange(1, 256)) for _ in range(4))
+    phone = lambda: f"+{rng.choice([1, 33, 49, 351])} {rng.randrange(100, 999)} {rng.randrange(1000, 9999)} {rng.randrange(1000, 9999)}"
+    name = lambda: "".join(rng.choice("abdeilmnorst") for _ in range(rng.randrange(2, 9)))
+    plain = [f"mail {name()}{rng.choice(['', '.', '_'])}{name()}@{name()}.{rng.choice(['org', 'com', 'co.uk', 'example.com'])} or host {host()}, card {(cards + wrong)[i % 7]} and {(wrong + cards)[i % 5]}. We met at {name()}. Then call {phone()} on 2024-03-{i % 20 + 10}" for i in range(600)]
     planted = {
         "write eve (at) mail [dot] example [dot] com now": ["eve (at) mail [dot] example [dot] com"],
         "write eve[at]example[dot]org now": ["eve[at]example[dot]org"],

@@ -216,7 +216,7 @@ def _tree_sql(node, name: str) -> str:
     return f"CASE WHEN {name}.f{split.featureIndex()} <= {split.threshold()!r}D THEN {_tree_sql(node.leftChild(), name)} ELSE {_tree_sql(node.rightChild(), name)} END"
 
 
-def train(docs: DataFrame, text: str, key: Column, sample: int = 4000, trees: int = 20, depth: int = 4, precision: float = 0.99) -> tuple[str, list[float | None]]:
+def train(docs: DataFrame, text: str, key: Column, sample: int = 4000, trees: int = 10, depth: int = 3, precision: float = 0.99) -> tuple[str, list[float | None]]:
     """(score as SQL over struct f, threshold of each kind or None); empty if the sample lacks one of the two classes.
 
     The fit reads, of the texts that may hold a kind, those whose hash of `key` lies below a cut-off set from their
@@ -242,7 +242,7 @@ def train(docs: DataFrame, text: str, key: Column, sample: int = 4000, trees: in
     parts = [f"{w!r}D * ({_tree_sql(t._java_obj.rootNode(), 'f')})" for w, t in zip(model.treeWeights, model.trees, strict=True)]
     score = f"1 / (1 + exp(-2 * ({' + '.join(parts)})))"
     held = labelled(hinted.where(~read).select("text"), "text")
-    counted = held.select(F.col("f.f0").alias("kind"), F.round(F.expr(score), 3).alias("score"), "label").groupBy("kind", "score").agg(F.count("*").alias("n"), F.sum("label").alias("right")).collect()  # 4 * 1001 rows at most
+    counted = held.select(F.col("f.f0").alias("kind"), F.expr(f"round(transform(array(f), f -> {score})[0], 3) as score"), "label").groupBy("kind", "score").agg(F.count("*").alias("n"), F.sum("label").alias("right")).collect()  # 4 * 1001 rows at most
     limits: list[float | None] = []
     for k in range(4):
         n = right = 0

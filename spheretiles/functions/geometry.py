@@ -25,13 +25,21 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _named(**c: Column) -> Column:
+    return F.struct(*[x.alias(n) for n, x in c.items()])
+
+
+def points_of(places: Column) -> Column:
+    """array<struct<z, phi>>: sine of latitude and eighths of a turn of an array of struct<r, p, u, v> (net row and column of
+    the face, place in it)."""
+    ringed = F.transform(places, lambda s: _named(ring=F.least(F.greatest(s["r"] - s["u"] - s["v"], F.lit(1e-6)), F.lit(4 - 1e-6)), raw=s["p"] - s["u"] + s["v"]))
+    nearby = F.transform(ringed, lambda s: _named(ring=s["ring"], raw=s["raw"], near=_near(s["raw"])))
+    return F.transform(nearby, lambda s: _named(z=_height(s["ring"]), phi=_turn(s["ring"], s["raw"], s["near"])))
+
+
 def vectors_of(places: Column) -> Column:
-    """array<struct<x, y, z>>: unit vectors of an array of struct<r, p, u, v> (net row and column of the face, place in it)."""
-    named = lambda **c: F.struct(*[x.alias(n) for n, x in c.items()])
-    ringed = F.transform(places, lambda s: named(ring=F.least(F.greatest(s["r"] - s["u"] - s["v"], F.lit(1e-6)), F.lit(4 - 1e-6)), raw=s["p"] - s["u"] + s["v"]))
-    nearby = F.transform(ringed, lambda s: named(ring=s["ring"], raw=s["raw"], near=_near(s["raw"])))
-    turned = F.transform(nearby, lambda s: named(z=_height(s["ring"]), phi=_turn(s["ring"], s["raw"], s["near"])))
-    return F.transform(turned, lambda s: named(**dict(zip("xyz", point_vector(s["z"], s["phi"]), strict=True))))
+    """array<struct<x, y, z>>: unit vectors of such an array."""
+    return F.transform(points_of(places), lambda s: _named(**dict(zip("xyz", point_vector(s["z"], s["phi"]), strict=True))))
 
 
 def _near(raw: Column) -> Column:

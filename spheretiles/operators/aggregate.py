@@ -59,12 +59,16 @@ def mean_pyramid(field: DataFrame, order: int, coarsest: int) -> DataFrame:
 
 
 def slice_pyramid(cube: DataFrame, picks: dict[str, int], order: int, to: int, tile_shift: int, budget: int = 4_194_304) -> DataFrame:
-    """Mean of one cube slice at order `to`; refuses tiles that would read over `budget` cells each."""
+    """Mean of one cube slice at order `to`; refuses tiles that would read over `budget` cells each.
+
+    cube: cells (time, level, cell, value), or a stored cube's face rows, of which only the slice's folder is read."""
+    from ..sources.cube import slice_cells
     from ..sources.tables import read_cube_slice
 
     if 4 ** (order - to) * 4**tile_shift > budget:
         raise ValueError(f"a tile of order {to} reads over {budget} cells")
-    return mean_pyramid(read_cube_slice(cube, picks), order, to).where(F.col("order") == to).select("cell", "value")
+    cells = slice_cells(cube, picks, order) if "values" in cube.columns else read_cube_slice(cube, picks)
+    return mean_pyramid(cells, order, to).where(F.col("order") == to).select("cell", "value")
 
 
 def assemble_tiles(cells: DataFrame, order: int, tile_shift: int, empty: float | None = None, axes: str = "even_x") -> DataFrame:

@@ -78,11 +78,16 @@ def cells_to_lonlat(df: DataFrame, order: int, cell: str = "cell", axes: str = "
     """Adds the centre as lon, lat (degrees) and unit vector vx, vy, vz. odd_x is the standard sky position."""
     n = 1 << order
     ix, iy = C.cell_xy(cell, order, axes)
-    df = df.withColumns({"__f": C.face_of(cell, order), "__u": (ix + 0.5) / n, "__v": (iy + 0.5) / n})
-    df = G.with_points(df, {"__c": ("__f", "__u", "__v")})
-    lon, lat = G.lonlat_of(F.col("__c_z"), F.col("__c_phi"))
-    x, y, z = G.point_vector(F.col("__c_z"), F.col("__c_phi"))
-    return df.withColumns({"lon": lon, "lat": lat, "vx": x, "vy": y, "vz": z}).drop("__f", "__u", "__v", "__c_z", "__c_phi")
+    face = C.face_of(cell, order)
+    place = F.struct(G.face_value(face, G.FACE_R).alias("r"), G.face_value(face, G.FACE_P).alias("p"), ((ix + 0.5) / n).alias("u"), ((iy + 0.5) / n).alias("v"))
+
+    def named(s):
+        lon, lat = G.lonlat_of(s["z"], s["phi"])
+        return F.struct(lon.alias("lon"), lat.alias("lat"), *[c.alias(n) for n, c in zip(("vx", "vy", "vz"), G.point_vector(s["z"], s["phi"]), strict=True)])
+
+    added = ("lon", "lat", "vx", "vy", "vz")
+    df = df.withColumn("__c", F.get(F.transform(G.points_of(F.array(place)), named), F.lit(0)))
+    return df.select(*[c for c in df.columns if c not in (*added, "__c")], *[F.col("__c")[c].alias(c) for c in added])
 
 
 def points_to_cells(df: DataFrame, order: int, lon: str = "lon", lat: str = "lat", axes: str = "odd_x", tile_shift: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as C
 from ..sources.tables import finite
+from .cover import disjoint_tiles
 
 TILE = ("order", "face", "x", "y")
 
@@ -74,21 +75,22 @@ def selection_nested_ranges(tiles: DataFrame, tile_shift: int, order: int) -> Da
 def select_values_nested(field: DataFrame, tiles: DataFrame, tile_shift: int, order: int) -> DataFrame:
     """(cell, value) of a full map at `order` inside tiles of one or more orders.
 
-    A tile is an aligned run of ids, so each tile order is one left-semi equi join on cell >> bits: never a range join.
+    A tile is an aligned run of ids, so tiles and field meet in one left-semi equi join on (order, cell >> bits): never a range
+    join. Tiles may repeat and lie in each other: their normal form holds each cell in one tile, so no cell comes twice.
     """
-    orders = sorted(r[0] for r in tiles.select("order").distinct().collect())  # a few orders
+    tiles, orders = disjoint_tiles(tiles, tile_shift, order)
     keys = tiles.select("order", C.nested_id("face", "x", "y", F.col("order") - tile_shift).alias("__tile"))
-    if len(orders) == 1:
-        bits = 2 * (order - orders[0] + tile_shift)
+    if len(orders) <= 1:
+        bits = 2 * (order - orders[0] + tile_shift) if orders else 0
         return field.withColumn("__tile", C.down("cell", bits)).join(keys.select("__tile"), "__tile", "left_semi").drop("__tile")
     at = F.explode(F.array(*[F.struct(F.lit(o).alias("order"), C.down("cell", 2 * (order - o + tile_shift)).alias("__tile")) for o in orders]))
-    hits = field.select("cell", at.alias("k")).select("cell", "k.order", "k.__tile").join(keys, ["order", "__tile"], "left_semi").select("cell").distinct()
-    return field.join(hits, "cell", "left_semi")
+    return field.withColumn("__k", at).join(keys, (F.col("__k.order") == keys["order"]) & (F.col("__k.__tile") == keys["__tile"]), "left_semi").drop("__k")
 
 
 def select_values_block(blocks: DataFrame, tiles: DataFrame, tile_shift: int, order: int, block_order: int, prefix: dict[str, object] | None = None) -> DataFrame:
     """(cell, value) inside tiles from (block, values[]): only touched blocks are read and only their slices are exploded.
 
+    Tiles may repeat and lie in each other; their normal form gives each cell once.
     prefix: one value for each leading axis (column) that `blocks` has besides, as a filter of the scan.
     """
     if not 0 <= block_order <= order:
@@ -96,7 +98,7 @@ def select_values_block(blocks: DataFrame, tiles: DataFrame, tile_shift: int, or
     for axis, value in (prefix or {}).items():
         blocks = blocks.where(F.col(axis) == F.lit(value))
     each, bits = 4 ** (order - block_order), 2 * (order - block_order)
-    ids = selection_nested_ranges(tiles, tile_shift, order)
+    ids = selection_nested_ranges(disjoint_tiles(tiles, tile_shift, order)[0], tile_shift, order)
     part = ids.withColumn("block", F.explode(F.sequence(C.down("start", bits), C.down(F.col("stop") - 1, bits))))
     part = part.withColumns({"low": F.greatest(F.col("start"), F.col("block") * each) - F.col("block") * each, "high": F.least(F.col("stop"), (F.col("block") + 1) * each) - F.col("block") * each})
     hit = blocks.join(part.select("block", "low", "high"), "block")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
+from ..sources.scratch import written
+from ..sources.tile_files import save_tile_files
 from .algebra import points_to_cells, tile_ancestors
 
 TILE = ("order", "face", "x", "y")
@@ -48,12 +50,12 @@ def valid_tile_filter(tiles: DataFrame, coarsest: int, finest: int, tile_shift:
 
 def read_tiles(wanted: DataFrame, stored: DataFrame, size: int, sparse: bool = True, empty: float | None = None) -> DataFrame:
     """(order, face, x, y, values): of wanted tiles. Sparse layers fill missing or wrong-sized tiles with `empty` (None: NaN);
-    dense ones raise."""
+    dense ones raise. Of a tile that is stored more than once the largest array of the right size counts."""
     fill = F.lit(float("nan") if empty is None else empty).cast("float")
-    joined = wanted.join(stored.select(*TILE, "values"), list(TILE), "left")
-    right = F.size("values") == size
+    whole = F.when(F.size("values") == size, F.col("values"))
+    joined = wanted.join(stored.groupBy(*TILE).agg(F.max(whole).alias("values")), list(TILE), "left")
     other = F.array_repeat(fill, size) if sparse else F.raise_error(F.lit("a tile of a dense layer is missing or has a wrong size"))
-    return joined.withColumn("values", F.when(right, F.col("values")).otherwise(other))
+    return joined.withColumn("values", F.coalesce("values", other))
 
 
 def write_tiles(tiles: DataFrame, path: str, force: bool = False) -> None:
@@ -61,16 +63,9 @@ def write_tiles(tiles: DataFrame, path: str, force: bool = False) -> None:
     tiles.sortWithinPartitions("layer", "order", "face", "y", "x").write.partitionBy("layer", "order", "face").mode("overwrite" if force else "errorifexists").parquet(path)
 
 
-def export_tile_files(tiles: DataFrame, dtype: str = "<f4") -> DataFrame:
-    """(path, bytes): one little-endian binary file per tile, made in Arrow tasks; the caller stores them where it likes."""
-    import pandas as pd
-
-    def run(batches):
-        for b in batches:
-            paths = "layers/" + b["layer"] + "/" + b["order"].astype(str) + "/" + b["face"].astype(str) + "/" + b["x"].astype(str) + "/" + b["y"].astype(str) + ".bin"
-            yield pd.DataFrame({"path": paths, "bytes": [v.astype(dtype).tobytes() for v in b["values"]]})
-
-    return tiles.select("layer", *TILE, "values").mapInPandas(run, "path string, bytes binary")
+def export_tile_files(tiles: DataFrame, path: str, dtype: str = "<f4", force: bool = False) -> None:
+    """One little-endian binary file per tile below `path`, written by tasks, in place when the job commits: see TileFiles."""
+    save_tile_files(tiles, path, dtype, force)
 
 
 def missing_tiles(expected: DataFrame, stored: DataFrame) -> DataFrame:
@@ -82,10 +77,14 @@ def pending_tiles(expected: DataFrame, cached: DataFrame, force: bool = False) -
     return expected.select(*TILE) if force else missing_tiles(expected, cached)
 
 
-def validate_tiles(expected: DataFrame, stored: DataFrame, size: int) -> DataFrame:
-    """One row: checked, missing, wrong_size (stored tiles carry n_values)."""
-    both = expected.select(*TILE).join(stored.select(*TILE, "n_values"), list(TILE), "left")
-    return both.agg(F.count("*").alias("checked"), F.count_if(F.col("n_values").isNull()).alias("missing"), F.count_if(F.col("n_values") != size).alias("wrong_size"))
+def validate_tiles(expected: DataFrame, stored: DataFrame, size: int, repeats: bool = False) -> DataFrame:
+    """One row: checked, missing, wrong_size (stored tiles carry n_values), and with `repeats` how many are stored more than once.
+
+    A tile counts once however often it is stored; it has a wrong size if any copy has."""
+    each = stored.groupBy(*TILE).agg(F.count("*").alias("copies"), F.bool_or(~F.col("n_values").eqNullSafe(size)).alias("wrong"))
+    both = expected.select(*TILE).distinct().join(each, list(TILE), "left")
+    out = both.agg(F.count("*").alias("checked"), F.count_if(F.col("copies").isNull()).alias("missing"), F.count_if("wrong").alias("wrong_size"), F.count_if(F.col("copies") > 1).alias("repeated"))
+    return out if repeats else out.drop("repeated")
 
 
 def resolve_ancestors(wanted: DataFrame, stored: DataFrame, coarsest: int) -> DataFrame:
@@ -99,19 +98,23 @@ def resolve_ancestors(wanted: DataFrame, stored: DataFrame, coarsest: int) -> Da
 
 
 def inspect_points(points: DataFrame, stored: DataFrame, order: int, tile_shift: int, coarsest: int, axes: str = "odd_x") -> DataFrame:
-    """Points (lon, lat) with cell, value, exact and the source tile's order: the value of the finest stored tile there."""
-    placed = points_to_cells(points, order, axes=axes, tile_shift=tile_shift).drop("u", "v")
-    placed = placed.withColumn("order", F.lit(order))
-    tried = placed.withColumn("source_order", F.explode(F.sequence(F.lit(coarsest), F.lit(order))))
-    up = F.col("order") - F.col("source_order")
-    tried = tried.withColumns({"source_x": C.down("x", up), "source_y": C.down("y", up)})
-    tiles = stored.select(F.col("order").alias("source_order"), "face", F.col("x").alias("source_x"), F.col("y").alias("source_y"), "values")
+    """Points (lon, lat) with cell, value, exact and the source tile's order: the value of the finest stored tile there.
+
+    Other columns pass through, nulls in them or not; points that repeat stay; one without a position has no value. Of a tile
+    that is stored more than once the largest array counts. Ancestors are looked up once a tile, not once a point.
+    """
+    placed = points_to_cells(points, order, axes=axes, tile_shift=tile_shift).drop("u", "v").withColumnsRenamed({"x": "__x", "y": "__y"})
+    # written: filters that later joins infer would be pushed into the long expressions of positions, and take minutes to plan
+    seen = written(placed.select(F.lit(order).alias("order"), "face", F.col("__x").alias("x"), F.col("__y").alias("y")).distinct())
+    found = resolve_ancestors(seen, stored, coarsest).select(F.col("face").alias("__f"), F.col("x").alias("__tx"), F.col("y").alias("__ty"), "source_order", "source_x", "source_y", "exact")
+    tiles = stored.groupBy(*TILE).agg(F.max("values").alias("values"))
+    tiles = tiles.select(F.col("order").alias("source_order"), F.col("face").alias("__f"), F.col("x").alias("source_x"), F.col("y").alias("source_y"), "values")
+    held = found.join(tiles, ["source_order", "__f", "source_x", "source_y"], "left")
+    met = placed.join(held, (F.col("face") == F.col("__f")) & (F.col("__x") == F.col("__tx")) & (F.col("__y") == F.col("__ty")), "left")
+    up = F.lit(order) - F.col("source_order")
     local = C.up(C.low_bits(C.down("iy", up), tile_shift), tile_shift) + C.low_bits(C.down("ix", up), tile_shift)
-    hit = tried.join(tiles, ["source_order", "face", "source_x", "source_y"]).withColumn("value", F.element_at("values", (local + 1).cast("int")))
-    keys = [c for c in placed.columns if c not in ("x", "y", "order")]
-    best = hit.groupBy(*keys).agg(F.max(F.struct("source_order", "value")).alias("b"))
-    out = placed.drop("x", "y").join(best.select(*keys, "b.source_order", "b.value"), keys, "left")
-    return out.withColumn("exact", F.coalesce(F.col("source_order") == F.col("order"), F.lit(False))).drop("order")
+    kept = [c for c in placed.columns if c not in ("__x", "__y")]
+    return met.select(*kept, "source_order", F.get("values", local.cast("int")).alias("value"), F.coalesce("exact", F.lit(False)).alias("exact"))
 
 
 def resolution_stats(resolved: DataFrame) -> DataFrame:

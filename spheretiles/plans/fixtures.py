@@ -53,6 +53,14 @@ def painted(spark, d) -> DataFrame:
     return t.where((F.col("face") * 37 + F.col("y") * 11 + F.col("x") * F.col("x") * 5) % 7 < 4)
 
 
+def mixed(spark, d, first: int = 4, orders: int = 3) -> DataFrame:
+    """Painted tiles of several orders from orders: they repeat, lie in each other, and some have all their siblings."""
+    order = (first + F.col("o_orderkey") % orders).cast("int")
+    side = F.pow(F.lit(2), order - SHIFT).cast("long")
+    t = table(spark, d, "orders").select(order.alias("order"), (F.floor(F.col("o_orderkey") / orders) % 12).cast("int").alias("face"), (F.col("o_custkey") % side).alias("x"), (F.floor(F.col("o_orderkey") / 36) % side).alias("y"))
+    return t.where((F.col("face") * 37 + F.floor(F.col("y") / 2) * 11 + F.floor(F.col("x") / 2) * 5 + F.col("order") * 3) % 7 < F.when(F.col("order") == first + orders - 1, 4).otherwise(1))
+
+
 def stored(spark, d) -> DataFrame:
     """Tiles of orders 4..6 that hold particles, a third removed; n_values is wrong for some."""
     from ..functions import cells as C
@@ -85,6 +93,20 @@ def raster(spark, d, height: int = 19, width: int = 37) -> DataFrame:
     return grid.join(t, ["row", "col"], "left").select("row", "col", F.when(none, F.lit(-99999.0)).otherwise(F.col("p")).cast("float").alias("value"))
 
 
+def fine_raster(spark, d, height: int, width: int) -> DataFrame:
+    """A pattern and the number of orders at each pixel, exact in 32-bit floats; nodata where (row * 361 + col) % 4001 = 0."""
+    t = table(spark, d, "orders").groupBy((F.col("o_orderkey") % height).alias("row"), (F.col("o_custkey") % width).alias("col")).agg(F.count("*").alias("n"))
+    grid = spark.range(height * width).select(F.floor(F.col("id") / width).alias("row"), (F.col("id") % width).alias("col"))
+    value = (F.col("row") * 31 + F.col("col") * 17) % 997 / 8 + F.coalesce("n", F.lit(0))
+    return grid.join(t, ["row", "col"], "left").select("row", "col", F.when((F.col("row") * 361 + F.col("col")) % 4001 == 0, F.lit(-99999.0)).otherwise(value).cast("float").alias("value"))
+
+
+def _fine_raster_sql(height: int, width: int) -> str:
+    return f"""SELECT g."row", g.col, CAST(CASE WHEN (g."row" * 361 + g.col) % 4001 = 0 THEN -99999.0 ELSE (g."row" * 31 + g.col * 17) % 997 / 8.0 + coalesce(n, 0) END AS FLOAT) AS value
+  FROM (SELECT range // {width} AS "row", range % {width} AS col FROM range({height * width})) g
+  LEFT JOIN (SELECT o_orderkey % {height} AS "row", o_custkey % {width} AS col, count(*) AS n FROM orders GROUP BY 1, 2) t ON g."row" = t."row" AND g.col = t.col"""
+
+
 def _raster_sql(height: int, width: int) -> str:
     return f"""(SELECT g."row", g.col, CAST(CASE WHEN p IS NULL OR (g."row" * {width} + g.col) % 401 = 0 THEN -99999.0 ELSE p END AS FLOAT) AS value
   FROM (SELECT range // {width} AS "row", range % {width} AS col FROM range({height * width})) g
@@ -104,6 +126,12 @@ def morton(x: str, y: str, order: int | str) -> str:
     return f"CAST(coalesce(list_sum([(((({x}) >> b) & 1) << (2*b)) + (((({y}) >> b) & 1) << (2*b+1)) for b in range(0, {order})]), 0) AS BIGINT)"
 
 
+def _mixed(first: int, orders: int) -> str:
+    return f"""SELECT * FROM (SELECT "order", CAST((o_orderkey // {orders}) % 12 AS INTEGER) AS face, o_custkey % side AS x, (o_orderkey // 36) % side AS y
+  FROM (SELECT *, CAST({first} + o_orderkey % {orders} AS INTEGER) AS "order", CAST(2 ** ({first} + o_orderkey % {orders} - 3) AS BIGINT) AS side FROM orders))
+  WHERE (face*37 + y//2*11 + x//2*5 + "order"*3) % 7 < CASE WHEN "order" = {first + orders - 1} THEN 4 ELSE 1 END"""
+
+
 _STORED = " UNION ".join(
     f"""SELECT {o} AS "order", CAST(c // {4**o} AS INTEGER) AS face, {even(f'c % {4**o}', o)} // 8 AS x, {odd(f'c % {4**o}', o)} // 8 AS y FROM (SELECT DISTINCT cell >> {2 * (ORDER - o)} AS c FROM particles)"""
     for o in (4, 5, 6)
@@ -119,10 +147,14 @@ CTE = {
     "raster_holes": f"SELECT * FROM {_raster_sql(19, 37)} WHERE \"row\" <> 11 AND (\"row\" * 37 + col) % 83 <> 5",
     "points": "SELECT c_custkey AS id, (c_custkey * 137.50776405::DOUBLE) % 360 - 180 AS lon, degrees(asin((c_custkey * 0.61803398875::DOUBLE) % 1 * 1.998::DOUBLE - 0.999::DOUBLE)) AS lat FROM customer",
     "painted": """SELECT * FROM (SELECT 6 AS "order", CAST(o_orderkey % 12 AS INTEGER) AS face, o_custkey % 8 AS x, (o_orderkey // 12) % 8 AS y FROM orders) WHERE (face*37 + y*11 + x*x*5) % 7 < 4""",
+    "mixed": _mixed(4, 3),
+    "mixed_deep": _mixed(4, 7),
     "stored": f"""SELECT *, CASE WHEN (face*37 + y*11 + x*x*5 + "order") % 31 = 1 THEN 60 ELSE 64 END AS n_values FROM ({_STORED}) WHERE (face*37 + y*11 + x*x*5 + "order") % 3 <> 0""",
     "wanted": """SELECT 6 AS "order", CAST(event_id % 12 AS INTEGER) AS face, user_id % 8 AS x, (event_id // 12) % 8 AS y FROM events""",
     "cube": """SELECT t.range::INTEGER AS "time", l.range::INTEGER AS "level", cell, CAST(value + t.range::FLOAT * 100 + l.range::FLOAT * 7 AS FLOAT) AS value FROM dense_map, range(2) t, range(3) l""",
     "raster": f"SELECT * FROM {_raster_sql(19, 37)}",
+    "raster_fine": _fine_raster_sql(181, 361),
+    "raster_fine_pixel": _fine_raster_sql(90, 180),
     "raster_pixel": f"SELECT * FROM {_raster_sql(18, 36)}",
     "tiles6": """SELECT 6 AS "order", CAST(range // 64 AS INTEGER) AS face, range % 8 AS x, (range // 8) % 8 AS y FROM range(0, 768)""",
 }

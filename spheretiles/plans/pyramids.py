@@ -73,6 +73,23 @@ def _(spark, d):
     return as_double(S.read_cube_slice(X.cube(spark, d), {"Time": -1, "1": 1}), "value")
 
 
+def stored_cube(spark, d):
+    """The cube as face rows, stored by time and level."""
+    from ..sources.cube import cube_rows, read_cube, write_cube
+    from ..sources.scratch import folder
+
+    path = folder(spark)
+    write_cube(cube_rows(X.cube(spark, d), MAP_ORDER), path)
+    return read_cube(spark, path)
+
+
+@query("read_cube_slice_stored", sql("cube", """SELECT cell, value::DOUBLE AS value FROM cube WHERE "time" = 1 AND "level" = 1"""))
+def _(spark, d):
+    from ..sources.cube import slice_cells
+
+    return as_double(slice_cells(stored_cube(spark, d), {"Time": -1, "1": 1}, MAP_ORDER), "value")
+
+
 @query("read_raster", sql("raster", """SELECT "row", col, CASE WHEN value = -99999 THEN 'NaN'::DOUBLE ELSE value::DOUBLE END AS value, 'gridline' AS registration FROM raster"""))
 def _(spark, d):
     df, info = S.read_raster(X.raster(spark, d), -99999)
@@ -328,12 +345,16 @@ def _(spark, d):
 # --- rasters
 
 
+def _centres(source: str, order: int) -> str:
+    from .algebra import CENTRES
+
+    return CENTRES.format(src=source, order=order, n=1 << order, count=4**order)
+
+
 def _resample_sql(height: int, width: int, kind: str) -> str:
     cycle = width - 1 if kind == "gridline" else width
     px = f"((lon + 180) * {cycle} / 360)" if kind == "gridline" else f"((lon + 180) * {width} / 360 - 0.5)"
     py = f"(90 - lat) * {height - 1} / 180" if kind == "gridline" else f"(90 - lat) * {height} / 180 - 0.5"
-    from .algebra import CENTRES
-
     w = lambda t: f"[(-{t} + 2*{t}*{t} - {t}*{t}*{t}) / 2, (2 - 5*{t}*{t} + 3*{t}*{t}*{t}) / 2, ({t} + 4*{t}*{t} - 3*{t}*{t}*{t}) / 2, ({t}*{t}*{t} - {t}*{t}) / 2]"
     name = "raster" if kind == "gridline" else "raster_pixel"
     return sql(
@@ -342,7 +363,7 @@ def _resample_sql(height: int, width: int, kind: str) -> str:
  SELECT cell, CAST(least(greatest(y1 + j.range - 1, 0), {height - 1}) AS BIGINT) AS "row", CAST(((x1 + i.range - 1) % {cycle} + {cycle}) % {cycle} AS BIGINT) AS col, {w("tx")}[i.range + 1] * {w("ty")}[j.range + 1] AS w
  FROM (SELECT *, px - x1 AS tx, py - y1 AS ty FROM (SELECT *, floor(px) AS x1, floor(py) AS y1 FROM (SELECT cell, {px} - {cycle} * floor({px} / {cycle}) AS px, least(greatest({py}, 0.0), {height - 1}.0) AS py FROM centres))), range(4) i, range(4) j) a
  JOIN {name} g ON g."row" = a."row" AND g.col = a.col GROUP BY cell""",
-        centres=CENTRES.format(src="(SELECT range AS cell FROM range(0, 3072))", order=4, n=16, count=256),
+        centres=_centres("(SELECT range AS cell FROM range(0, 3072))", 4),
     )
 
 
@@ -362,6 +383,32 @@ def _(spark, d):
     return _resampled(spark, d, 18, 36)
 
 
+def _fine_sql(height: int, width: int, kind: str) -> str:
+    """The twin of a raster of height x width and the particles' own cells at their order."""
+    old, here = (f"raster{'' if kind == 'gridline' else '_pixel'}", "raster_fine" if kind == "gridline" else "raster_fine_pixel")
+    text = _resample_sql(height, width, kind).replace(f"JOIN {old} g", f"JOIN {here} g").replace(f"WITH {old} AS ({X.CTE[old]})", f"WITH {here} AS ({X.CTE[here]}), raw_particles AS ({X.CTE['raw_particles']}), particles AS ({X.CTE['particles']})")
+    small = _centres("(SELECT range AS cell FROM range(0, 3072))", 4)
+    if small not in text:
+        raise ValueError("no centres to exchange")
+    return text.replace(small, _centres("(SELECT DISTINCT cell FROM particles)", X.ORDER))
+
+
+def _fine(spark, d, height, width):
+    r, info = S.read_raster(X.fine_raster(spark, d, height, width), -99999)
+    return raster.resample_raster(r, info, X.particles(spark, d).select("cell").distinct(), X.ORDER).select("cell", F.round(F.col("value").cast(D), 3).alias("value"))
+
+
+@query("resample_raster_fine", _fine_sql(181, 361, "gridline"))
+def _(spark, d):
+    """A raster of 181 x 361 pixels at the cells that hold particles: the cells grow with the table."""
+    return _fine(spark, d, 181, 361)
+
+
+@query("resample_raster_fine_pixel", _fine_sql(90, 180, "pixel"))
+def _(spark, d):
+    return _fine(spark, d, 90, 180)
+
+
 @query("resample_raster_holes", _resample_sql(19, 37, "gridline").replace("JOIN raster g", "LEFT JOIN raster_holes g").replace("WITH raster AS", f"WITH raster_holes AS ({X.CTE['raster_holes']}), raster AS").replace("CASE WHEN g.value = -99999", "CASE WHEN g.value IS NULL OR g.value = -99999"))
 def _(spark, d):
     """A raster without one row and some single pixels: cells near them have no value."""

@@ -9,17 +9,26 @@ from ..operators import aggregate as A
 from ..operators import select as L
 from ..operators import tiles as T
 from ..operators.algebra import cell_to_tile
+from ..operators.cover import cover_cells, normal_form
+from ..sources.scratch import written
 from ..streaming import jobs
 from . import fixtures as X
 from .algebra import _FACE_UV
 from .fixtures import MAP_ORDER, ORDER, SHIFT, even, morton, odd, sql
 from .pyramids import as_double, blocks
-from .registry import query
+from .registry import ORACLES, query
 
 ADDRESS = '"order", face, x, y'
 _RUNS = """SELECT "order", face, y, min(x) AS x0, max(x) AS x1, count(*) AS tile_count FROM (SELECT *, x - row_number() OVER (PARTITION BY "order", face, y ORDER BY x) AS g FROM (SELECT DISTINCT * FROM painted)) GROUP BY "order", face, y, g"""
 
 
+def registry_sql(name: str, part: str, other: str) -> str:
+    """The SQL of a query with one part exchanged."""
+    if ORACLES[name].count(part) != 1:
+        raise ValueError(f"{name} does not hold the part once")
+    return ORACLES[name].replace(part, other)
+
+
 def ranges(spark, d):
     return L.coalesce_tile_ranges(X.painted(spark, d))
 
@@ -119,6 +128,49 @@ def _(spark, d):
     return as_double(L.select_values_block(cubes, L.distinct_tiles(X.painted(spark, d)), SHIFT, MAP_ORDER, 3, {"time": 1, "level": 2}), "value")
 
 
+def _ids(tiles: str, order: int) -> str:
+    """Distinct nested ids at `order` inside the tiles, by each tile's run."""
+    tile = f"""CAST(face * 4 ** ("order" - 3) AS BIGINT) + {morton("x", "y", 10)}"""
+    run = f"""CAST(4 ** ({order} - "order" + 3) AS BIGINT)"""
+    return f"""SELECT DISTINCT unnest(range(t * run, (t + 1) * run)) AS cell FROM (SELECT DISTINCT {tile} AS t, {run} AS run FROM {tiles})"""
+
+
+_COVER = " UNION ALL ".join(f"""SELECT {level} AS level, cell >> {2 * (7 - level)} AS id FROM covered GROUP BY 1, 2 HAVING count(*) = {4 ** (7 - level)}""" for level in range(8))
+
+
+@query(
+    "selection_normal_form",
+    sql(
+        "mixed_deep",
+        f"""SELECT CAST(level + 3 AS INTEGER) AS "order", CAST(id // CAST(4 ** level AS BIGINT) AS INTEGER) AS face, {even("id % CAST(4 ** level AS BIGINT)", 7)} AS x, {odd("id % CAST(4 ** level AS BIGINT)", 7)} AS y
+ FROM whole a WHERE NOT EXISTS (SELECT 1 FROM whole b WHERE b.level = a.level - 1 AND b.id = a.id >> 2)""",
+        covered=_ids("mixed_deep", 7),
+        whole=_COVER,
+    ),
+)
+def _(spark, d):
+    """Tiles of orders 4 to 10 that repeat and lie in each other."""
+    return normal_form(X.mixed(spark, d, 4, 7), SHIFT)
+
+
+_MIXED = "SELECT m.cell, m.value::DOUBLE AS value FROM dense_map m SEMI JOIN picked p ON m.cell = p.cell"
+
+
+@query("select_values_nested_mixed", sql("dense_map mixed", _MIXED, picked=_ids("mixed", 6)))
+def _(spark, d):
+    return as_double(L.select_values_nested(X.dense_map(spark, d), X.mixed(spark, d), SHIFT, MAP_ORDER), "value")
+
+
+@query("select_values_block_mixed", sql("dense_map mixed", _MIXED, picked=_ids("mixed", 6)))
+def _(spark, d):
+    return as_double(L.select_values_block(blocks(spark, d), X.mixed(spark, d), SHIFT, MAP_ORDER, 3), "value")
+
+
+@query("selection_cover_cells", sql("mixed", "SELECT cell FROM picked", picked=_ids("mixed", 6)))
+def _(spark, d):
+    return cover_cells(X.mixed(spark, d), SHIFT, 6)
+
+
 @query("selection_stats", sql("dense_map painted", """SELECT count(*) AS n, avg(value) AS mean, min(value) AS "min", max(value) AS "max" FROM picked WHERE NOT isnan(value)""", picked=_PICKED))
 def _(spark, d):
     return L.selection_stats(L.select_values_nested(X.dense_map(spark, d), X.painted(spark, d), SHIFT, MAP_ORDER))
@@ -169,6 +221,25 @@ def _(spark, d):
     return T.validate_tiles(expected(spark, d), X.stored(spark, d), 64)
 
 
+_TWICE = f"""SELECT * FROM stored UNION ALL SELECT * FROM stored WHERE x = 1 UNION ALL SELECT {ADDRESS}, 7 AS n_values FROM stored WHERE y = 2 AND x = 0"""
+
+
+@query(
+    "validate_tiles_repeated",
+    sql(
+        "stored tiles6",
+        f"""SELECT count(*) AS checked, count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (wrong) AS wrong_size, count(*) FILTER (n > 1) AS repeated
+ FROM tiles6 t LEFT JOIN (SELECT {ADDRESS}, count(*) AS n, bool_or(n_values <> 64) AS wrong FROM twice GROUP BY ALL) s ON s."order" = t."order" AND s.face = t.face AND s.x = t.x AND s.y = t.y""",
+        twice=_TWICE,
+    ),
+)
+def _(spark, d):
+    """Stored tiles that repeat, some of them with another size."""
+    s = X.stored(spark, d)
+    twice = s.unionByName(s.where("x = 1")).unionByName(s.where("y = 2 and x = 0").withColumn("n_values", F.lit(7)))
+    return T.validate_tiles(expected(spark, d), twice, 64, repeats=True)
+
+
 @query("fill_summary", sql("stored wanted", """SELECT status, count(*) AS tiles FROM (SELECT CASE WHEN s.n_values IS NULL THEN 'generated' WHEN s.n_values <> 64 THEN 'error' ELSE 'skipped' END AS status FROM (SELECT DISTINCT * FROM wanted) t LEFT JOIN stored s ON s."order" = t."order" AND s.face = t.face AND s.x = t.x AND s.y = t.y) GROUP BY 1"""))
 def _(spark, d):
     both = L.distinct_tiles(X.wanted(spark, d)).join(X.stored(spark, d), list(T.TILE), "left")
@@ -237,8 +308,26 @@ def _(spark, d):
 
 @query("export_tile_files")
 def _(spark, d):
-    files = T.export_tile_files(tile_values(spark, d, (5, 6)).withColumn("layer", F.lit("price")))
-    return files.select("path", F.length("bytes").alias("size"), F.sha2("bytes", 256).alias("sha256"))
+    """Files written by the sink, replaced, and found on disk."""
+    from ..sources.scratch import folder
+
+    path, made = folder(spark), tile_values(spark, d, (5, 6)).withColumn("layer", F.lit("price"))
+    T.export_tile_files(made, path)
+    T.export_tile_files(made, path, force=True)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/layers")
+    return files.select(F.regexp_extract("path", "(layers/.*)$", 1).alias("path"), F.length("content").cast("int").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+@query("read_tile_files", sql("clustered stored", """SELECT h."order", h.face, h.x, h.y, (h.iy % 8) * 8 + h.ix % 8 AS local_index, h.value FROM held h""", means=_MEANS, held=_HELD))
+def _(spark, d):
+    """Values of tile files, read back."""
+    from ..sources.scratch import folder
+    from ..sources.tile_files import read_tile_files
+
+    path = folder(spark)
+    T.export_tile_files(tile_values(spark, d).withColumn("layer", F.lit("price")), path)
+    cells = read_tile_files(spark, path).select(*T.TILE, F.posexplode("values").alias("local_index", "value")).where(~F.isnan("value"))
+    return as_double(cells.withColumn("local_index", F.col("local_index").cast("long")), "value")
 
 
 @query(
@@ -254,12 +343,21 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    held = T.read_tiles(X.stored(spark, d), tile_values(spark, d), 64)  # stored tiles without particles hold NaN
+    held = written(T.read_tiles(X.stored(spark, d), tile_values(spark, d), 64))  # stored tiles without particles hold NaN
     got = T.inspect_points(X.points(spark, d), held, 6, SHIFT, 4)
     value = F.when(~F.isnan("value"), F.col("value").cast("double"))
     return got.select("id", "cell", "source_order", value.alias("value"), "exact")
 
 
+@query("inspect_points_nulls", registry_sql("inspect_points", "SELECT id, best.cell,", "SELECT id, CASE WHEN id % 3 <> 0 THEN 'p' || (id % 5) END AS note, best.cell,"))
+def _(spark, d):
+    """Points with a column that is null for some, and tiles that are stored twice."""
+    held = written(T.read_tiles(X.stored(spark, d), tile_values(spark, d), 64))
+    note = F.when(F.col("id") % 3 != 0, F.concat(F.lit("p"), (F.col("id") % 5).cast("string")))
+    got = T.inspect_points(X.points(spark, d).withColumn("note", note), held.unionByName(held), 6, SHIFT, 4)
+    return got.select("id", "note", "cell", "source_order", F.when(~F.isnan("value"), F.col("value").cast("double")).alias("value"), "exact")
+
+
 @query("union_orders", sql("particles", " UNION ALL ".join(f"""SELECT {o} AS "order", count(*) AS cells FROM (SELECT DISTINCT cell >> {2 * (ORDER - o)} FROM particles)""" for o in (4, 5, 6))))
 def _(spark, d):
     parts = [A.particle_count(X.particles(spark, d), ORDER, o).withColumn("order", F.lit(o)) for o in (4, 5, 6)]
@@ -273,6 +371,63 @@ def _(spark, d):
     return placed.groupBy("face", "x", "y").agg(F.count("*").alias("cells"), F.sum("n").alias("particles"))
 
 
+# --- bulk fill
+
+_BAD_ROWS = "(\"time\" = 1 AND \"level\" = 2 AND ((face = 3 AND iy % 16 = 3) OR (face = 5 AND iy = 7)))"
+_ASKED = """SELECT DISTINCT CAST(event_id % 3 AS INTEGER) AS "time", CAST(user_id % 3 AS INTEGER) AS "level", CAST(4 + event_id % 4 AS INTEGER) AS "order", CAST(event_id % 13 AS INTEGER) AS face, user_id % 4 AS x, (event_id // 12) % 4 AS y FROM events"""
+_CUBE_CELLS = f"""SELECT "time", "level", CAST(cell // 4096 AS INTEGER) AS face, {even("cell % 4096", 6)} AS ix, {odd("cell % 4096", 6)} AS iy, value FROM cube"""
+_FILLED = """SELECT a.*, CASE WHEN "order" > 6 THEN 'order outside range' WHEN face >= 12 THEN 'face outside range' WHEN x >= 2 ** ("order" - 3) OR y >= 2 ** ("order" - 3) THEN 'x or y outside grid' WHEN "time" = 2 THEN 'the slice has no rows there'
+ WHEN "time" = 1 AND "level" = 2 AND face = 3 AND ("order" < 6 OR y % 2 = 0) THEN 'a row of the slice has a wrong length' WHEN "time" = 1 AND "level" = 2 AND face = 5 AND y = 0 THEN (2 ** (9 - "order") - 1)::INTEGER || ' of ' || (2 ** (9 - "order"))::INTEGER || ' rows of the slice are there' END AS message FROM asked a"""
+
+
+def bulk(spark, d):
+    """A stored cube with rows that are cut short or absent, filled in two runs: half of the requests, then all."""
+    from ..operators.fill import bulk_fill
+    from ..sources.cube import cube_rows, read_cube, write_cube
+    from ..sources.scratch import folder
+
+    top = folder(spark)
+    rows = cube_rows(X.cube(spark, d), MAP_ORDER)
+    bad = (F.col("time") == 1) & (F.col("level") == 2)
+    short = bad & (F.col("face") == 3) & (F.col("iy") % 16 == 3)
+    rows = rows.where(~(bad & (F.col("face") == 5) & (F.col("iy") == 7))).withColumn("values", F.when(short, F.slice("values", 1, 63)).otherwise(F.col("values")))
+    write_cube(rows, f"{top}/cube")
+    asked = X.table(spark, d, "events").select((F.col("event_id") % 3).alias("time"), (F.col("user_id") % 3).alias("level"), (4 + F.col("event_id") % 4).alias("order"), (F.col("event_id") % 13).alias("face"), (F.col("user_id") % 4).alias("x"), (F.floor(F.col("event_id") / 12) % 4).alias("y"))
+    cube = read_cube(spark, f"{top}/cube")
+    first = bulk_fill(asked.where("(time + level + x) % 2 = 0"), cube, f"{top}/cache", MAP_ORDER, SHIFT)
+    return first, bulk_fill(asked, cube, f"{top}/cache", MAP_ORDER, SHIFT), f"{top}/cache"
+
+
+@query("bulk_fill", sql("", """SELECT "time", "level", "order", face, x, y, message, CASE WHEN message IS NOT NULL THEN 'error' WHEN ("time" + "level" + x) % 2 = 0 THEN 'skipped' ELSE 'generated' END AS status FROM f""", asked=_ASKED, f=_FILLED))
+def _(spark, d):
+    """What the second run tells of each tile."""
+    return bulk(spark, d)[1]
+
+
+@query("bulk_fill_summary", sql("", """SELECT status, count(*) AS tiles FROM (SELECT CASE WHEN message IS NOT NULL THEN 'error' WHEN ("time" + "level" + x) % 2 = 0 THEN 'skipped' ELSE 'generated' END AS status FROM f) GROUP BY 1""", asked=_ASKED, f=_FILLED))
+def _(spark, d):
+    return T.fill_summary(bulk(spark, d)[1])
+
+
+@query(
+    "bulk_fill_tiles",
+    sql(
+        "cube",
+        """SELECT f."time", f."level", f."order", f.face, f.x, f.y, (c.iy // w % 8) * 8 + c.ix // w % 8 AS local_index, CAST(avg(c.value::DOUBLE) FILTER (NOT isnan(c.value)) AS FLOAT)::DOUBLE AS value FROM (SELECT *, CAST(2 ** (6 - "order") AS BIGINT) AS w FROM f WHERE message IS NULL) f
+ JOIN cells c ON c."time" = f."time" AND c."level" = f."level" AND c.face = f.face AND c.ix // (8 * w) = f.x AND c.iy // (8 * w) = f.y GROUP BY ALL""",
+        asked=_ASKED,
+        f=_FILLED,
+        cells=_CUBE_CELLS,
+    ),
+)
+def _(spark, d):
+    """The values that both runs stored."""
+    from ..operators.fill import KEYS, filled_tiles
+
+    cells = filled_tiles(spark, bulk(spark, d)[2]).select(*KEYS, F.posexplode("values").alias("local_index", "value"))
+    return cells.select(*KEYS, F.col("local_index").cast("long").alias("local_index"), F.when(~F.isnan("value"), F.col("value").cast("double")).alias("value"))
+
+
 # --- streams
 
 _EVENTS = """SELECT cell >> 8 AS cell, count(*) AS n, sum(v::DOUBLE) AS total FROM (SELECT (event_id*2654435761 + user_id*7919) % 12582912 AS cell, CAST(value AS FLOAT) AS v FROM events) WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY 1"""

@@ -62,9 +62,22 @@ def test_stored_tiles_come_back(spark, tmp_path):
         tiles.write_tiles(rows, path)
     tiles.write_tiles(rows.where("face = 1"), path, force=True)
     assert [(r["face"], r["x"], r["y"], list(r["values"])) for r in spark.read.parquet(path).collect()] == [(1, 2, 3, [3.0, 4.0])]
-    files = {r["path"]: np.frombuffer(r["bytes"], "<f4") for r in tiles.export_tile_files(rows).collect()}
-    assert np.array_equal(files["layers/a/5/0/0/1.bin"], np.array([1, np.nan], np.float32), equal_nan=True)
-    assert files["layers/a/5/1/2/3.bin"].tolist() == [3.0, 4.0]
+
+
+def test_tiles_stored_more_than_once(spark):
+    """The cases of the last review: a null in a passed-through column, repeated stored tiles."""
+    address = "`order` int, face int, x long, y long"
+    stored = spark.createDataFrame([(3, f, 0, 0, [float(f)] * 64) for f in range(12)] * 2, address + ", values array<float>")
+    points = spark.createDataFrame([(1, 10.0, 20.0, "a"), (2, 10.0, 20.0, None), (2, 10.0, 20.0, None), (3, None, 20.0, "b")], "id int, lon double, lat double, note string")
+    got = sorted((r["id"], r["note"], r["value"], r["source_order"], r["exact"]) for r in tiles.inspect_points(points, stored, 5, 3, 3).collect())
+    value = got[0][2]
+    assert value is not None and got == [(1, "a", value, 3, False), (2, None, value, 3, False), (2, None, value, 3, False), (3, "b", None, None, False)]
+    wanted = stored.select("order", "face", "x", "y").distinct()
+    assert tiles.read_tiles(wanted, stored, 64).count() == 12
+    short = stored.unionByName(stored.where("face = 1").selectExpr("`order`", "face", "x", "y", "slice(values, 1, 3) as values"))
+    assert all(len(r["values"]) == 64 and r["values"][0] == r["face"] for r in tiles.read_tiles(wanted, short, 64, sparse=False).collect())
+    counted = short.withColumn("n_values", F.size("values"))
+    assert tuple(tiles.validate_tiles(wanted, counted, 64, repeats=True).first()) == (12, 0, 1, 12)
 
 
 @pytest.mark.parametrize("order", [0, 1, 3, 5])

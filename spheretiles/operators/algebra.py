@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from math import pi
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
@@ -150,18 +150,59 @@ def tile_outlines(df: DataFrame, tile_shift: int, samples: int = 6) -> DataFrame
 
 def tile_caps(df: DataFrame, tile_shift: int, scale: float = 1.12) -> DataFrame:
     """Adds the unit centre cx, cy, cz and the angular radius cap of each tile's bounding cap."""
-    df = tile_bounds(df, tile_shift)
-    middle = ((F.col("u0") + F.col("u1")) / 2, (F.col("v0") + F.col("v1")) / 2)
-    corners = [(F.col(u), F.col(v)) for u, v in (("u0", "v0"), ("u1", "v0"), ("u1", "v1"), ("u0", "v1"))]
+    return df.withColumn("__cap", cap_of(tile_shift, scale)).select("*", "__cap.*").drop("__cap")
+
+
+def cap_of(tile_shift: int, scale: float = 1.12) -> Column:
+    """struct<cx, cy, cz, cap>: the bounding cap of the tile (order, face, x, y)."""
+    side = C.grid("order", tile_shift)
+    u0, v0, u1, v1 = F.col("x") / side, F.col("y") / side, (F.col("x") + 1) / side, (F.col("y") + 1) / side
     r, p = G.face_value("face", G.FACE_R), G.face_value("face", G.FACE_P)
-    places = F.array(*[F.struct(r.alias("r"), p.alias("p"), u.alias("u"), v.alias("v")) for u, v in (middle, *corners)])
+    corners = ((u0 + u1) / 2, (v0 + v1) / 2), (u0, v0), (u1, v0), (u1, v1), (u0, v1)
+    places = F.array(*[F.struct(r.alias("r"), p.alias("p"), u.alias("u"), v.alias("v")) for u, v in corners])
 
     def cap(at):
         gap = lambda i: reduce(lambda a, b: a + b, [(at[i][c] - at[0][c]) * (at[i][c] - at[0][c]) for c in "xyz"])
         size = F.asin(F.least(F.lit(1.0), F.sqrt(F.greatest(*map(gap, range(1, 5)))) * scale))
         return F.struct(*[at[0][c].alias(f"c{c}") for c in "xyz"], size.alias("cap"))
 
-    return df.withColumn("__cap", G.bound(G.vectors_of(places), cap)).select("*", "__cap.*").drop("__cap", "u0", "u1", "v0", "v1")
+    return G.bound(G.vectors_of(places), cap)
+
+
+def tiles_in_cones(cones: DataFrame, tile_shift: int, order: int) -> DataFrame:
+    """`cones` (vx, vy, vz: unit direction; cone: half angle in radians; any other columns) with order, face, x, y of every
+    tile of `order` whose bounding cap meets them: the tiles that tiles_in_cone gives for each.
+
+    From the twelve coarsest tiles down, a cone goes on to the children of what it may meet: a tile's descendants and their
+    caps lie within twice its own cap. Each level is a filter and an explode in the row's task; nothing is joined or shuffled, and
+    the work grows with the tiles that are met. Cones that repeat stay; a null direction or angle meets no tile.
+    """
+    now = cones.withColumns({"order": F.lit(tile_shift), "face": F.explode(F.sequence(F.lit(0), F.lit(11))), "x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
+    for _ in range(tile_shift, order):
+        now = tile_children(now.where(_near_cone(tile_shift, F.col("cone"), 2.0)))
+    return now.where(_near_cone(tile_shift, F.col("cone"), 1.0))
+
+
+def tiles_in_cones_adaptive(cones: DataFrame, tile_shift: int, target: int) -> DataFrame:
+    """`cones` (vx, vy, vz, base: the angle at the target order; any other columns) with the mixed-order cover that
+    tiles_in_cone_adaptive gives for each from the twelve coarsest tiles: a tile is split while it meets the cone of its
+    children's level, base * 2**(target - child order), pi at most. Each level is one explode in the row's task.
+    """
+    now = cones.withColumns({"order": F.lit(tile_shift), "face": F.explode(F.sequence(F.lit(0), F.lit(11))), "x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
+    for level in range(tile_shift, target):
+        angle = F.least(F.lit(pi), F.col("base") * 2.0 ** (target - level - 1))
+        split = (F.col("order") == level) & _near_cone(tile_shift, angle, 1.0)
+        child = lambda dx, dy: F.struct((F.col("order") + 1).alias("order"), (F.col("x") * 2 + dx).alias("x"), (F.col("y") * 2 + dy).alias("y"))
+        parts = F.when(split, F.array(*[child(dx, dy) for dy in (0, 1) for dx in (0, 1)])).otherwise(F.array(F.struct("order", "x", "y")))
+        kept = [c for c in now.columns if c not in ("order", "x", "y")]
+        now = now.select(*kept, F.explode(parts).alias("__t")).select(*kept, "__t.order", "__t.x", "__t.y")
+    return now
+
+
+def _near_cone(tile_shift: int, cone: Column, reach: float) -> Column:
+    """Whether a tile's cap, `reach` times as wide, meets the row's cone; one expression, however a filter is pushed."""
+    towards = (F.col("vx"), F.col("vy"), F.col("vz"))
+    return G.bound(cap_of(tile_shift), lambda s: G.angle((s["cx"], s["cy"], s["cz"]), towards) - s["cap"] * reach <= cone)
 
 
 def tiles_in_cone(tiles: DataFrame, tile_shift: int, direction: tuple[float, float, float], cone: float) -> DataFrame:

@@ -183,6 +183,31 @@ def _(spark, d):
     return O.tiles_in_cone(X.stored(spark, d).drop("n_values"), 3, _DIRECTION, 0.7)
 
 
+def cones(spark, d):
+    """A cone at each point, of 0.02 to 0.2 radians."""
+    return O.lonlat_to_vector(X.points(spark, d)).select("id", "vx", "vy", "vz", (0.02 + F.col("id") % 7 * 0.03).alias("cone"))
+
+
+@query(
+    "tiles_in_cones",
+    sql(
+        "points tiles6",
+        f"""SELECT c.id, {_ADDRESS} FROM (SELECT id, 0.02::DOUBLE + id % 7 * 0.03::DOUBLE AS cone, cos(radians(lat)) * cos(radians(lon)) AS vx, sin(radians(lat)) AS vy, cos(radians(lat)) * sin(radians(lon)) AS vz FROM points) c, caps
+ WHERE acos(least(1.0, greatest(-1.0, cx * vx + cy * vy + cz * vz))) - cap <= cone""",
+        **_caps("tiles6"),
+    ),
+)
+def _(spark, d):
+    """Tiles of order 6 that meet the cones of a table."""
+    return O.tiles_in_cones(cones(spark, d), 3, 6).select("id", "order", "face", "x", "y")
+
+
+@query("tiles_in_cones_adaptive")
+def _(spark, d):
+    """Mixed-order covers of the cones of a table; tested against the cover of each."""
+    return O.tiles_in_cones_adaptive(cones(spark, d).withColumnRenamed("cone", "base"), 3, 7).select("id", "order", "face", "x", "y")
+
+
 @query("tiles_in_cone_adaptive")
 def _(spark, d):
     """Below the stored tiles of order 4; checked by properties (disjoint, nothing lost)."""

@@ -268,16 +268,28 @@ def _(spark, d):
     return as_double(codec.dequantize_layer(coded, q).select("cell", "decoded"), "decoded")
 
 
-@query(
-    "requantize_layer",
-    _q_sql(f"""SELECT CAST(cell // 4096 AS INTEGER) AS face, {even("cell % 4096", 6)} // 8 AS x, {odd("cell % 4096", 6)} // 8 AS y, ({odd("cell % 4096", 6)} % 8) * 8 + {even("cell % 4096", 6)} % 8 AS local_index, {_I16} AS code FROM dense_map, q"""),
-)
+_REQUANTIZED = _q_sql(f"""SELECT CAST(cell // 4096 AS INTEGER) AS face, {even("cell % 4096", 6)} // 8 AS x, {odd("cell % 4096", 6)} // 8 AS y, ({odd("cell % 4096", 6)} % 8) * 8 + {even("cell % 4096", 6)} % 8 AS local_index, {_I16} AS code FROM dense_map, q""")
+
+
+@query("requantize_layer", _REQUANTIZED)
 def _(spark, d):
     tiles = A.assemble_tiles(X.dense_map(spark, d), MAP_ORDER, SHIFT)
     coded, _ = codec.requantize_layer(tiles)
     return coded.select("face", "x", "y", F.posexplode("codes").alias("local_index", "code")).withColumn("local_index", F.col("local_index").cast("long"))
 
 
+@query("requantize_stored_layer", _REQUANTIZED)
+def _(spark, d):
+    """A stored layer, put in place of itself as codes."""
+    from ..operators.layers import LayerStore
+    from ..sources.scratch import folder
+
+    store = LayerStore(spark, folder(spark))
+    store.write("price", A.assemble_tiles(X.dense_map(spark, d), MAP_ORDER, SHIFT))
+    store.requantize("price")
+    return store.stored("price").select("face", "x", "y", F.posexplode("codes").alias("local_index", "code")).withColumn("local_index", F.col("local_index").cast("long"))
+
+
 def _t_sql(expr: str) -> str:
     return f"CASE WHEN isnan(value) THEN 'NaN'::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, {expr})) END"
 

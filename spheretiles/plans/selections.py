@@ -171,6 +171,17 @@ def _(spark, d):
     return cover_cells(X.mixed(spark, d), SHIFT, 6)
 
 
+@query("read_clustered", sql("particles mixed", "SELECT p.cell, p.value::DOUBLE AS value FROM particles p SEMI JOIN picked s ON p.cell >> 8 = s.cell", picked=_ids("mixed", 6)))
+def _(spark, d):
+    """Particles stored by place, and those of a selection read by pushed id ranges."""
+    from ..sources.clustered import read_clustered, write_clustered
+    from ..sources.scratch import folder
+
+    path = folder(spark)
+    write_clustered(X.particles(spark, d), path, ORDER)
+    return as_double(read_clustered(spark, path, X.mixed(spark, d), SHIFT, ORDER), "value")
+
+
 @query("selection_stats", sql("dense_map painted", """SELECT count(*) AS n, avg(value) AS mean, min(value) AS "min", max(value) AS "max" FROM picked WHERE NOT isnan(value)""", picked=_PICKED))
 def _(spark, d):
     return L.selection_stats(L.select_values_nested(X.dense_map(spark, d), X.painted(spark, d), SHIFT, MAP_ORDER))
@@ -450,6 +461,16 @@ def _(spark, d):
     return jobs.read_particle_state(spark, f"{top}/out")
 
 
+@query("stream_particles_compacted", _EVENTS)
+def _(spark, d):
+    """The same sums, with parts that are compacted as batches come."""
+    from ..sources.scratch import folder
+
+    top = folder(spark)
+    particles = _event_stream(spark, d, top, at_once=1).select(((F.col("event_id") * 2654435761 + F.col("user_id") * 7919) % 12582912).alias("cell"), F.col("value"))
+    return jobs.stream_particle_totals(particles, ORDER, 6, f"{top}/out", f"{top}/checkpoint", fanout=2).read()
+
+
 @query("stream_tile_fill", sql("particles wanted", f"""SELECT w."order", w.face, w.x, w.y, count(p.cell) AS n FROM (SELECT DISTINCT * FROM wanted) w LEFT JOIN particles p ON p.cell // 16384 = w.face * 64 + {morton("w.x", "w.y", 3)} GROUP BY ALL"""))
 def _(spark, d):
     from ..sources.scratch import folder

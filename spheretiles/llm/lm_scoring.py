@@ -12,8 +12,9 @@ without a penalty. A document's score is the mean natural logarithm over its wor
 3. A bucket adds up its counts (the count table) and answers each slice with the totals of its n-grams, in their order.
 4. Slices (their shuffle is used again) meet their answers; every word finds its counts by the place of its n-grams.
 
-N-grams are told apart by the bits of the bucket's number and `EXTRA` more. Buckets hold about as many n-grams at every
-size of the input, so at any size about one n-gram in a million shares these bits with another and gets both counts.
+N-grams are told apart by the bits of the bucket's number and `EXTRA` more, 64 at most. Buckets hold about as many n-grams at
+every size of the input, so at any size up to 5e12 words about one n-gram in a million shares these bits with another and gets
+both counts; beyond it, twice as many for twice the words.
 """
 
 from __future__ import annotations
@@ -74,10 +75,16 @@ _SENT = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32
 _ANSWER = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("small", pa.binary()), ("large", pa.binary())])
 
 
-def _sent(number: int, grams: Grams) -> pa.RecordBatch:
+def key_bits(words_in_all: int) -> tuple[int, int]:
+    """Bits of a bucket's number, and more bits that tell its n-grams apart: 64 together at most, as a hash has."""
+    lead = max(6, ceil(log2(max(1, 3 * words_in_all / BUCKET))))
+    return lead, min(EXTRA, 64 - lead)
+
+
+def _sent(number: int, grams: Grams, extra: int) -> pa.RecordBatch:
     """A row for each bucket: its sorted n-grams as differences; their first byte is packed apart, as it is mostly small."""
     keys = grams.distinct
-    bucket, rest = (keys >> np.uint64(EXTRA)).astype(np.int32), (keys & np.uint64((1 << EXTRA) - 1)).astype(np.int64)
+    bucket, rest = (keys >> np.uint64(extra)).astype(np.int32), (keys & np.uint64((1 << extra) - 1)).astype(np.int64)
     begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else np.empty(0, np.int64)
     gap = np.diff(rest, prepend=0)
     gap[begin] = 0
@@ -136,7 +143,7 @@ def _size(docs: DataFrame) -> tuple[int, int]:
     return size or 0, n or 0
 
 
-def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = 2, backoff: float = 0.4) -> DataFrame:
+def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = 1, backoff: float = 0.4) -> DataFrame:
     """(id, n_words, lm_score) of every row: the mean logarithm of its words' scores under counts of all rows.
 
     Words are maximal runs of anything but space and the five ASCII white-space controls. A null or empty text, or one
@@ -146,17 +153,17 @@ def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", least: in
     """
     own = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     size, total = _size(own)
-    lead = max(6, ceil(log2(max(1, 3 * total / BUCKET))))
+    lead, extra = key_bits(total)
     sliced = own.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(max(1, -(-size // SLICE)))).cast("long")).repartition("slice")
 
     def send(batches):
         for table in whole_groups(batches, ["slice"], 1):
             number, starts = table.column("slice").to_numpy(), group_starts(table, ["slice"])
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                yield _sent(int(number[a]), Grams(table.slice(a, b - a).column("text"), EXTRA + lead))
+                yield _sent(int(number[a]), Grams(table.slice(a, b - a).column("text"), lead + extra), extra)
 
     def finish(mine: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, totals = Grams(mine.column("text"), EXTRA + lead), _totals(answers)
+        grams, totals = Grams(mine.column("text"), lead + extra), _totals(answers)
         if len(totals) != len(grams.distinct):
             raise ValueError("a slice differs from what it sent: the input must be a table or a checkpoint")
         score = grams.scores(totals, total, least, backoff)
@@ -180,8 +187,8 @@ g AS (SELECT doc_id, i, w, lag(w) OVER d AS b, lag(w, 2) OVER d AS a FROM p WIND
 c3 AS (SELECT a, b, w, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY ALL),
 c2 AS (SELECT b, w, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY ALL),
 c1 AS (SELECT w, count(*) AS n FROM g GROUP BY ALL),
-s AS (SELECT g.doc_id, CASE WHEN c3.n >= 2 THEN ln(c3.n / h2.n)
-  WHEN c2.n >= 2 THEN ln(c2.n / h1.n) + CASE WHEN g.a IS NULL THEN 0 ELSE ln(0.4) END
+s AS (SELECT g.doc_id, CASE WHEN c3.n >= 1 THEN ln(c3.n / h2.n)
+  WHEN c2.n >= 1 THEN ln(c2.n / h1.n) + CASE WHEN g.a IS NULL THEN 0 ELSE ln(0.4) END
   ELSE ln(c1.n / (SELECT sum(n) FROM c1)) + CASE WHEN g.b IS NULL THEN 0 WHEN g.a IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END AS l
  FROM g JOIN c1 ON c1.w = g.w LEFT JOIN c3 ON c3.a = g.a AND c3.b = g.b AND c3.w = g.w LEFT JOIN c2 ON c2.b = g.b AND c2.w = g.w
  LEFT JOIN c2 h2 ON h2.b = g.a AND h2.w = g.b LEFT JOIN c1 h1 ON h1.w = g.b),

@@ -44,3 +44,30 @@ def test_scores_equal_brute_force(spark, monkeypatch, least):
     assert len(got) == len(want)
     for g, w in zip(sorted(got, key=str), sorted(want, key=str), strict=True):
         assert g[:2] == w[:2] and (g[2] is None) == (w[2] is None) and (g[2] is None or abs(g[2] - w[2]) < 1e-8)
+
+
+def test_keys_of_very_many_words():
+    import numpy as np
+    import pyarrow as pa
+
+    for words_in_all in (0, 1, 10**9, 5 * 10**12, 10**13, 10**14):
+        lead, extra = lm_scoring.key_bits(words_in_all)
+        assert lead + extra <= 64 and lead < 31 and 3 * words_in_all / 2**lead <= lm_scoring.BUCKET
+        grams = lm_scoring.Grams(pa.array(["a b c a b", "a b"]), lead + extra)
+        sent = lm_scoring._sent(0, grams, extra)
+        keys = []
+        for r in sent.to_pylist():
+            gap = np.zeros((r["n"], 8), np.uint8)
+            width = len(r["low"]) // r["n"] + 1
+            gap[:, : width - 1] = np.frombuffer(r["low"], np.uint8).reshape(r["n"], -1)
+            gap[:, width - 1] = lm_scoring._restored(r["top"], r["n"], np.uint8)
+            keys += [(r["bucket"] << extra) + k for k in (r["base"] + np.cumsum(gap.view("<i8")[:, 0])).tolist()]
+        assert keys == grams.distinct.tolist() and grams.times.sum() == 7 + 5 + 3
+
+
+def test_words_seen_once_count(spark):
+    """The registered query cuts nothing off: n-grams seen once have their counts."""
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b d")], "doc_id long, text string")
+    got = {r["doc_id"]: r["lm_score"] for r in lm_scoring.lm_scores(docs).collect()}
+    want = (math.log(2 / 6) + math.log(2 / 2) + math.log(1 / 2)) / 3
+    assert got == {1: pytest.approx(want), 2: pytest.approx(want)}

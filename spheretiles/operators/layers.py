@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tile_files import place_of
 from ..sources.versions import Versions
 from .codec import requantize_layer, value_of
 
@@ -69,17 +68,10 @@ class LayerStore:
         return q
 
     def vacuum(self, keep: int = 1) -> int:
-        """Deletes the parts that the last `keep` states do not name, and says how many. Readers of older ones must be done."""
+        """Deletes the parts that the last `keep` states do not name, and says how many. Readers of older ones must be done, and
+        no other job may be writing."""
         if keep < 1:
             raise ValueError("keep: the current state at least")
-        used = {(e["layer"], e["part"]) for s in self.states.all()[-keep:] for e in s["layers"]}
-        files, top = place_of(self.folder)
-        from pyarrow.fs import FileSelector
-
-        gone = 0
-        for layer in sorted({e["layer"] for s in self.states.all() for e in s["layers"]}):
-            for found in files.get_file_info(FileSelector(f"{top}/{layer}", allow_not_found=True)):
-                if (layer, found.base_name) not in used:
-                    files.delete_dir(found.path)
-                    gone += 1
-        return gone
+        states = self.states.all()
+        used = {e["part"] for s in states[-keep:] for e in s["layers"]}
+        return sum(self.states.delete_unnamed(layer, used) for layer in sorted({e["layer"] for s in states for e in s["layers"]}))

@@ -76,6 +76,11 @@ class ParticleTotals:
         named = F.array(*[F.array(*map(F.lit, level)).cast("array<string>") for level in levels])
         self.states.publish(before, batch=F.lit(batch).cast("long"), levels=named)
 
+    def vacuum(self) -> int:
+        """Deletes the parts that the current state does not name, and says how many; no batch may be running, nor a reader."""
+        now = self.states.current()
+        return self.states.delete_unnamed("", {n for level in now["levels"] for n in level}, "part-") if now else 0
+
     def read(self) -> DataFrame:
         """(cell, n, total) of all batches so far."""
         now = self.states.current()

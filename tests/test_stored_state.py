@@ -64,9 +64,13 @@ def test_of_two_jobs_from_one_state_the_later_fails(spark, tmp_path):
     states.publish(None, n=F.lit(1))
     before = states.current()
     states.publish(before, n=F.lit(2))
-    with pytest.raises(Exception, match="(?i)exists"):
+    with pytest.raises(RuntimeError, match="exists"):
         states.publish(before, n=F.lit(3))
     assert [r["n"] for r in states.all()] == [1, 2]
+    few = Versions(spark, str(tmp_path), "n int", keep=2)
+    for n in range(3, 6):
+        few.publish(few.current(), n=F.lit(n))
+    assert [r["n"] for r in few.all()] == [4, 5] and few.current()["version"] == 4
 
 
 def stream_of(spark, rows, path, files, at_once):
@@ -111,6 +115,8 @@ def test_reading_does_not_grow_with_batches(spark, tmp_path):
         totals.add(part, batch)
         parts.append(sum(map(len, totals.states.current()["levels"])))
     assert max(parts) <= 6 and totals.read().where("n <> 13 or total <> 26").isEmpty() and totals.read().count() == 40
+    assert len(totals.states.all()) <= 8 and totals.vacuum() > 0 and len(glob.glob(str(tmp_path / "part-*"))) == parts[-1]
+    assert totals.read().where("n <> 13 or total <> 26").isEmpty()
     assert jobs.ParticleTotals(spark, str(tmp_path / "none")).read().collect() == []
 
 

@@ -206,7 +206,7 @@ def disguises(kind: Column, m: Column, ok: Column) -> Column:
     by_four = lambda by: F.regexp_replace(_digits(m), "([0-9]{4})(?=[0-9])", f"$1{by}")
     bare = F.regexp_replace(m, r"^\+", "")
     home = F.when(F.contains(m, F.lit("(")), F.regexp_replace(m, r"^\+[0-9]{1,3}[ .-]*", "")).otherwise(F.regexp_replace(m, r"^\+[0-9]{1,3}[ .-]+0?", "0"))
-    marks = ((" (at) ", " [dot] "), ("[at]", "[dot]"), (" @ ", " . "), ("@", "(dot)"), ("(at)", "."), ("@", " (dot) "), ("@", "[dot]"), ("{at}", "{dot}"), (" [AT] ", " [DOT] "), (" at ", " dot "), (" (at) ", "."), ("<at>", "."), ("(at)", "(dot)"), (" at ", " dot "))
+    marks = ((" (at) ", " [dot] "), ("[at]", "[dot]"), (" @ ", " . "), ("@", "(dot)"), ("(at)", "."), ("@", " (dot) "), ("@", "[dot]"), ("{at}", "{dot}"), (" [AT] ", " [DOT] "), (" at ", " dot "), (" (at) ", "."), ("<at>", "."), ("(at)", "(dot)"), ("@", " . "))
     each = (
         [F.concat(user, F.lit(at), dots(host, dot)) for at, dot in marks],
         [dots(m, by) for by in ("[.]", "(.)", "{.}", "[dot]", " (dot) ", " dot ")],
@@ -289,7 +289,7 @@ def labelled(rows: DataFrame) -> DataFrame:
     each = each.where("start < at + length(form) and start + length(c.m) > at")  # not what its context holds
     c = F.struct("c.kind", "c.m", F.right(F.left("text", F.col("start")), F.lit(NEAR)).alias("before"), F.expr("substring(text, start + length(c.m) + 1, 1)").alias("after"))
     right = F.col("ok") & (F.col("c.kind") == F.col("of")) & (F.col("c.m") == F.col("form"))
-    return each.select(*rest, right.cast("double").alias("label"), c.alias("c")).select(*rest, "c.kind", features(F.col("c")).alias("f"), "label")
+    return each.select(*rest, right.cast("double").alias("label"), c.alias("c")).select(*rest, "c.kind", F.transform(F.array("c"), features)[0].alias("f"), "label")  # in a lambda: as one generated method it is too long to be compiled
 
 
 def _tree_arrays(node, depth: int) -> dict:
@@ -349,7 +349,7 @@ def learn(docs: DataFrame, text: str, key: Column, sample: int = 4000, trees: in
     vectors = known.select(array_to_vector("f").alias("features"), "label")
     score = _score_sql(GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=5).fit(vectors), depth)
     held = rows.where(F.col("draw") >= cut).withColumn("public", F.lit(False)).unionByName(public.where("not fit").drop("fit").withColumn("public", F.lit(True)))
-    scored = labelled(held.repartition(tasks)).select("public", "kind", "label", F.expr(score.replace("{f}", "f")).alias("score"))
+    scored = labelled(held.repartition(tasks)).select("public", "kind", "label", F.expr(f"transform(array(f), f -> {score.replace('{f}', 'f')})[0]").alias("score"))  # features once, not at each node
     counted = scored.groupBy("public", "kind", "score").agg(F.count("*").alias("n"), F.sum("label").alias("right")).collect()  # 2 * 4 * 1001 rows at most
     limits, found = [], []
     for k in range(4):

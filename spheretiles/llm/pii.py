@@ -13,7 +13,7 @@
    The fit reads about `sample` distinct matches of each kind (the bounded labelled sample); the trees become arrays that
    one SQL expression walks.
 4. A threshold for each kind is calibrated on all matches of all documents that the fit did not read, and on held public
-   formats: the lowest score at which `precision` of the generators' finds are right on both. Where no score reaches it,
+   formats: the lowest score at which `precision` of the generators' finds are right on both (on both together where the table holds too few to show it). Where no score reaches it,
    or fewer than `recall` of the right ones among the public formats would be found, nothing is added for that kind.
 
 Patterns use possessive quantifiers and look-behinds so that long runs cost linear time; they find the same spans as
@@ -354,8 +354,9 @@ def learn(docs: DataFrame, text: str, key: Column, sample: int = 4000, trees: in
     limits, found = [], []
     for k in range(4):
         both = [[r for r in counted if r["kind"] == k and r["public"] == p] for p in (True, False)]
-        each = [_lowest(c, precision) for c in both if sum(r["right"] for r in c)]
-        limit = max(each) if each and all(each) else None
+        enough = sum(r["right"] for r in both[1]) * (1 - precision) >= 1  # fewer finds of the table can't show this precision
+        each = [_lowest(c, precision) for c in (both if enough else [both[0] + both[1]])]
+        limit = max(each) if all(each) else None
         share = sum(r["right"] for r in both[0] if limit is not None and r["score"] >= limit) / max(1, sum(r["right"] for r in both[0]))
         found.append(share)
         limits.append(limit if share >= recall else None)

@@ -85,3 +85,38 @@ def test_rows_that_repeat_and_nulls(spark):
     got = pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r["doc_id"]), r["text"] or "-", len(r["pii_spans"])) for r in got) == [("1", "a@b.co", 1), ("1", "a@b.co", 1), ("None", "-", 0), ("None", "-", 0)]
     assert pii.pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_table_of_one_make_teaches_other_makes(spark):
+    """200 disguised spans and 200 decoys of varied make beside a table whose addresses and numbers are all alike."""
+    rng = random.Random(77)
+    r = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    few = lambda: str(rng.randrange(200, 999))
+
+    def card(right):
+        while True:
+            d = rng.choice("3456") + r(15)
+            total = sum(sum(map(int, str(int(c) * (1 + i % 2)))) for i, c in enumerate(reversed(d)))
+            if (total % 10 == 0) == right:
+                return rng.choice(["  ", "--", ".", "- "]).join(d[i : i + 4] for i in range(0, 16, 4))
+
+    users, hosts = ["bob.smith", "anna.kern", "maria", "li-wei", "peter_pan", "tom77", "hr"], ["mailbox.example.org", "example.com", "uni-bonn.de", "foo.co.uk", "acme.io", "corp.fr"]
+    styles = [(" (at) ", " [dot] "), ("[at]", "[dot]"), ("(at)", "."), (" @ ", " . "), ("@", "[dot]"), (" at ", " dot "), ("{at}", "."), (" [AT] ", "[DOT]")]
+    right = [(0, rng.choice(users) + at + rng.choice(hosts).replace(".", dot)) for at, dot in styles * 9][:70]
+    right += [(1, rng.choice(["[.]", "(.)", "[dot]", " dot "]).join(str(rng.randrange(1, 256)) for _ in range(4))) for _ in range(40)]
+    right += [(2, card(True)) for _ in range(40)]
+    for _ in range(5):
+        right += [(3, x) for x in (f"0049 30 {r(7)}", f"030-{r(4)}-{r(4)}", f"0044 20 {r(4)} {r(4)}", f"(415) {few()}-{r(4)}", f"001-{few()}-{few()}-{r(4)}", f"0151/{r(4)}{r(4)}", f"06 {r(2)} {r(2)} {r(2)} {r(2)}", f"0033 6 {r(2)} {r(2)} {r(2)} {r(2)}", f"415.{few()}.{r(4)}", f"1-{few()}-{few()}-{r(4)}")]
+    word = lambda: rng.choice("noon dinner home office tea station bread river market".split())
+    wrong = [x for _ in range(20) for x in (f"meet me (at) {word()}. Then {word()}", f"see you @ {word()}. Bring {word()}", f"{r(1)} kg @ {r(1)}.{r(2)} each")]
+    wrong += [rng.choice(["[.]", "(.)"]).join([*(str(rng.randrange(1, 256)) for _ in range(3)), str(rng.randrange(256, 999))]) for _ in range(40)]
+    wrong += [card(False) for _ in range(40)]
+    wrong += [x for _ in range(12) for x in (f"2024-0{rng.randrange(1, 9)}-1{r(1)} 10:30", f"order {r(4)}-{r(4)}-{r(4)}", f"isbn 978-{rng.randrange(2, 9)}-{r(2)}-{r(6)}-{r(1)}", f"{rng.randrange(300, 999)}.{rng.randrange(300, 999)}.{r(3)}.{r(3)}", f"total {rng.randrange(2, 99)} {r(3)} {r(3)} {r(3)}")]
+    assert len(right) == len(wrong) == 200
+    around = ("{} now", "reach me: {} ok", "and {}, thanks", "the {} here")
+    planted = [around[i % 4].format(x) for i, x in enumerate([*(x for _, x in right), *wrong])]
+    alike = [f"text word.{i}@mail{i % 9}.example.com and +1 ({few()}) 555-{r(4)} or {i % 256}.7.8.{i % 99}" for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate([*planted, *alike])), "doc_id long, text string").repartition(8)
+    found = {x["doc_id"]: [(s["kind"], s["m"]) for s in x["pii_spans"] if s not in x["pii_base"]] for x in pii.pii(docs).where("doc_id < 400").collect()}
+    assert sum(x in found[i] for i, x in enumerate(right)) >= 180
+    assert [(wrong[i], found[200 + i]) for i in range(200) if found[200 + i]] == []

@@ -8,6 +8,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import caps
 from ..functions import cells as C
 from ..functions import geometry as G
 
@@ -174,13 +175,28 @@ def tiles_in_cones(cones: DataFrame, tile_shift: int, order: int) -> DataFrame:
     tile of `order` whose bounding cap meets them: the tiles that tiles_in_cone gives for each.
 
     From the twelve coarsest tiles down, a cone goes on to the children of what it may meet: a tile's descendants and their
-    caps lie within twice its own cap. Each level is a filter and an explode in the row's task; nothing is joined or shuffled, and
-    the work grows with the tiles that are met. Cones that repeat stay; a null direction or angle meets no tile.
+    caps lie within twice its own cap. The cones are dealt evenly to tasks, however few files they come from; every `caps.STEP`
+    levels are an explode of what a batch of rows meets. Nothing is joined, and the work grows with the tiles that are met.
+    Cones that repeat stay; a null direction or angle meets no tile.
     """
-    now = cones.withColumns({"order": F.lit(tile_shift), "face": F.explode(F.sequence(F.lit(0), F.lit(11))), "x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
-    for _ in range(tile_shift, order):
-        now = tile_children(now.where(_near_cone(tile_shift, F.col("cone"), 2.0)))
-    return now.where(_near_cone(tile_shift, F.col("cone"), 1.0))
+    now, levels = _roots(cones, tile_shift), max(order - tile_shift, 0)
+    for level in range(0, max(levels, 1), caps.STEP):
+        step = min(caps.STEP, levels - level)
+        now = _exploded(now, caps.tiles_below(level, step, F.col("cone"), 2.0, 1.0 if level + step == levels else None), tile_shift)
+    return now
+
+
+def _roots(cones: DataFrame, tile_shift: int) -> DataFrame:
+    """The twelve coarsest tiles beside each cone, the cones dealt by turns to `spark.sql.shuffle.partitions` tasks."""
+    dealt = cones.repartition(int(cones.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.withColumns({"order": F.lit(tile_shift), "face": F.explode(F.sequence(F.lit(0), F.lit(11))), "x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
+
+
+def _exploded(now: DataFrame, tiles: Column, tile_shift: int) -> DataFrame:
+    """A row for each of `tiles` in place of order, x, y. A plain explode would filter on `tiles` below, computing them twice."""
+    kept = [F.col("`" + c.replace("`", "``") + "`") for c in now.columns if c not in ("order", "x", "y")]
+    now = now.select(*kept, tiles.alias("__t")).select(*kept, F.explode_outer("__t").alias("__t")).where("__t is not null")
+    return now.select(*kept, (F.col("__t.order") + tile_shift).alias("order"), "__t.x", "__t.y")
 
 
 def tiles_in_cones_adaptive(cones: DataFrame, tile_shift: int, target: int) -> DataFrame:

@@ -44,10 +44,12 @@ def _table(level: int) -> np.ndarray:
     return caps(face, x, y, level)
 
 
-def tiles_below(level: int, levels: int, cone: Column, reach: float, last: float | None = None) -> Column:
+def tiles_below(level: int, levels: int, cone: Column, reach: float, last: float | None = None, target: int | None = None) -> Column:
     """array<struct<order, x, y>>: the tiles `levels` below the row's tile (face, x, y of `level`; order counts from level 0) that
     its cone (vx, vy, vz and half angle `cone`) comes to. A tile goes on to its four children while its cap, `reach` times as
-    wide, meets the cone; those of the last level are kept if their cap, `last` times as wide, does (None: all).
+    wide, meets the cone; those of the last level are kept if their cap, `last` times as wide, does (None: all). With a `target`
+    the result has several levels: a tile that does not go on is kept, and `cone` is the angle at that level, doubled for each
+    level that a tile's children are above it, pi at most.
 
     A null direction or angle meets no tile; NaN counts as it does in column expressions, as larger than any number.
     """
@@ -56,7 +58,7 @@ def tiles_below(level: int, levels: int, cone: Column, reach: float, last: float
     def below(vx: pa.Array, vy: pa.Array, vz: pa.Array, cone: pa.Array, face: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
         given = _given(vx, vy, vz, cone)
         tiles = [a.to_numpy(zero_copy_only=False).astype(np.int64) for a in (face, x, y)]
-        parts = [_descend(slice(a, a + ROWS), given, tiles, level, levels, reach, last) for a in range(0, len(vx), ROWS)]
+        parts = [_descend(slice(a, a + ROWS), given, tiles, level, levels, reach, last, target) for a in range(0, len(vx), ROWS)]
         return _lists(np.concatenate(parts, axis=1), len(vx))
 
     return below(*[F.col(c).cast("double") for c in ("vx", "vy", "vz")], cone.cast("double"), "face", "x", "y")
@@ -68,23 +70,30 @@ def _given(*columns: pa.Array) -> np.ndarray:
     return np.vstack([*[a.to_numpy(zero_copy_only=False) for a in columns], known])
 
 
-def _meet(level: int, given: np.ndarray, face: np.ndarray, x: np.ndarray, y: np.ndarray, reach: float) -> np.ndarray:
+def _meet(level: int, given: np.ndarray, face: np.ndarray, x: np.ndarray, y: np.ndarray, reach: float, target: int | None = None) -> np.ndarray:
     cx, cy, cz, cap = _table(level)[:, (face << level | y) << level | x] if level <= TABLE else caps(face, x, y, level)
     vx, vy, vz, cone, known = given
+    cone = cone if target is None else np.fmin(np.pi, cone * 2.0 ** (target - level - 1))
     angle = np.arccos(np.fmin(1.0, np.maximum(-1.0, cx * vx + cy * vy + cz * vz)))
     return (known > 0) & ~(angle - cap * reach > cone)
 
 
-def _descend(rows: slice, given: np.ndarray, tiles: list[np.ndarray], level: int, levels: int, reach: float, last: float | None) -> np.ndarray:
+def _descend(rows: slice, given: np.ndarray, tiles: list[np.ndarray], level: int, levels: int, reach: float, last: float | None, target: int | None) -> np.ndarray:
     """(4, n): row, order, x, y of what is found for some rows, by rows."""
     face, x, y = (t[rows] for t in tiles)
-    row = np.arange(rows.start, rows.start + len(face))
+    row, done = np.arange(rows.start, rows.start + len(face)), []
     for at in range(level, level + levels):
-        on = np.flatnonzero(_meet(at, given[:, row], face, x, y, reach))
+        met = _meet(at, given[:, row], face, x, y, reach, target)
+        if target is not None:
+            done.append(np.stack([row, np.full(len(row), at), x, y])[:, ~met])
+        on = np.flatnonzero(met)
         row, face = row[on].repeat(4), face[on].repeat(4)
         x, y = x[on].repeat(4) * 2 + np.tile([0, 1, 0, 1], len(on)), y[on].repeat(4) * 2 + np.tile([0, 0, 1, 1], len(on))
     found = np.stack([row, np.full(len(row), level + levels), x, y])
-    return found if last is None else found[:, _meet(level + levels, given[:, row], face, x, y, last)]
+    if last is not None:
+        found = found[:, _meet(level + levels, given[:, row], face, x, y, last)]
+    found = np.concatenate([*done, found], axis=1)
+    return found[:, np.argsort(found[0], kind="stable")] if done else found
 
 
 def _lists(found: np.ndarray, n: int) -> pa.Array:

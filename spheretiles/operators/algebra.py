@@ -202,25 +202,18 @@ def _exploded(now: DataFrame, tiles: Column, tile_shift: int) -> DataFrame:
 def tiles_in_cones_adaptive(cones: DataFrame, tile_shift: int, target: int) -> DataFrame:
     """`cones` (vx, vy, vz, base: the angle at the target order; any other columns) with the mixed-order cover that
     tiles_in_cone_adaptive gives for each from the twelve coarsest tiles: a tile is split while it meets the cone of its
-    children's level, base * 2**(target - child order), pi at most. Each level is one explode in the row's task.
+    children's level, base * 2**(target - child order), pi at most. Dealt and exploded as in tiles_in_cones; where there are
+    more levels than one step takes, tiles that are done pass through the later steps.
     """
-    now = cones.withColumns({"order": F.lit(tile_shift), "face": F.explode(F.sequence(F.lit(0), F.lit(11))), "x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
-    for level in range(tile_shift, target):
-        angle = F.least(F.lit(pi), F.col("base") * 2.0 ** (target - level - 1))
-        split = (F.col("order") == level) & _near_cone(tile_shift, angle, 1.0)
-        child = lambda dx, dy: F.struct((F.col("order") + 1).alias("order"), (F.col("x") * 2 + dx).alias("x"), (F.col("y") * 2 + dy).alias("y"))
-        parts = F.when(split, F.array(*[child(dx, dy) for dy in (0, 1) for dx in (0, 1)])).otherwise(F.array(F.struct("order", "x", "y")))
-        kept = [c for c in now.columns if c not in ("order", "x", "y")]
-        now = now.select(*kept, F.explode(parts).alias("__t")).select(*kept, "__t.order", "__t.x", "__t.y")
+    now, levels = _roots(cones, tile_shift), max(target - tile_shift, 0)
+    for level in range(0, levels, caps.STEP):
+        at = F.col("order") == level + tile_shift
+        tiles = caps.tiles_below(level, min(caps.STEP, levels - level), F.when(at, F.col("base")), 1.0, target=levels)
+        itself = F.array(F.struct((F.col("order") - tile_shift).alias("order"), "x", "y"))
+        now = _exploded(now, F.when(at, tiles).otherwise(itself), tile_shift)
     return now
 
 
-def _near_cone(tile_shift: int, cone: Column, reach: float) -> Column:
-    """Whether a tile's cap, `reach` times as wide, meets the row's cone; one expression, however a filter is pushed."""
-    towards = (F.col("vx"), F.col("vy"), F.col("vz"))
-    return G.bound(cap_of(tile_shift), lambda s: G.angle((s["cx"], s["cy"], s["cz"]), towards) - s["cap"] * reach <= cone)
-
-
 def tiles_in_cone(tiles: DataFrame, tile_shift: int, direction: tuple[float, float, float], cone: float) -> DataFrame:
     """Tiles whose bounding cap meets a cone (unit direction, half angle in radians)."""
     capped = tile_caps(tiles, tile_shift)

@@ -58,3 +58,18 @@ def test_odd_cones_and_other_columns(spark):
         assert set(got.columns) == {*cones.columns, "order", "face", "x", "y"}
         assert addresses(got, "id", "face", "x", "y") == want and got.where("above <> 'kept' or `a ``b.c` is null").isEmpty()
     assert algebra.tiles_in_cones(cones.limit(0), 2, 4).collect() == []
+
+
+def test_adaptive_covers_are_dealt_and_go_beyond_one_step(spark):
+    rows = [(0, 0.48, 0.6, 0.64, 0.002), (1, 0.0, 1.0, 0.0, 0.01), (2, -1.0, 0.0, 0.0, 0.0)]
+    odd = [(3, None, 0.0, 1.0, 0.1), (4, 1.0, 0.0, 0.0, None)]
+    cones = spark.createDataFrame(rows + odd, CONES).withColumnRenamed("cone", "base").coalesce(1)
+    df = algebra.tiles_in_cones_adaptive(cones, 2, 8)
+    roots = spark.createDataFrame([(2, f, 0, 0) for f in range(12)], "`order` int, face int, x long, y long")
+    got = addresses(df, "id", "order", "face", "x", "y")
+    for i, *v, base in rows:
+        each = algebra.tiles_in_cone_adaptive(roots, 2, tuple(v), 8, base)
+        assert [r[1:] for r in got if r[0] == i] == addresses(each, "order", "face", "x", "y")
+    assert [r[1:] for r in got if r[0] > 2] == [(2, f, 0, 0) for f in range(12)] * 2
+    assert df.selectExpr("spark_partition_id() as p").distinct().count() > 1 and {r[1] for r in got} == set(range(2, 9))
+    assert addresses(algebra.tiles_in_cones_adaptive(cones, 2, 2), "id", "order", "x") == [(i, 2, 0) for i in range(5) for _ in range(12)]

@@ -3,7 +3,9 @@
 The model counts the unigrams, bigrams and trigrams of all documents. A word after words a, b scores
 count(a b w) / count(a b) if that trigram occurs `least` times or more, else `backoff` * count(b w) / count(b) under the
 same condition, else backoff**2 * count(w) / all words; at the start of a document shorter contexts start lower down
-without a penalty. A document's score is the mean natural logarithm over its words.
+without a penalty. A document's score is the mean natural logarithm over its words. With `others`, as the registered query has
+it, bigrams and trigrams (and the contexts they are divided by) count in the other documents alone. A document's own words would
+make each of its n-grams seen, and nothing would ever back off. The last level has the words of all documents, never 0.
 
 1. Documents are dealt into slices of about `SLICE` bytes by a hash of id and text: the only time that texts travel.
 2. The n-grams of a slice are combined: each distinct one goes once, with its count there, to the bucket that the first
@@ -49,12 +51,22 @@ class Grams:
         self.distinct, place, self.times = np.unique(keys, return_inverse=True, return_counts=True)
         self.place = np.split(place, [len(h), len(h) + len(two)])
 
-    def scores(self, totals: np.ndarray, words_in_all: int, least: int, backoff: float) -> np.ndarray:
+    def _own(self, k: int) -> np.ndarray:
+        """How often each word's n-gram of k + 1 words stands in the word's own document."""
+        doc = self.doc[(slice(None), self.second, self.third)[k]]
+        _, place, times = np.unique(doc * len(self.distinct) + self.place[k], return_inverse=True, return_counts=True)
+        return times[place]
+
+    def scores(self, totals: np.ndarray, words_in_all: int, least: int, backoff: float, others: bool = False) -> np.ndarray:
         """Mean logarithm of each document's word scores (NaN without words), from the totals of `distinct`."""
         n = len(self.at)
         c1, c2, c3 = totals[self.place[0]], np.zeros(n, np.int64), np.zeros(n, np.int64)
         c2[self.second], c3[self.third] = totals[self.place[1]], totals[self.place[2]]
         ln = np.log(c1 / max(1, words_in_all)) + np.minimum(self.at, 2) * log(backoff)
+        if others:
+            c1 = c1 - self._own(0)
+            c2[self.second] -= self._own(1)
+            c3[self.third] -= self._own(2)
         bi = np.flatnonzero((c2 >= least) & (self.at >= 1))
         ln[bi] = np.log(c2[bi] / c1[bi - 1]) + (self.at[bi] >= 2) * log(backoff)
         tri = np.flatnonzero((c3 >= least) & (self.at >= 2))
@@ -143,8 +155,9 @@ def _size(docs: DataFrame) -> tuple[int, int]:
     return size or 0, n or 0
 
 
-def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = 1, backoff: float = 0.4) -> DataFrame:
-    """(id, n_words, lm_score) of every row: the mean logarithm of its words' scores under counts of all rows.
+def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = 1, backoff: float = 0.4, others: bool = False) -> DataFrame:
+    """(id, n_words, lm_score) of every row: the mean logarithm of its words' scores under counts of all rows; with `others`, of
+    all rows but itself (its words of the last level counted in all).
 
     Words are maximal runs of anything but space and the five ASCII white-space controls. A null or empty text, or one
     of white space alone, has 0 words and a null score. Repeated rows count each time and have equal scores; a null id
@@ -166,7 +179,7 @@ def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", least: in
         grams, totals = Grams(mine.column("text"), lead + extra), _totals(answers)
         if len(totals) != len(grams.distinct):
             raise ValueError("a slice differs from what it sent: the input must be a table or a checkpoint")
-        score = grams.scores(totals, total, least, backoff)
+        score = grams.scores(totals, total, least, backoff, others)
         return pa.table([mine.column("id"), pa.array(np.diff(grams.first).astype(np.int64)), pa.array(score, mask=np.isnan(score))], names=["id", "n_words", "lm_score"])
 
     sent = sliced.sortWithinPartitions("slice").mapInArrow(send, "slice long, bucket int, n int, base long, low binary, top binary, times binary")
@@ -176,22 +189,23 @@ def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", least: in
 
 
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    """Every document's number of words and mean log score, rounded to six places."""
-    return lm_scores(documents(spark, sf_dir)).withColumn("lm_score", F.round("lm_score", 6) + 0.0)
+    """Every document's number of words and mean log score under the other documents, rounded to six places."""
+    return lm_scores(documents(spark, sf_dir), others=True).withColumn("lm_score", F.round("lm_score", 6) + 0.0)
 
 
 SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 p AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
 g AS (SELECT doc_id, i, w, lag(w) OVER d AS b, lag(w, 2) OVER d AS a FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-c3 AS (SELECT a, b, w, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY ALL),
-c2 AS (SELECT b, w, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY ALL),
-c1 AS (SELECT w, count(*) AS n FROM g GROUP BY ALL),
+c3 AS (SELECT *, sum(own) OVER (PARTITION BY a, b, w) - own AS n FROM (SELECT doc_id, a, b, w, count(*) AS own FROM g WHERE a IS NOT NULL GROUP BY ALL)),
+c2 AS (SELECT *, sum(own) OVER (PARTITION BY b, w) - own AS n FROM (SELECT doc_id, b, w, count(*) AS own FROM g WHERE b IS NOT NULL GROUP BY ALL)),
+c1 AS (SELECT *, sum(own) OVER (PARTITION BY w) - own AS n FROM (SELECT doc_id, w, count(*) AS own FROM g GROUP BY ALL)),
 s AS (SELECT g.doc_id, CASE WHEN c3.n >= 1 THEN ln(c3.n / h2.n)
   WHEN c2.n >= 1 THEN ln(c2.n / h1.n) + CASE WHEN g.a IS NULL THEN 0 ELSE ln(0.4) END
-  ELSE ln(c1.n / (SELECT sum(n) FROM c1)) + CASE WHEN g.b IS NULL THEN 0 WHEN g.a IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END AS l
- FROM g JOIN c1 ON c1.w = g.w LEFT JOIN c3 ON c3.a = g.a AND c3.b = g.b AND c3.w = g.w LEFT JOIN c2 ON c2.b = g.b AND c2.w = g.w
- LEFT JOIN c2 h2 ON h2.b = g.a AND h2.w = g.b LEFT JOIN c1 h1 ON h1.w = g.b),
+  ELSE ln((c1.n + c1.own) / (SELECT sum(own) FROM c1)) + CASE WHEN g.b IS NULL THEN 0 WHEN g.a IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END AS l
+ FROM g JOIN c1 ON c1.doc_id = g.doc_id AND c1.w = g.w LEFT JOIN c3 ON c3.doc_id = g.doc_id AND c3.a = g.a AND c3.b = g.b AND c3.w = g.w
+ LEFT JOIN c2 ON c2.doc_id = g.doc_id AND c2.b = g.b AND c2.w = g.w LEFT JOIN c2 h2 ON h2.doc_id = g.doc_id AND h2.b = g.a AND h2.w = g.b
+ LEFT JOIN c1 h1 ON h1.doc_id = g.doc_id AND h1.w = g.b),
 m AS (SELECT doc_id, avg(l) AS l FROM s GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(m.l, 6) + 0.0 AS lm_score FROM w LEFT JOIN m USING (doc_id)
 """

@@ -71,3 +71,49 @@ def test_words_seen_once_count(spark):
     got = {r["doc_id"]: r["lm_score"] for r in lm_scoring.lm_scores(docs).collect()}
     want = (math.log(2 / 6) + math.log(2 / 2) + math.log(1 / 2)) / 3
     assert got == {1: pytest.approx(want), 2: pytest.approx(want)}
+
+
+def elsewhere(texts, backoff):
+    """Scores by the counts of the other texts, each counted anew."""
+    words = [brute.WORD.findall(t or "") for t in texts]
+    counts = [Counter(tuple(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1)) for w in words]
+    every = sum(counts, Counter())
+    total, out = sum(map(len, words)), []
+    for w, own in zip(words, counts, strict=True):
+        c, ln = {g: every[g] - own[g] for g in own}, []
+        for i in range(len(w)):
+            three, two = tuple(w[i - 2 : i + 1]) if i > 1 else None, tuple(w[i - 1 : i + 1]) if i else None
+            if three and c[three]:
+                ln.append(math.log(c[three] / c[three[:2]]))
+            elif two and c[two]:
+                ln.append(math.log(c[two] / c[two[:1]]) + (math.log(backoff) if three else 0))
+            else:
+                ln.append(math.log(every[(w[i],)] / total) + min(i, 2) * math.log(backoff))
+        out.append((len(w), round(sum(ln) / len(ln), 7) if ln else None))
+    return out
+
+
+@pytest.mark.parametrize("backoff", [0.4, 0.01])
+def test_others_equal_brute_force(spark, monkeypatch, backoff):
+    monkeypatch.setattr(lm_scoring, "SLICE", 3000)
+    monkeypatch.setattr(lm_scoring, "BUCKET", 500)
+    texts = [*TEXTS, TEXTS[-2], "a text that no other knows at all", "the cat sat on a text that no other knows"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["lm_score"] and round(r["lm_score"], 7) + 0.0) for r in lm_scoring.lm_scores(docs, backoff=backoff, others=True).collect())
+    for (_, n, score), (m, want) in zip(got, elsewhere(texts, backoff), strict=True):
+        assert n == m and (score == want or abs(score - want) < 2e-7)
+
+
+def test_the_registered_query_backs_off(spark, monkeypatch):
+    """Words that no other document has after these words take the lower levels, in the query and in its SQL."""
+    import duckdb
+
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b d"), (3, "a b d")], "doc_id long, text string")
+    monkeypatch.setattr(lm_scoring, "documents", lambda *_: docs)
+    got = {r["doc_id"]: r["lm_score"] for r in lm_scoring.op7_lm_scoring(spark, "").collect()}
+    first = math.log(3 / 9) + math.log(2 / 2)
+    want = {1: (first + math.log(1 / 9) + 2 * math.log(0.4)) / 3, 2: (first + math.log(1 / 2)) / 3, 3: (first + math.log(1 / 2)) / 3}
+    assert got == pytest.approx(want, abs=1e-6)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT * FROM (VALUES (1, 'a b c'), (2, 'a b d'), (3, 'a b d')) t(doc_id, text)")
+    assert {d: s for d, _, s in con.execute(lm_scoring.SQL).fetchall()} == got

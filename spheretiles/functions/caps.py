@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import sys
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .geometry import FACE_P, FACE_R
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need not have this package
+
 TABLE = 5  # levels of up to 12 * 4**5 tiles are looked up, finer ones computed for each pair
 STEP = 4  # levels at a time: at most 4**STEP tiles below one
 ROWS = 2048  # whose tiles are in memory at a time
@@ -38,10 +41,14 @@ def caps(face: np.ndarray, x: np.ndarray, y: np.ndarray, level: int, scale: floa
     return np.vstack([centre, np.arcsin(np.minimum(1.0, np.sqrt(gap) * scale))])
 
 
-@lru_cache
+_tables: dict[int, np.ndarray] = {}
+
+
 def _table(level: int) -> np.ndarray:
-    face, y, x = np.indices((12, 1 << level, 1 << level)).reshape(3, -1)
-    return caps(face, x, y, level)
+    if level not in _tables:
+        face, y, x = np.indices((12, 1 << level, 1 << level)).reshape(3, -1)
+        _tables[level] = caps(face, x, y, level)
+    return _tables[level]
 
 
 def tiles_below(level: int, levels: int, cone: Column, reach: float, last: float | None = None, target: int | None = None) -> Column:

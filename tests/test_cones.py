@@ -2,8 +2,11 @@
 
 import math
 import random
+import subprocess
+import sys
 
 import numpy as np
+from pyspark import cloudpickle
 
 from spheretiles.functions import caps
 from spheretiles.operators import algebra
@@ -73,3 +76,10 @@ def test_adaptive_covers_are_dealt_and_go_beyond_one_step(spark):
     assert [r[1:] for r in got if r[0] > 2] == [(2, f, 0, 0) for f in range(12)] * 2
     assert df.selectExpr("spark_partition_id() as p").distinct().count() > 1 and {r[1] for r in got} == set(range(2, 9))
     assert addresses(algebra.tiles_in_cones_adaptive(cones, 2, 2), "id", "order", "x") == [(i, 2, 0) for i in range(5) for _ in range(12)]
+
+
+def test_tasks_need_not_have_this_package():
+    sent = cloudpickle.dumps(caps._descend)
+    code = "import pickle, sys; f = pickle.load(sys.stdin.buffer); import numpy as np; print(f(slice(0, 1), np.array([[1.0], [0], [0], [9], [1]]), [np.zeros(1, int)] * 3, 0, 1, 2.0, 1.0, None).shape)"
+    done = subprocess.run([sys.executable, "-I", "-c", code], input=sent, capture_output=True, cwd="/")
+    assert done.stdout.decode().strip() == "(4, 4)", done.stderr.decode()
